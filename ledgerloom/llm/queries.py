@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing, quality, url_filter
+from . import license_scan, mixing, quality, sharding, url_filter, warc
 from .runtime import table
 
 
@@ -14,6 +14,15 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("expressions")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc.audit(pages, warc.damaged(pages))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -27,8 +36,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op8_url_filter, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op4_sharding, op5_warc_audit, op8_url_filter, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": url_filter.SQL}
+    return {
+        "op4_sharding": sharding.sql(),
+        "op5_warc_audit": warc.SQL,
+        "op8_url_filter": url_filter.SQL,
+    }
