@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing, quality, sharding, url_filter, warc
+from . import ann, license_scan, mixing, packing, quality, sharding, url_filter, warc
 from .runtime import table
 
 
@@ -14,6 +14,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("expressions")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,10 @@ def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audit(pages, warc.damaged(pages))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -36,7 +44,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op4_sharding, op5_warc_audit, op8_url_filter, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_packing, op4_sharding, op5_warc_audit, op6_nearest, op8_url_filter, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
