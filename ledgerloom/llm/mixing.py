@@ -26,7 +26,7 @@ from .runtime import stored
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_EPOCHS = 3
 #: Rows that a cell of keys holds on average.
-CELL_ROWS = 2_000
+CELL_ROWS = 200
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, license_scan, mixing, packing, quality, sharding, url_filter, warc
+from . import ann, license_scan, mixing, ngram_join, packing, quality, sharding, url_filter, warc
 from .runtime import table
 
 
@@ -18,6 +18,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_packing, op4_sharding, op5_warc_audit, op6_nearest, op8_url_filter, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_packing, op3_ngram_join, op4_sharding, op5_warc_audit, op6_nearest, op8_url_filter, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
