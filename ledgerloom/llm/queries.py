@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, license_scan, mixing, ngram_join, packing, quality, sharding, url_filter, warc
+from . import ann, license_scan, lm, mixing, ngram_join, packing, quality, sharding, url_filter, warc
 from .runtime import table
 
 
@@ -35,6 +35,10 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -48,7 +52,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_packing, op3_ngram_join, op4_sharding, op5_warc_audit, op6_nearest, op8_url_filter, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_packing, op3_ngram_join, op4_sharding, op5_warc_audit, op6_nearest, op7_lm_scoring, op8_url_filter, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
