@@ -73,13 +73,36 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of every row."""
-    return _mixed(_drawn(docs, id_col, text_col, source_col), weights)
+    return _mixed(_drawn(docs, id_col, text_col, source_col), weights).drop("mark")
+
+
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """The mix itself: rows of docs, as often as they are taken, with all columns of docs.
+
+    Of a document that is taken in part, the last row holds the words that are taken, joined by blanks.
+    """
+    mark = F.xxhash64(F.col(text_col).cast("string"))
+    mixed = _mixed(_drawn(docs, id_col, text_col, source_col), weights)
+    plan = mixed.groupBy("doc_id", "mark").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count("*").alias("rows"))
+    plan = stored(plan.filter("taken > 0"), "mix-plan").withColumnsRenamed({"doc_id": "mix_id", "mark": "mix_mark", "taken": "mix_taken", "size": "mix_size", "rows": "mix_rows"})
+    rows = docs.join(plan, docs[id_col].cast("long").eqNullSafe(F.col("mix_id")) & (mark == F.col("mix_mark")))
+    if not plan.filter("mix_rows > 1").isEmpty():  # equal rows: one of them stands for all
+        again = rows.filter("mix_rows > 1").dropDuplicates(["mix_id", "mix_mark"])
+        rows = rows.filter("mix_rows = 1").unionByName(again)
+    copies = F.ceil(F.col("mix_taken") / F.col("mix_size")).cast("int")
+    rows = rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), copies)))
+    left = F.col("mix_taken") - (F.col("mix_copy") - 1) * F.col("mix_size")
+    some = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(f"({WORD})"), 1), F.lit(1), left.cast("int")), " ")
+    cut = rows.withColumn(text_col, F.when(left < F.col("mix_size"), some).otherwise(F.col(text_col)))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(left < F.col("mix_size"), F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
 
 
 def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
     key = -F.log(uniform(F.col(id_col).cast("long"), text)) / symbol_weight(text)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), key.alias("key"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), key.alias("key"), F.xxhash64(text).alias("mark"))
 
 
 def _mixed(drawn: DataFrame, weights: tuple[float, ...]) -> DataFrame:
@@ -111,5 +134,5 @@ def _mixed(drawn: DataFrame, weights: tuple[float, ...]) -> DataFrame:
     part = ends.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - upto + F.col("size"))))
     rest = joined.filter(F.col("whole") | (F.col("budget") <= 0)).withColumn("part", F.when(F.col("whole"), F.col("size")).otherwise(0))
     taken = (F.col("epochs") * F.col("size") + F.col("part")).cast("long")
-    return part.unionByName(rest).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return part.unionByName(rest).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "mark")
 
