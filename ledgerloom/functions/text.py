@@ -45,7 +45,7 @@ def normalize_code(c: Column) -> Column:
 
 
 def split_list(c: Column) -> Column:
-    parts = F.transform(F.split(c, "[;,|/]"), F.trim)
+    parts = F.transform(F.split(c, "[;,|/]"), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 
