@@ -10,14 +10,15 @@ elements.  A plain sketch of SKETCH_WORDS * 64 parity bits bounds the difference
 Hamming distance.
 
 Pigeonhole join.  Of two linked sets' non-empty blocks at most d = (1 - t) / (1 + t) * (a + b) differ, so in whatever
-order blocks are ranked, the first that both have alike is among the first d + 1 of either.  Each text gives out those
-blocks only, in the band of its own size, and in the next lower band if a partner there can be small enough.  Blocks
-that many texts share rank last, as found in a sample of texts by digest; the order changes how many candidates there
+order blocks are ranked, the first c that both have alike are among the first d + c of either.  Each text gives out those
+blocks only, in the band of its own size, and in the next lower band if a partner there can be small enough.  With
+c = n // EXTRA + 1 for n elements, a text that meets others in fewer than c blocks is linked with nothing and drops out
+before any pair is made, whatever passages it shares with others.  Blocks that many texts share rank last, as found in a sample of texts by digest; the order changes how many candidates there
 are, never which links are found.
 
 Candidates.  Texts with an equal block are compared with one another where a block has no more than SMALL texts.  In a
 larger group all are compared with one pivot, and again with another while the group is not yet one component; what is
-left after PIVOT_ROUNDS is compared across components.  Texts that are in one component already need no comparison, as
+left after PIVOT_ROUNDS is compared across components by longer sketches, each pair once, in tiles of bounded size.  Texts that are in one component already need no comparison, as
 the result is each document's component.  Pairs whose sizes or sketches differ too much are dropped, all others are
 verified on their whole sets.
 
@@ -38,17 +39,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import byte_texts, keyed_texts, mix64, stored
+from .runtime import byte_texts, keyed_texts, mix64, slices, stored
 
 WORDS = 5
 PERCENT = 75
 #: A band holds sizes up to BAND times its smallest.
 BAND = 16
 SKETCH_WORDS = 8
+#: Bits of a long sketch for each element, rounded up to a power of two.
+LONG_BITS = 4
 #: One text in SAMPLE tells which blocks are common: those of COMMON or more of these texts, MAX_COMMON at most.
 SAMPLE, COMMON, MAX_COMMON = 16, 4, 500_000
+#: One element in EXTRA tells how many blocks more than the differing ones a text gives out.
+EXTRA = 8
 #: Texts of one block that are compared with one another; larger groups go by pivots.
-SMALL, PIVOT_ROUNDS = 8, 3
+SMALL, PIVOT_ROUNDS = 8, 2
+#: Texts of a group that one task holds against as many others.
+TILE = 1024
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
@@ -92,12 +99,27 @@ def blocks(s: np.ndarray, top: int) -> np.ndarray:
         return mix64(np.bitwise_xor.reduceat(s[by], first) ^ (place[first] * _MULTIPLIER + np.uint64(top)))
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
+def sketch(s: np.ndarray, size: int = SKETCH_WORDS) -> np.ndarray:
     """Parity bits: bit h of the sketch tells whether an odd number of hashes falls on it."""
-    bits = np.bincount((s % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    bits = np.bincount((s % np.uint64(64 * size)).astype(np.int64), minlength=64 * size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def long_words(n: int) -> int:
+    return 1 << max(3, (LONG_BITS * n - 1).bit_length() - 6)
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Sketches of half the length: as bits are places modulo the length, the halves' XOR."""
+    half = bits.shape[-1] // 2
+    return bits[..., :half] ^ bits[..., half:]
+
+
+def least_shared(n):
+    """Blocks that a text of n elements has in common with each linked text, at least, among those given out."""
+    return n // EXTRA + 1
+
+
 def block_keys(s: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The keys that a set gives out, common ones last."""
     n = len(s)
@@ -107,6 +129,7 @@ def block_keys(s: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.
         if top < own and (top < BAND or n * percent >= 100 * top):
             continue  # no partner is as small as that
         keys = blocks(s, top)
+        most += least_shared(n) - 1
         if most + 1 < len(keys):
             rank = keys >> np.uint64(1)
             if len(common):
@@ -121,7 +144,7 @@ def _profile(words: int):
     names = ["kind", "id", "digest", "n", *(f"s{k}" for k in range(SKETCH_WORDS))]
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, digests, sizes, sketches, keys, owners = [], [], [], [], [], []
             for id_, text in zip(batch.column("id").to_pylist(), byte_texts(batch)):
                 s = shingles(text, words)
@@ -152,14 +175,14 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[D
 
 
 def shared_blocks(docs: DataFrame, sampled: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """(key, digest, texts, pivot) of every block key that more than one text gave out."""
+    """(key, digest) of every block key that more than one text gave out."""
     often = sampled.distinct().groupBy("key").agg(F.count("*").alias("texts")).filter(F.col("texts") >= COMMON)
     top = often.orderBy(F.desc("texts"), "key").limit(MAX_COMMON).select("key").toArrow()["key"].to_numpy()  # bounded: a ranking
     common = docs.sparkSession.sparkContext.broadcast(np.sort(top.astype(np.uint64)))
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             keys, owners, now = [], [], set()
             for text in byte_texts(batch):
                 s = shingles(text, words)
@@ -175,10 +198,17 @@ def shared_blocks(docs: DataFrame, sampled: DataFrame, id_col: str, text_col: st
 
     given = keyed_texts(docs, id_col, text_col).mapInArrow(give, "key long, digest long")
     w = Window.partitionBy("key")
-    least = F.min("digest").over(w)
-    met = given.select("key", "digest", least.alias("pivot"), F.max("digest").over(w).alias("most")).filter("pivot != most")
-    met = met.select("key", "digest", "pivot").distinct()
-    return stored(met.withColumn("texts", F.count("*").over(w)), "ngram-blocks")
+    met = given.select("key", "digest", F.min("digest").over(w).alias("least"), F.max("digest").over(w).alias("most")).filter("least != most")
+    return stored(met.select("key", "digest").distinct(), "ngram-met")
+
+
+def promising(met: DataFrame, info: DataFrame) -> DataFrame:
+    """(key, digest, texts, pivot) of the blocks of texts that meet others often enough."""
+    often = met.groupBy("digest").agg(F.count("*").alias("met")).join(info.select("digest", "n"), "digest")
+    often = often.filter(F.col("met") >= F.floor(F.col("n") / EXTRA) + 1)
+    w = Window.partitionBy("key")
+    kept = met.join(often.select("digest"), "digest").select("key", "digest", F.count("*").over(w).alias("texts"), F.min("digest").over(w).alias("pivot"))
+    return stored(kept.filter("texts > 1"), "ngram-blocks")
 
 
 def _pair(x: Column, y: Column) -> list[Column]:
@@ -200,7 +230,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches, 256):
             good = []
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             ta, tb = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
@@ -240,11 +270,65 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _across(open_: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs of texts from different components of one group that may be linked, by their long sketches.
+
+    Groups that share a text are taken as one, so that a pair is looked at once and not for each block that it shares.
+    The texts that are not in a group's largest component are held against all texts of the group, in tiles of TILE by
+    TILE texts, each in a task of its own.
+    """
+    edges = open_.select(F.col("digest").alias("a"), F.col("pivot.digest").alias("b")).filter("a != b").distinct()
+    groups = components(edges).select(F.col("node").alias("digest"), F.col("component").alias("group"))
+    of_group = groups.join(open_.select("digest", "component").distinct(), "digest").join(texts, "digest")
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own = [shingles(t, words) for t in byte_texts(batch)]
+            n, bits = pa.array([len(s) for s in own], pa.int64()), pa.array([sketch(s, long_words(len(s))).tobytes() for s in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("group", "digest", "component")), n, bits], ["group", "digest", "component", "n", "bits"])
+
+    members = of_group.select("group", "digest", "component", "text").mapInArrow(describe, "group long, digest long, component long, n long, bits binary")
+    members = stored(members, "ngram-members")
+    counts = members.groupBy("group", "component").agg(F.count("*").alias("size"))
+    groups = counts.groupBy("group").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.ceil(F.sum("size") / TILE).cast("int").alias("tiles"))
+    placed = members.join(groups, "group").withColumn("tile", F.pmod(F.xxhash64("digest"), "tiles").cast("int"))
+    tiles = F.explode(F.expr("sequence(0, tiles - 1)"))
+    asked = placed.filter("component != main").select("group", F.col("tile").alias("i"), tiles.alias("j"), "digest", "component", "n", "bits")
+    again = [F.col(c).alias(c) for c in ("group", "digest", "component", "n", "bits")]  # columns of their own for the cogroup
+    against = placed.select(*again, F.col("tile").alias("j"), tiles.alias("i"))
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        n, component, digests = (y[c].to_numpy() for c in ("n", "component", "digest"))
+        sketches = y["bits"].to_pylist()
+        words_of = np.array([len(b) // 8 for b in sketches], np.int64)
+        classes = {}  # sketches by length, with their halves: linked texts' lengths differ by a factor of two at most
+        for w in np.unique(words_of):
+            at = np.flatnonzero(words_of == w)
+            bits = np.frombuffer(b"".join([sketches[i] for i in at]), np.uint64).reshape(len(at), w)
+            classes[w] = at, {w: bits, w // 2: folded(bits)}
+        for own, size, mine, b in zip(*(x[c].to_pylist() for c in ("digest", "n", "component", "bits"))):
+            mine_bits = np.frombuffer(b, np.uint64)
+            short = folded(mine_bits)
+            for w, (at, forms) in classes.items():
+                sketch_, shape = (mine_bits, len(mine_bits)) if len(mine_bits) in forms else (short, len(short))
+                if shape not in forms:
+                    continue
+                fits = np.flatnonzero((component[at] != mine) & (100 * np.minimum(n[at], size) >= percent * np.maximum(n[at], size)))
+                apart = np.bitwise_count(forms[shape][fits] ^ sketch_).sum(1, dtype=np.int64)
+                near = at[fits[(100 + percent) * apart <= (100 - percent) * (n[at[fits]] + size)]]
+                first.append(np.minimum(digests[near], own))
+                second.append(np.maximum(digests[near], own))
+        return pa.table({"a": np.concatenate(first), "b": np.concatenate(second)})
+
+    return asked.groupBy("group", "i", "j").cogroup(against.groupBy("group", "i", "j")).applyInArrow(compare, "a long, b long")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every row; n_links counts the text's verified links."""
     rows, sampled = profiles(docs, id_col, text_col, words)
     info = rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), *(F.first(f"s{k}").alias(f"s{k}") for k in range(SKETCH_WORDS)))
-    met = shared_blocks(docs, sampled, id_col, text_col, words, percent)
+    met = promising(shared_blocks(docs, sampled, id_col, text_col, words, percent), info)
 
     # texts that may be linked at all, each read from one of its documents
     wanted = met.select("digest").distinct().join(info.select("digest", "id", "n"), "digest")
@@ -267,11 +351,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
                 break
             if turn < PIVOT_ROUNDS:
                 new = open_.filter(F.col("component") != F.col("pivot.component")).select(*_pair(F.col("digest"), F.col("pivot.digest")))
+                new = _plausible(new.distinct(), info, percent)
             else:
-                other = open_.select("key", F.col("digest").alias("other"), F.col("component").alias("other_component"))
-                new = open_.join(other, "key").filter("component != other_component and digest < other").select(*_pair(F.col("digest"), F.col("other")))
-            new = _plausible(new.distinct(), info, percent).join(pairs, ["a", "b"], "left_anti")
-            new = stored(new, "ngram-pairs")
+                new = _across(open_, texts, words, percent).distinct()
+            new = stored(new.join(pairs, ["a", "b"], "left_anti"), "ngram-pairs")
             pairs = pairs.unionByName(new)
             more = stored(_verified(new, texts, words, percent), "ngram-links")
             links = links.unionByName(more)
@@ -293,7 +376,7 @@ def _texts(source: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     read = source.join(wanted.select("id").distinct().withColumnRenamed("id", "wanted_id"), F.col("id").eqNullSafe(F.col("wanted_id"))).select("text")
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             digests = [digest(s) if len(s := shingles(t, words)) else 0 for t in byte_texts(batch)]
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), batch.column("text")], ["digest", "text"])
 
@@ -302,7 +385,16 @@ def _texts(source: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that no document with a smaller id in their component stands for, with all columns of docs."""
-    found = classes(docs, id_col, text_col)
+    """The rows of docs but those of which a linked document has a smaller id, with all columns of docs.
+
+    Rows that are equal in id and text are copies of one another, and one of them stays; rows without an id stay.
+    """
+    found = stored(classes(docs, id_col, text_col), "ngram-classes")
     gone = found.filter("component_id is not null and doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("gone"), "left_anti")
+    id_ = F.col(id_col).cast("long")
+    kept = docs.join(gone, id_ == F.col("gone"), "left_anti")
+    again = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("again"))
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, id_ == F.col("again"), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(again, id_ == F.col("again"), "left_anti").unionByName(once)
