@@ -34,12 +34,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import byte_texts, keyed_texts, mix64, slices, stored
+from .runtime import byte_texts, chunks, keyed_texts, mix64, slices, stored
 
 WORDS = 5
 PERCENT = 75
@@ -61,19 +60,75 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+#: Bytes that are hashed at once, the powers of a polynomial's base and of its inverse, a number for each byte.
+_AT_ONCE = 1 << 18
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_UP, _DOWN = _powers(_BASE, _AT_ONCE), _powers(_INVERSE, _AT_ONCE)
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
+_INK = np.array([b not in b" \t\n\v\f\r" for b in range(256)])
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place of the first byte) of every word; A-Z count as a-z.
+
+    A word's hash is a polynomial of its bytes' numbers, taken from prefix sums over the whole text.
+    """
+    a = np.frombuffer(text.lower(), np.uint8)
+    ink = np.zeros(len(a) + 2, bool)
+    ink[1:-1] = _INK[a]
+    edges = np.flatnonzero(ink[1:] != ink[:-1])  # a word's first byte and the one after its last, in turn
+    sums, down = np.zeros(len(edges), np.uint64), np.zeros(len(edges), np.uint64)
+    total = 0
+    for lo in range(0, len(a), _AT_ONCE):
+        part = _BYTE[a[lo : lo + _AT_ONCE]]
+        part *= _UP[: len(part)]
+        upto = np.cumsum(np.concatenate([np.zeros(1, np.uint64), part]))
+        i, j = np.searchsorted(edges, [lo, lo + len(part) + (lo + len(part) == len(a))])
+        at = edges[i:j] - lo
+        sums[i:j] = upto[at] * np.uint64(pow(_BASE, lo, 1 << 64)) + np.uint64(total)
+        down[i:j] = _DOWN[np.minimum(at, _AT_ONCE - 1)] * np.uint64(pow(_INVERSE, lo, 1 << 64))
+        total = (total + int(upto[-1]) * pow(_BASE, lo, 1 << 64)) % (1 << 64)
+    first, last = edges[::2], edges[1::2]
+    return mix64((sums[1::2] - sums[::2]) * down[::2] + (last - first).astype(np.uint64)), first
+
+
+def _run(hashes: np.ndarray, long: int) -> np.ndarray:
+    n = len(hashes)
+    run = np.full(n - long + 1, np.uint64(long))
+    for k in range(long):
+        run ^= hashes[k : n - long + 1 + k]
+        run *= _MULTIPLIER
+        run ^= run >> np.uint64(29)
+    return mix64(run)
+
+
+def shingle_sets(texts: list[bytes], words: int = WORDS) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's runs of words."""
+    for i, j in chunks(texts, 1 << 20):
+        hashes, place = word_hashes(b" ".join(texts[i:j]))
+        firsts = np.cumsum([0] + [len(t) + 1 for t in texts[i:j]])
+        of = np.searchsorted(place, firsts)
+        runs = _run(hashes, words) if len(hashes) >= words else hashes[:0]
+        for lo, hi in zip(of[:-1].tolist(), of[1:].tolist()):
+            if hi - lo >= words:
+                s = np.sort(runs[lo : hi - words + 1])
+                new = np.ones(len(s), bool)
+                np.not_equal(s[1:], s[:-1], out=new[1:])
+                yield s[new]
+            else:
+                yield _run(hashes[lo:hi], hi - lo) if hi > lo else hashes[:0]
+
+
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     """The sorted distinct hashes of the text's runs of words; A-Z count as a-z."""
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in text.lower().split()], np.uint64)
-    n = len(hashes)
-    if not n:
-        return hashes
-    long = min(n, words)
-    with np.errstate(over="ignore"):
-        run = np.full(n - long + 1, np.uint64(long))
-        for k in range(long):
-            run = (run ^ hashes[k : n - long + 1 + k]) * _MULTIPLIER
-            run ^= run >> np.uint64(29)
-    return np.unique(mix64(run))
+    return next(shingle_sets([text], words))
 
 
 def digest(s: np.ndarray) -> int:
@@ -92,7 +147,7 @@ def band_top(n: int) -> int:
 def blocks(s: np.ndarray, top: int) -> np.ndarray:
     """Keys of the set's non-empty blocks in a band's sketch: each the place of a block with the XOR of its hashes."""
     place = mix64(s ^ _SPREAD) % np.uint64(top)
-    by = np.argsort(place, kind="stable")
+    by = np.argsort(place.astype(np.uint16) if top <= 1 << 16 else place, kind="stable")  # short numbers sort in linear time
     place = place[by]
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     with np.errstate(over="ignore"):
@@ -146,8 +201,7 @@ def _profile(words: int):
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             ids, digests, sizes, sketches, keys, owners = [], [], [], [], [], []
-            for id_, text in zip(batch.column("id").to_pylist(), byte_texts(batch)):
-                s = shingles(text, words)
+            for id_, s in zip(batch.column("id").to_pylist(), shingle_sets(byte_texts(batch), words)):
                 ids.append(id_)
                 sizes.append(len(s))
                 digests.append(digest(s) if len(s) else 0)
@@ -184,8 +238,7 @@ def shared_blocks(docs: DataFrame, sampled: DataFrame, id_col: str, text_col: st
         last: set[int] = set()
         for batch in slices(batches):
             keys, owners, now = [], [], set()
-            for text in byte_texts(batch):
-                s = shingles(text, words)
+            for s in shingle_sets(byte_texts(batch), words):
                 if len(s):
                     own = digest(s)
                     if own not in last and own not in now:  # copies that lie near one another give keys once
@@ -283,7 +336,7 @@ def _across(open_: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            own = [shingles(t, words) for t in byte_texts(batch)]
+            own = list(shingle_sets(byte_texts(batch), words))
             n, bits = pa.array([len(s) for s in own], pa.int64()), pa.array([sketch(s, long_words(len(s))).tobytes() for s in own], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("group", "digest", "component")), n, bits], ["group", "digest", "component", "n", "bits"])
 
@@ -377,7 +430,7 @@ def _texts(source: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            digests = [digest(s) if len(s := shingles(t, words)) else 0 for t in byte_texts(batch)]
+            digests = [digest(s) if len(s) else 0 for s in shingle_sets(byte_texts(batch), words)]
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), batch.column("text")], ["digest", "text"])
 
     named = read.mapInArrow(name, "digest long, text binary").join(wanted.select("digest"), "digest")
