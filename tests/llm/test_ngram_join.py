@@ -97,3 +97,12 @@ def test_first_of_each(odd, none):
     ids = sorted(repr(r["doc_id"]) for r in kept.collect())
     assert "2" not in ids and ids.count("10") == 2 and "None" in ids and "3" in ids
     assert nj.classes(none).count() == nj.first_of_each(none).count() == 0
+
+
+def test_word_hashes_do_not_depend_on_what_stands_around():
+    from ledgerloom.llm.ngram_join import word_hashes
+
+    h, place = word_hashes(b"foo bar " + b"z" * (1 << 18) + b"\tFOO  bar\n")
+    assert h[0] == h[3] and h[1] == h[4] and len(set(h.tolist())) == 3
+    assert place.tolist()[:3] == [0, 4, 8]
+    assert len(word_hashes(b"")[0]) == len(word_hashes(b" \n ")[0]) == 0
