@@ -11,10 +11,16 @@ Hamming distance.
 
 Pigeonhole join.  Of two linked sets' non-empty blocks at most d = (1 - t) / (1 + t) * (a + b) differ, so in whatever
 order blocks are ranked, the first c that both have alike are among the first d + c of either.  Each text gives out those
-blocks only, in the band of its own size, and in the next lower band if a partner there can be small enough.  With
-c = n // EXTRA + 1 for n elements, a text that meets others in fewer than c blocks is linked with nothing and drops out
-before any pair is made, whatever passages it shares with others.  Blocks that many texts share rank last, as found in a sample of texts by digest; the order changes how many candidates there
-are, never which links are found.
+blocks only, in the band of its own size, and in the next lower band if a partner there can be small enough.  A text
+of n elements takes c = n // EXTRA + 1, so two linked texts meet in as many blocks as the smaller one's c at least; a
+text that meets others in fewer blocks than the c of its smallest admissible partner is linked with nothing and drops
+out before any pair is made, whatever passages it shares with others.  Blocks that many texts share rank last, as found
+in a sample of texts by digest; the order changes how many candidates there are, never which links are found.
+
+Small sets.  The lowest band has so few blocks that d of them may be all that a set fills, so there (and in all bands
+below BLOCK_PERCENT) texts give out the hashes of their elements instead: linked sets share t * n elements at least of
+either's n, hence the first c that they share are among the first n - t * n + c of either.  In the bands above, a set
+would have to fill fewer than d + c blocks to miss a partner, more than six standard deviations below what it fills.
 
 Candidates.  Texts with an equal block are compared with one another where a block has no more than SMALL texts.  In a
 larger group all are compared with one pivot, and again with another while the group is not yet one component; what is
@@ -51,6 +57,8 @@ LONG_BITS = 4
 SAMPLE, COMMON, MAX_COMMON = 16, 4, 500_000
 #: One element in EXTRA tells how many blocks more than the differing ones a text gives out.
 EXTRA = 8
+#: Least similarity at which the differing blocks leave enough others alike.
+BLOCK_PERCENT = 70
 #: Texts of one block that are compared with one another; larger groups go by pivots.
 SMALL, PIVOT_ROUNDS = 8, 2
 #: Texts of a group that one task holds against as many others.
@@ -154,6 +162,11 @@ def blocks(s: np.ndarray, top: int) -> np.ndarray:
         return mix64(np.bitwise_xor.reduceat(s[by], first) ^ (place[first] * _MULTIPLIER + np.uint64(top)))
 
 
+def elements(s: np.ndarray) -> np.ndarray:
+    """Keys of the set's elements themselves."""
+    return mix64(s ^ _MULTIPLIER)
+
+
 def sketch(s: np.ndarray, size: int = SKETCH_WORDS) -> np.ndarray:
     """Parity bits: bit h of the sketch tells whether an odd number of hashes falls on it."""
     bits = np.bincount((s % np.uint64(64 * size)).astype(np.int64), minlength=64 * size) & 1
@@ -171,10 +184,15 @@ def folded(bits: np.ndarray) -> np.ndarray:
 
 
 def least_shared(n):
-    """Blocks that a text of n elements has in common with each linked text, at least, among those given out."""
+    """Blocks that a text of n elements has in common with each linked text that is no smaller, at least, among those given out."""
     return n // EXTRA + 1
 
 
+def least_met(n, percent: int = PERCENT):
+    """Blocks in which a text of n elements meets any linked text at least: its smallest partner gives out the fewest."""
+    return least_shared((n * percent + 99) // 100)
+
+
 def block_keys(s: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The keys that a set gives out, common ones last."""
     n = len(s)
@@ -183,7 +201,10 @@ def block_keys(s: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.
     for top, most in ((own, (100 - percent) * (n + n * 100 // percent) // (100 + percent)), (own // BAND, (100 - percent) * 2 * n // (100 + percent))):
         if top < own and (top < BAND or n * percent >= 100 * top):
             continue  # no partner is as small as that
-        keys = blocks(s, top)
+        if top <= BAND or percent < BLOCK_PERCENT:
+            keys, most = elements(s), n - (n * percent + 99) // 100
+        else:
+            keys = blocks(s, top)
         most += least_shared(n) - 1
         if most + 1 < len(keys):
             rank = keys >> np.uint64(1)
@@ -192,6 +213,8 @@ def block_keys(s: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.
                 rank |= (common[at] == keys).astype(np.uint64) << np.uint64(63)
             keys = keys[np.argpartition(rank, most)[: most + 1]]
         out.append(keys)
+        if percent < BLOCK_PERCENT:
+            break  # elements are the same in every band
     return np.concatenate(out)
 
 
@@ -207,7 +230,7 @@ def _profile(words: int):
                 digests.append(digest(s) if len(s) else 0)
                 sketches.append(sketch(s))
                 if len(s) and digests[-1] % SAMPLE == 0:
-                    keys.append(blocks(s, band_top(len(s))))
+                    keys.append(blocks(s, band_top(len(s))) if len(s) >= BAND else elements(s))
                     owners.append(np.full(len(keys[-1]), digests[-1]))
             if ids:
                 columns = [np.zeros(len(ids), np.int32), pa.array(ids, pa.int64()), np.array(digests), np.array(sizes), *np.array(sketches).T]
@@ -255,10 +278,10 @@ def shared_blocks(docs: DataFrame, sampled: DataFrame, id_col: str, text_col: st
     return stored(met.select("key", "digest").distinct(), "ngram-met")
 
 
-def promising(met: DataFrame, info: DataFrame) -> DataFrame:
+def promising(met: DataFrame, info: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(key, digest, texts, pivot) of the blocks of texts that meet others often enough."""
     often = met.groupBy("digest").agg(F.count("*").alias("met")).join(info.select("digest", "n"), "digest")
-    often = often.filter(F.col("met") >= F.floor(F.col("n") / EXTRA) + 1)
+    often = often.filter(f"met >= (n * {percent} + 99) div 100 div {EXTRA} + 1")  # least_met
     w = Window.partitionBy("key")
     kept = met.join(often.select("digest"), "digest").select("key", "digest", F.count("*").over(w).alias("texts"), F.min("digest").over(w).alias("pivot"))
     return stored(kept.filter("texts > 1"), "ngram-blocks")
@@ -381,7 +404,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     """(doc_id, n_shingles, component_id, n_links) of every row; n_links counts the text's verified links."""
     rows, sampled = profiles(docs, id_col, text_col, words)
     info = rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), *(F.first(f"s{k}").alias(f"s{k}") for k in range(SKETCH_WORDS)))
-    met = promising(shared_blocks(docs, sampled, id_col, text_col, words, percent), info)
+    met = promising(shared_blocks(docs, sampled, id_col, text_col, words, percent), info, percent)
 
     # texts that may be linked at all, each read from one of its documents
     wanted = met.select("digest").distinct().join(info.select("digest", "id", "n"), "digest")

@@ -106,3 +106,29 @@ def test_word_hashes_do_not_depend_on_what_stands_around():
     assert h[0] == h[3] and h[1] == h[4] and len(set(h.tolist())) == 3
     assert place.tolist()[:3] == [0, 4, 8]
     assert len(word_hashes(b"")[0]) == len(word_hashes(b" \n ")[0]) == 0
+
+
+def test_isolated_pairs_of_unequal_sizes(spark):
+    # the larger set's own share of blocks is more than the smaller one gives out: each pair is alone
+    rows, linked = [], 0
+    for large, small in ((8, 6), (16, 12), (4, 3), (5, 4), (21, 16), (24, 18), (20, 15), (2, 2), (32, 24), (64, 48), (40, 31), (9, 8), (340, 255), (256, 200)):
+        for seed in range(12 if large > 100 else 40):
+            words = [f"w{large}x{small}x{seed}x{k}" for k in range(large + 4)]
+            at = seed % (large - small + 1)
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[at : at + small + 4]))]
+            linked += 1
+    found = nj.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert [r["doc_id"] for r in found if r["component_id"] != r["doc_id"] // 2 * 2] == []
+    assert sum(r["n_links"] == 1 for r in found) == 2 * (linked - 40)  # (2, 2) is one text twice
+
+
+def test_keys_given_out_suffice_for_what_is_asked():
+    rng = np.random.default_rng(1)
+    for percent in (50, 60, 75, 90):
+        for n in (1, 2, 3, 4, 6, 8, 12, 15, 16, 20, 21, 22, 31, 64, 100, 255, 256, 300):
+            large = n * 100 // percent
+            for _ in range(20):
+                b = np.unique(rng.integers(0, 2**63, large).astype(np.uint64))
+                a = np.sort(rng.permutation(b)[:n])
+                given = [set(nj.block_keys(x, np.zeros(0, np.uint64), percent).tolist()) for x in (a, b)]
+                assert len(given[0] & given[1]) >= max(nj.least_met(n, percent), nj.least_met(large, percent)), (percent, n, large)
