@@ -3,7 +3,7 @@
 A rule is a host and the start of a path with a verdict.  Its key is the 64-bit xxhash of ``host/path``; the keys are
 kept ascending in one file, beside it the rules' full strings, and Spark ships both to every executor, whose tasks map
 them into memory.  A URL is probed with every suffix of its host and every start of its path that is as long as some
-rule's path; a digest that is found counts only if the stored string is the probed one, so collisions do no harm.  The
+rule's path, none at all for rules of a host alone; a digest that is found counts only if the stored string is the probed one, so collisions do no harm.  The
 longest rule wins.  A URL that no rule fits is blocked if it names no host or its host has a word of BLOCK_WORDS
 between dots and hyphens (such words are keys of the same array), and else gets ``default``.
 
@@ -60,7 +60,7 @@ def split_url(url: str | None) -> tuple[bytes, bytes]:
 
 
 def _suffixes(host: bytes) -> Iterator[bytes]:
-    while host:
+    while True:
         yield host
         _, dot, host = host.partition(b".")
         if not dot:
@@ -87,7 +87,7 @@ class DigestArray:
         for host, start, verdict in rules:
             key = host.encode().translate(_LOWER) + start.encode()
             merged[key] = merged.get(key, False) or verdict == "block"
-            if start:
+            if not host.startswith("#"):  # words are no starts of URLs
                 lengths.add(len(start.encode()))
         keys = sorted(merged, key=lambda k: (xxhash.xxh64_intdigest(k), k))
         strings = b"".join(keys)

@@ -58,3 +58,14 @@ def test_collisions_are_confirmed_by_the_string(tmp_path, monkeypatch):
     found = array.find(keys)
     assert [i >= 0 for i in found] == [True, True, False, True, False]
     assert [bool(array.blocks[i]) for i in found[[0, 1, 3]]] == [True, False, True]
+
+
+def test_rules_of_a_host_alone(spark, odd_pages, monkeypatch):
+    given = [("example.org", "", "block"), ("com", "", "allow"), ("y.com", "", "block"), ("a.b.com", "/fr/", "block"), ("H.org", "", "block"), ("", "", "allow")]
+    for own in (given[:5], given, given[:1]):
+        rules = spark.createDataFrame(own, "host string, path string, verdict string")
+        want = wanted(odd_pages, [(h.lower(), p, v) for h, p, v in own])
+        monkeypatch.setattr(uf, "MAX_SHIPPED", 5_000_000)
+        assert answers(uf.filter_urls(odd_pages, rules)) == want
+        monkeypatch.setattr(uf, "MAX_SHIPPED", 0)
+        assert answers(uf.filter_urls(odd_pages, rules)) == want
