@@ -157,21 +157,23 @@ def allocate(statements: DataFrame, sales: DataFrame, key: str, days: int = 7) -
     return statements.select(*cols).groupBy("key").cogroup(sales.select(*cols).groupBy("key")).applyInPandas(run, ALLOCATED)
 
 
-def connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that is reachable over the edges (a, b).
 
-    Labels are written at every round to the session's checkpoint folder, so the plan doesn't grow.
+    Each round takes the smallest label around a node and then that label's own, so a chain's length falls by half; it
+    goes on until no label changes.  Labels are written at every round to the session's checkpoint folder, so the plan
+    doesn't grow.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        moved = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("new"))
-        moved = moved.checkpoint()
+        down = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("next"))
+        own = labels.select(F.col("node").alias("next"), F.col("component").alias("further"))
+        moved = down.join(own, "next", "left").select("node", "component", F.least("next", "further").alias("new")).checkpoint()
         labels = moved.select("node", F.col("new").alias("component"))
         if moved.filter("component != new").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def overall_status(identity: Column, amount: Column, tax: Column) -> Column:

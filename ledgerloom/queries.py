@@ -508,10 +508,18 @@ def token_block_candidates(spark, d):
     return identity.blocked_pairs(p.filter("id % 10 = 0"), p)
 
 
+@query("""
+WITH w AS (SELECT p_partkey AS id, unnest(list_distinct(string_split(p_name, ' '))) AS word FROM part)
+SELECT a.id AS left_id, b.id AS right_id, count(*)::BIGINT AS shared FROM w a JOIN w b ON a.word = b.word WHERE length(a.word) > 1 GROUP BY 1, 2""")
+def token_block_candidates_all(spark, d):
+    p = load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return identity.blocked_pairs(p, p)
+
+
 @query()
 def fuzzy_topk(spark, d):
     p = load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.upper("p_name").alias("name"))
-    return identity.fuzzy_candidates(p.filter("id % 10 = 0"), p.filter("id % 10 != 0"))
+    return identity.fuzzy_candidates(p, p, itself=False)
 
 
 @query(_with(BOOKS_SQL) + """
@@ -669,6 +677,18 @@ def connected_components(spark, d):
     return labelled(edges)
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS a, 1000000 + c_nationkey * 10 + c_custkey % 7 AS b FROM customer),
+n AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, reached) AS (SELECT a, a FROM n UNION SELECT r.node, n.b FROM r JOIN n ON n.a = r.reached)
+SELECT node, min(reached) AS component FROM r GROUP BY node""")
+def connected_components_all(spark, d):
+    from .plans.components import labelled
+
+    c = load(spark, d, "customer")
+    return labelled(c.select(F.col("c_custkey").alias("a"), (1000000 + F.col("c_nationkey").cast("long") * 10 + F.col("c_custkey") % 7).alias("b")))
+
+
 @query(_with(BOOKS_SQL, STATEMENTS_SQL) + """,
 b AS (SELECT customer, fy, sum(amount) AS amount FROM books GROUP BY 1, 2), s AS (SELECT customer, fy, sum(amount) AS amount, sum(tax) AS tax, count(DISTINCT tan) AS tans FROM stmts GROUP BY 1, 2),
 j AS (SELECT s.customer, s.fy, CASE WHEN b.customer IS NULL THEN 'UNMAPPED' WHEN tans > 12 THEN 'CONFLICT' ELSE 'CONFIRMED' END AS identity,
