@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,37 +120,50 @@ ALLOCATED = "key long, statement_id long, sale_id long, kind string"
 
 
 def allocate(statements: DataFrame, sales: DataFrame, key: str, days: int = 7) -> DataFrame:
-    """Consuming allocation for each key: one to one where unique, then one statement row to two sales, then by day only."""
+    """Consuming allocation for each key, each row in one allocation at most: one to one where unique, then one statement
+    row to two sales, then two statement rows to one sale, then by day only.  Rows without an amount are in none."""
 
     def run(k: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values(["day", "id"]), right.sort_values(["day", "id"])
-        day_l, day_r = pd.to_datetime(left["day"]).to_numpy(), pd.to_datetime(right["day"]).to_numpy()
+        left, right = (x[x["day"].notna() & x["amount"].notna()].sort_values(["day", "id"]) for x in (left, right))
+        day_l, day_r = (pd.to_datetime(x["day"]).to_numpy().astype("datetime64[D]").astype("int64") for x in (left, right))
         a_l, a_r = left["amount"].astype(float).to_numpy(), right["amount"].astype(float).to_numpy()
-        used, done, out = set(), set(), []
-        window = [[j for j in range(len(right)) if abs((day_r[j] - day_l[i]) / pd.Timedelta("1D")) <= days] for i in range(len(left))]
-        fits = lambda x, y: abs(x - y) <= max(10.0, max(abs(x), abs(y), 1) / 100)
+        free_l, free_r = np.ones(len(left), bool), np.ones(len(right), bool)
+        out = []
+        fits = lambda x, y: np.abs(x - y) <= np.maximum(10.0, np.maximum(np.maximum(np.abs(x), np.abs(y)), 1) / 100)
+
+        def near(day: int, days_: np.ndarray, free: np.ndarray) -> np.ndarray:
+            lo, hi = np.searchsorted(days_, day - days), np.searchsorted(days_, day + days, "right")
+            return lo + np.flatnonzero(free[lo:hi])
+
+        def only_pair(target: float, pool: np.ndarray, amounts: np.ndarray) -> list[int]:
+            """The pair of the pool that adds up to the target, if there is just one."""
+            found: list[int] = []
+            for n, x in enumerate(pool[:-1]):
+                hits = pool[n + 1 :][fits(target, amounts[x] + amounts[pool[n + 1 :]])]
+                if len(hits) + len(found) // 2 > 1:
+                    return []
+                found += [p for y in hits for p in (x, y)]
+            return found
+
+        def take(i: list[int], j: list[int], kind: str) -> None:
+            free_l[i] = free_r[j] = False
+            out.extend((x, y, kind) for x in i for y in j)
+
         for i in range(len(left)):
-            good = [j for j in window[i] if j not in used and fits(a_l[i], a_r[j])]
+            pool = near(day_l[i], day_r, free_r)
+            good = pool[fits(a_l[i], a_r[pool])]
             if len(good) == 1:
-                out.append((i, good[0], "ONE_TO_ONE"))
-        for i in range(len(left)):
-            if i in {x for x, _, _ in out}:
-                continue
-            free = [j for j in window[i] if j not in {y for _, y, _ in out}]
-            pairs = [(x, y) for n, x in enumerate(free) for y in free[n + 1 :] if fits(a_l[i], a_r[x] + a_r[y])]
-            if len(pairs) == 1:
-                out += [(i, pairs[0][0], "ONE_TO_TWO"), (i, pairs[0][1], "ONE_TO_TWO")]
-        seen: set[int] = set()
-        for i, j, kind in sorted(out, key=lambda t: (t[2] != "ONE_TO_ONE", t[0])):
-            if j not in used or kind == "ONE_TO_TWO":
-                used.add(j)
-                done.add(i)
-        del seen
-        for i in range(len(left)):
-            free = [j for j in window[i] if j not in used]
-            if i not in done and len(free) == 1:
-                out.append((i, free[0], "DATE_ONLY"))
-                used.add(free[0])
+                take([i], [good[0]], "ONE_TO_ONE")
+        for i in np.flatnonzero(free_l):
+            if pair := only_pair(a_l[i], near(day_l[i], day_r, free_r), a_r):
+                take([i], pair, "ONE_TO_TWO")
+        for j in np.flatnonzero(free_r):
+            if pair := only_pair(a_r[j], near(day_r[j], day_l, free_l), a_l):
+                take(pair, [j], "TWO_TO_ONE")
+        for i in np.flatnonzero(free_l):
+            pool = near(day_l[i], day_r, free_r)
+            if len(pool) == 1:
+                take([i], [pool[0]], "DATE_ONLY")
         ids, others = left["id"].to_numpy(), right["id"].to_numpy()
         return pd.DataFrame([(k[0], ids[i], others[j], kind) for i, j, kind in out], columns=["key", "statement_id", "sale_id", "kind"])
 

@@ -1,6 +1,11 @@
 """Operators that loop, against plain loops."""
 
+import datetime
+import random
+from itertools import combinations
+
 from ledgerloom import queries as engine
+from ledgerloom.operators import relationship
 from ledgerloom.plans.components import labelled
 
 
@@ -14,3 +19,47 @@ def test_every_part_is_looked_up_among_all_others(spark, sf_dir):
     ids = {r[0] for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").collect()}
     found = engine.QUERIES["fuzzy_topk"](spark, sf_dir).select("left_id", "right_id").collect()
     assert {r["left_id"] for r in found} == ids and all(r["left_id"] != r["right_id"] for r in found)
+
+
+def plain_allocation(statements, sales, days):
+    fits = lambda x, y: abs(x - y) <= max(10.0, max(abs(x), abs(y), 1) / 100)
+    gone, sold, out = set(), set(), []
+    order = lambda rows: sorted((r for r in rows if r[2] is not None), key=lambda r: (r[1], r[0]))
+    left, right = order(statements), order(sales)
+    near = lambda r, rows, used: [o for o in rows if o[0] not in used and abs((o[1] - r[1]).days) <= days]
+
+    def take(own, others, kind):
+        gone.update(r[0] for r in own)
+        sold.update(r[0] for r in others)
+        out.extend((r[0], o[0], kind) for r in own for o in others)
+
+    for r in left:
+        good = [o for o in near(r, right, sold) if fits(r[2], o[2])]
+        if len(good) == 1:
+            take([r], good, "ONE_TO_ONE")
+    for r in left:
+        pairs = [] if r[0] in gone else [p for p in combinations(near(r, right, sold), 2) if fits(r[2], p[0][2] + p[1][2])]
+        if len(pairs) == 1:
+            take([r], pairs[0], "ONE_TO_TWO")
+    for o in right:
+        pairs = [] if o[0] in sold else [p for p in combinations(near(o, left, gone), 2) if fits(o[2], p[0][2] + p[1][2])]
+        if len(pairs) == 1:
+            take(pairs[0], [o], "TWO_TO_ONE")
+    for r in left:
+        good = [] if r[0] in gone else near(r, right, sold)
+        if len(good) == 1:
+            take([r], good, "DATE_ONLY")
+    return out
+
+
+def test_allocation_consumes_in_four_tiers(spark):
+    rng = random.Random(3)
+    day = lambda: datetime.date(2024, 4, 1) + datetime.timedelta(rng.randrange(90))
+    amount = lambda: None if rng.random() < 0.05 else float(rng.choice([1000, 2000, 3000, 4000, 5000, 7000, 9000]) + rng.randrange(40))
+    rows = lambda base: [(k, base + 100 * k + i, day(), amount()) for k in range(40) for i in range(rng.randrange(12))]
+    left, right = rows(0), rows(100000)
+    frame = lambda x: spark.createDataFrame(x, "key long, id long, day date, amount double")
+    found = relationship.allocate(frame(left), frame(right), "key").collect()
+    want = [(k, *x) for k in range(40) for x in plain_allocation([r[1:] for r in left if r[0] == k], [r[1:] for r in right if r[0] == k], 7)]
+    assert sorted((r["key"], r["statement_id"], r["sale_id"], r["kind"]) for r in found) == sorted(want)
+    assert {x[3] for x in want} == {"ONE_TO_ONE", "ONE_TO_TWO", "TWO_TO_ONE", "DATE_ONLY"}
