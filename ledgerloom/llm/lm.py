@@ -1,7 +1,8 @@
 """LM scoring with a hashed maximum-entropy model.
 
 Tokens are the words of a text (A-Z as a-z) and its end.  Spark counts them over all training texts.  The TOP most
-frequent words are known to every task; they fall into classes of about equal mass, neighbours in the order of their
+frequent words of KNOWN or more occurrences are known to every task, by their counts over all texts, however these are
+dealt out; a word of more than LONG bytes goes by its end and its hash.  Known words fall into classes of about equal mass, neighbours in the order of their
 reversed spelling, so words with one ending share a class.  All rarer words are one class, the end is another.
 
     P(word | history) = P(class | history) * P(word | class)
@@ -38,6 +39,8 @@ from .runtime import byte_texts, chunks, mix64, stored
 
 #: Words that every task knows; classes, with those of rare words and of the end; feature buckets; rounds of training.
 TOP, CLASSES, BUCKETS, ROUNDS = 1 << 18, 60, 1 << 13, 3
+#: Occurrences of a known word at least, and bytes up to which words are spelt out.
+KNOWN, LONG = 3, 64
 #: Share of the full iterative-scaling step that an update takes, and pseudo-observations of each feature.
 STEP, SMOOTH = 0.5, 64.0
 #: Tokens that are scored at once, and buckets that travel as one row.
@@ -53,8 +56,13 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.astype(np.uint64).view(np.int64)
 
 
+def _name(word: bytes) -> bytes:
+    """The word, or what a long one goes by."""
+    return word if len(word) <= LONG else word[16 - LONG :] + b"%016x" % xxhash.xxh3_64_intdigest(word)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, n, word): the word itself only where a batch has it several times, as only frequent words are spelt out."""
+    """(h, n, word) of every distinct token of each batch."""
     for batch in batches:
         seen: dict[bytes, int] = {}
         texts = byte_texts(batch)
@@ -64,8 +72,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if texts:
             seen[b""] = len(texts)  # ends
             n = np.fromiter(seen.values(), np.int64, len(seen))
-            h = np.array(list(map(xxhash.xxh3_64_intdigest, seen)), np.uint64)
-            word = [w if c >= 3 and len(w) <= 64 else None for w, c in seen.items()]
+            word = list(map(_name, seen))
+            h = np.array(list(map(xxhash.xxh3_64_intdigest, word)), np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(_signed(h)), pa.array(n), pa.array(word, pa.binary())], ["h", "n", "word"])
 
 
@@ -96,6 +104,7 @@ class Model:
     def prepare(self) -> None:
         """What tasks derive from the words and counts."""
         self.ids = dict(zip(self.words, range(len(self.words))))
+        self.long = any(len(w) == LONG for w in self.words)
         self.base = np.concatenate([np.log10(self.counts + 0.5), [0.0, 0.0]])
         own = np.arange(self.start + 1, dtype=np.uint64)
         self.last = (mix64(own + np.uint64(1)) % np.uint64(BUCKETS // 2)).astype(np.int64)
@@ -105,6 +114,8 @@ class Model:
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
         """(ids of all texts' tokens, tokens of each text, words of each text)."""
         words = [t.lower().split() for t in texts]
+        if self.long:
+            words = [list(map(_name, w)) for w in words]
         get, parts = self.ids.get, []
         for w in words:
             parts += map(get, w, repeat(self.rare))
@@ -213,7 +224,7 @@ def _scorer(model):
                 base.append(np.add.reduceat(m.base[ids], first))
                 own.append(np.add.reduceat(logs, first))
                 known = m.ids
-                rare += [[xxhash.xxh3_64_intdigest(w) for w in ws if w not in known] for ws in words]
+                rare += [[xxhash.xxh3_64_intdigest(_name(w)) for w in ws if w not in known] for ws in words]
             if texts:
                 n = np.array([len(r) for r in rare], np.int64)
                 flat = _signed(np.array([h for r in rare for h in r], np.uint64))
@@ -232,7 +243,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: in
     counts = token_counts(training)
     end = F.col("h") == F.lit(int(_signed(np.array([END_HASH], np.uint64))[0]))
     n, v, ends = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(end, F.col("n")))).first()
-    known = counts.filter(F.col("word").isNotNull() & ~end).orderBy(F.desc("n"), "h").limit(top).select("word", "n").toArrow()  # bounded
+    known = counts.filter((F.col("n") >= KNOWN) & ~end).orderBy(F.desc("n"), "h").limit(top).select("word", "n").toArrow()  # bounded
     words, own = known["word"].to_pylist(), known["n"].to_numpy()
     n, v, ends = n or 0, v or 0, ends or 0
     rare_n, rare_v = n - int(own.sum()) - ends, v - len(words) - (ends > 0)

@@ -57,3 +57,16 @@ def test_empty_tables(none, odd):
     held = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1][0]
     rows = lm.score(odd.sparkSession.createDataFrame([(held, "only held out text")], "doc_id long, text string")).collect()
     assert rows[0]["train_tokens"] == 0 and rows[0]["base_score"] == pytest.approx(0.0)
+
+
+def test_known_words_do_not_depend_on_how_texts_are_dealt_out(spark):
+    long = "long" * 40
+    rows = [(i, f"often w{i % 7} word {long} once{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    models = [lm.fit(docs.repartition(n, "doc_id"))[0] for n in (1, 40)]
+    assert models[0].words == models[1].words and np.array_equal(models[0].counts, models[1].counts)
+    training = sum(zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in rows)
+    assert len(models[1].words) == 10 and list(models[1].counts).count(training) == 3
+    models[1].prepare()
+    ids, _, _ = models[1].encode([rows[0][1].encode()])
+    assert (ids < models[1].rare).sum() == 4 and ids[-2] == models[1].rare
