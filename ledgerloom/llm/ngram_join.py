@@ -24,9 +24,11 @@ would have to fill fewer than d + c blocks to miss a partner, more than six stan
 
 Candidates.  Texts with an equal block are compared with one another where a block has no more than SMALL texts.  In a
 larger group all are compared with one pivot, and again with another while the group is not yet one component; what is
-left after PIVOT_ROUNDS is compared across components by longer sketches, each pair once, in tiles of bounded size.  Texts that are in one component already need no comparison, as
-the result is each document's component.  Pairs whose sizes or sketches differ too much are dropped, all others are
-verified on their whole sets.
+left after PIVOT_ROUNDS is compared across components by longer sketches, each pair once, in tiles of bounded size.  Pairs
+whose sizes or sketches differ too much are dropped, all others are verified on their whole sets.
+
+Numbers of links.  Texts that are in one component already need no comparison to name it.  To count their links, the
+texts of larger groups are held against all others of their component on their whole sets, in tiles of bounded size.
 
 Defined cases: a text of fewer words than WORDS is one shingle; a null text, an empty one and one without words have an
 empty set and are linked with nothing; rows with a null id keep their row but name no component; repeated rows get the
@@ -61,8 +63,8 @@ EXTRA = 8
 BLOCK_PERCENT = 70
 #: Texts of one block that are compared with one another; larger groups go by pivots.
 SMALL, PIVOT_ROUNDS = 8, 2
-#: Texts of a group that one task holds against as many others.
-TILE = 1024
+#: Texts of a group that one task holds against as many others, and elements where whole sets are held.
+TILE, TILE_ELEMENTS = 1024, 1 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
@@ -400,8 +402,51 @@ def _across(open_: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return asked.groupBy("group", "i", "j").cogroup(against.groupBy("group", "i", "j")).applyInArrow(compare, "a long, b long")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every row; n_links counts the text's verified links."""
+def _links_inside(large: DataFrame, labels: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(digest, n_links) of the texts of larger groups: how many others of them in their component each is linked with."""
+    own = labels.withColumnRenamed("node", "digest").join(large.select("digest").distinct(), "digest")
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            sets = list(shingle_sets(byte_texts(batch), words))
+            n, whole = pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("digest"), n, whole], ["component", "digest", "n", "elements"])
+
+    members = own.join(texts, "digest").select("component", "digest", "text").mapInArrow(describe, "component long, digest long, n long, elements binary")
+    members = stored(members, "ngram-members")
+    most = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_ELEMENTS)).cast("int")
+    placed = members.join(members.groupBy("component").agg(most.alias("tiles")), "component").withColumn("tile", F.pmod(F.xxhash64("digest"), "tiles").cast("int"))
+    columns = [F.col(c).alias(c) for c in ("component", "digest", "n", "elements")]
+    asked = placed.select(*columns, F.col("tile").alias("i"), F.explode(F.expr("sequence(tile, tiles - 1)")).alias("j"))
+    against = placed.select(*columns, F.col("tile").alias("j"), F.explode(F.expr("sequence(0, tile)")).alias("i"))
+
+    def count(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
+        n = y["n"].to_numpy()
+        flat, owner = np.frombuffer(b"".join(y["elements"].to_pylist()), np.uint64), np.repeat(np.arange(len(n)), n)
+        by = np.argsort(flat, kind="stable")
+        flat, owner = flat[by], owner[by]
+        same = key[1].as_py() == key[2].as_py()
+        first, second = [], np.zeros(len(n), np.int64)
+        for size, whole in zip(x["n"].to_pylist(), x["elements"].to_pylist()):
+            mine = np.frombuffer(whole, np.uint64)
+            lo = np.searchsorted(flat, mine)
+            runs = np.searchsorted(flat, mine, "right") - lo
+            at = np.repeat(lo - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+            both = np.bincount(owner[at], minlength=len(n))
+            good = 100 * both >= percent * (size + n - both)
+            first.append(int(good.sum()) - same)  # but itself
+            second += good
+        digests, counts = x["digest"].to_numpy(), np.array(first, np.int64)
+        if not same:
+            digests, counts = np.concatenate([digests, y["digest"].to_numpy()]), np.concatenate([counts, second])
+        return pa.table({"digest": digests, "n_links": counts})
+
+    return asked.groupBy("component", "i", "j").cogroup(against.groupBy("component", "i", "j")).applyInArrow(count, "digest long, n_links long")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, counted: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every row; n_links counts all other texts that the row's is linked
+    with, and is left out unless counted."""
     rows, sampled = profiles(docs, id_col, text_col, words)
     info = rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), *(F.first(f"s{k}").alias(f"s{k}") for k in range(SKETCH_WORDS)))
     met = promising(shared_blocks(docs, sampled, id_col, text_col, words, percent), info, percent)
@@ -440,11 +485,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     firsts = info.select("digest", "id").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
     firsts = firsts.withColumn("component", F.coalesce("component", "digest"))
     smallest = firsts.groupBy("component").agg(F.min("id").alias("component_id"))
-    degree = links.select(F.col("a").alias("digest")).union(links.select(F.col("b").alias("digest"))).groupBy("digest").agg(F.count("*").alias("n_links"))
-    named = firsts.join(smallest, "component").join(degree, "digest", "left").select("digest", "component_id", "n_links")
+    named = firsts.join(smallest, "component").select("digest", "component_id")
+    if counted:
+        # all pairs were compared but those within one component whose texts both are in a larger block
+        inside = large.select("digest").distinct()
+        left = links.join(inside.select(F.col("digest").alias("a"), F.lit(True).alias("_a")), "a", "left").join(inside.select(F.col("digest").alias("b"), F.lit(True).alias("_b")), "b", "left")
+        left = left.filter("_a is null or _b is null")
+        ends = left.select(F.col("a").alias("digest"), F.lit(1).cast("long").alias("n_links")).union(left.select("b", F.lit(1).cast("long")))
+        degree = ends.union(_links_inside(large, labels, texts, words, percent)).groupBy("digest").agg(F.sum("n_links").alias("n_links"))
+        named = named.join(degree, "digest", "left")
     out = rows.select("id", "digest", "n").join(named, "digest", "left")
     own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    links_ = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if counted else []
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), *links_)
 
 
 def _texts(source: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -465,7 +518,7 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows that are equal in id and text are copies of one another, and one of them stays; rows without an id stay.
     """
-    found = stored(classes(docs, id_col, text_col), "ngram-classes")
+    found = stored(classes(docs, id_col, text_col, counted=False), "ngram-classes")
     gone = found.filter("component_id is not null and doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
     id_ = F.col(id_col).cast("long")
     kept = docs.join(gone, id_ == F.col("gone"), "left_anti")

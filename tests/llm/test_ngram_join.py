@@ -132,3 +132,13 @@ def test_keys_given_out_suffice_for_what_is_asked():
                 a = np.sort(rng.permutation(b)[:n])
                 given = [set(nj.block_keys(x, np.zeros(0, np.uint64), percent).tolist()) for x in (a, b)]
                 assert len(given[0] & given[1]) >= max(nj.least_met(n, percent), nj.least_met(large, percent)), (percent, n, large)
+
+
+def test_links_are_counted_in_groups_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(nj, "TILE", 16)
+    rows = near_copies(7, 60, 100) + [(100 + i, " ".join(f"c{k}" for k in range(i, i + 40))) for i in range(24)] + [(200, None), (201, "alone here")]
+    rows += [(300 + i, t) for i, t in near_copies(8, 5, 50)] + [(400, rows[0][1])]
+    own = [s for _, s in sets(rows)]
+    want = [sum(a != b and 100 * len(a & b) >= 75 * len(a | b) for b in set(own) if b) if a else 0 for a in own]
+    found = {r["doc_id"]: r["n_links"] for r in nj.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[id_] for id_, _ in rows] == want
