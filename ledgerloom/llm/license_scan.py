@@ -37,12 +37,32 @@ NOTICE_PHRASES = {
     "creative commons attribution": "cc-by",
     "creative commons zero": "cc0",
     "public domain": "public-domain",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "cc by sa": "cc-by-sa",
+    "cc by nc": "cc-by-nc",
+    "cc by nd": "cc-by-nd",
+    "boost software license": "bsl",
+    "artistic license": "artistic",
+    "the unlicense": "unlicense",
+    "zlib license": "zlib",
+    "do what the fuck you want": "wtfpl",
+    "european union public licence": "eupl",
+    "common development and distribution license": "cddl",
+    "microsoft public license": "ms-pl",
+    "sil open font license": "ofl",
+    "redistribution and use in source and binary forms": "bsd",
+    "permission is hereby granted free of charge": "mit",
+    "permission to use copy modify and or distribute": "isc",
+    "open database license": "odbl",
+    "business source license": "busl",
+    "server side public license": "sspl",
+    "gnu free documentation license": "gfdl",
     "proprietary and confidential": "proprietary",
 }
 TAG = "spdx license identifier"
 # Licences that permit reuse in a training set unless a caller names others.
 ALLOWED = frozenset({"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "cc0-1.0", "cc-by-4.0", "cc-by-3.0", "unlicense", "zlib"})
-RESTRICTED = frozenset({"gpl", "lgpl", "agpl", "reserved", "proprietary"})
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _TAG_AT = re.compile(rb"spdx[-\s]license[-\s]identifier\s*:?[ \t]*([^\r\n]*)", re.I)
@@ -59,8 +79,16 @@ def _automaton() -> ahocorasick.Automaton:
     return found
 
 
+class Malformed(ValueError):
+    """An expression that can't be evaluated; ``named`` holds the licences up to its fault."""
+
+    def __init__(self, why: str, named: list[str]):
+        super().__init__(why)
+        self.named = [x for x in named if x not in _PRECEDENCE]
+
+
 def to_postfix(expression: str) -> list[str]:
-    """Shunting-yard: the expression's operands and operators in postfix order; ValueError where it is malformed.
+    """Shunting-yard: the expression's operands and operators in postfix order; Malformed where it has none.
 
     The expression ends before the first token that can't continue it, as notices go on after their tag.
     """
@@ -73,7 +101,7 @@ def to_postfix(expression: str) -> list[str]:
             if token == "(":
                 stack.append(token)
             elif token == ")" or low in _PRECEDENCE:
-                raise ValueError(f"no licence before {token!r}")
+                raise Malformed(f"no licence before {token!r}", out)
             else:
                 out.append(low)
                 operand_next = False
@@ -88,7 +116,7 @@ def to_postfix(expression: str) -> list[str]:
         else:
             break
     if operand_next or "(" in stack:
-        raise ValueError("the expression is not complete")
+        raise Malformed("the expression is not complete", out)
     return out + stack[::-1]
 
 
@@ -138,8 +166,8 @@ def scan_text(text: bytes, allowed: frozenset[str] = ALLOWED) -> tuple:
             try:
                 postfix = to_postfix(shown)
                 verdicts.append(evaluate(postfix, allowed))
-            except ValueError:
-                postfix = [t for t in map(str.lower, _TOKEN.findall(shown)) if t in allowed]
+            except Malformed as e:
+                postfix = e.named
                 verdicts.append(False)
             exceptions = {postfix[i - 1] for i, t in enumerate(postfix) if t == "with"}
             labels |= {_family(t) for t in postfix if t not in _PRECEDENCE and t not in exceptions}

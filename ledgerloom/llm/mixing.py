@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import stored
+from .runtime import fresh, stored
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_EPOCHS = 3
@@ -84,18 +84,20 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     mark = F.xxhash64(F.col(text_col).cast("string"))
     mixed = _mixed(_drawn(docs, id_col, text_col, source_col), weights)
     plan = mixed.groupBy("doc_id", "mark").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count("*").alias("rows"))
-    plan = stored(plan.filter("taken > 0"), "mix-plan").withColumnsRenamed({"doc_id": "mix_id", "mark": "mix_mark", "taken": "mix_taken", "size": "mix_size", "rows": "mix_rows"})
-    rows = docs.join(plan, docs[id_col].cast("long").eqNullSafe(F.col("mix_id")) & (mark == F.col("mix_mark")))
-    if not plan.filter("mix_rows > 1").isEmpty():  # equal rows: one of them stands for all
-        again = rows.filter("mix_rows > 1").dropDuplicates(["mix_id", "mix_mark"])
-        rows = rows.filter("mix_rows = 1").unionByName(again)
-    copies = F.ceil(F.col("mix_taken") / F.col("mix_size")).cast("int")
-    rows = rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), copies)))
-    left = F.col("mix_taken") - (F.col("mix_copy") - 1) * F.col("mix_size")
+    of = {c: fresh(f"mix_{c}", docs) for c in ("doc_id", "mark", "taken", "size", "rows", "copy")}
+    plan = stored(plan.filter("taken > 0"), "mix-plan").withColumnsRenamed({c: of[c] for c in plan.columns})
+    own = {c: F.col(n) for c, n in of.items()}
+    rows = docs.join(plan, F.col(id_col).cast("long").eqNullSafe(own["doc_id"]) & (mark == own["mark"]))
+    if not plan.filter(own["rows"] > 1).isEmpty():  # equal rows: one of them stands for all
+        again = rows.filter(own["rows"] > 1).dropDuplicates([of["doc_id"], of["mark"]])
+        rows = rows.filter(own["rows"] == 1).unionByName(again)
+    copies = F.ceil(own["taken"] / own["size"]).cast("int")
+    rows = rows.withColumn(of["copy"], F.explode(F.sequence(F.lit(1), copies)))
+    left = own["taken"] - (own["copy"] - 1) * own["size"]
     some = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(f"({WORD})"), 1), F.lit(1), left.cast("int")), " ")
-    cut = rows.withColumn(text_col, F.when(left < F.col("mix_size"), some).otherwise(F.col(text_col)))
+    cut = rows.withColumn(text_col, F.when(left < own["size"], some).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(left < F.col("mix_size"), F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        cut = cut.withColumn("n_chars", F.when(left < own["size"], F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
 
 

@@ -39,6 +39,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import byte_texts, chunks, keyed_texts, mix64, slices, stored
+from .runtime import byte_texts, chunks, fresh, keyed_texts, mix64, slices, stored
 
 WORDS = 5
 PERCENT = 75
@@ -65,6 +66,8 @@ BLOCK_PERCENT = 70
 SMALL, PIVOT_ROUNDS = 8, 2
 #: Texts of a group that one task holds against as many others, and elements where whole sets are held.
 TILE, TILE_ELEMENTS = 1024, 1 << 20
+#: An element is frequent where more than one pair of sets in DENSE has it; such columns and other meetings taken at once.
+DENSE, COLUMNS, MEETINGS = 128, 2048, 1 << 21
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
@@ -284,9 +287,10 @@ def promising(met: DataFrame, info: DataFrame, percent: int = PERCENT) -> DataFr
     """(key, digest, texts, pivot) of the blocks of texts that meet others often enough."""
     often = met.groupBy("digest").agg(F.count("*").alias("met")).join(info.select("digest", "n"), "digest")
     often = often.filter(f"met >= (n * {percent} + 99) div 100 div {EXTRA} + 1")  # least_met
-    w = Window.partitionBy("key")
-    kept = met.join(often.select("digest"), "digest").select("key", "digest", F.count("*").over(w).alias("texts"), F.min("digest").over(w).alias("pivot"))
-    return stored(kept.filter("texts > 1"), "ngram-blocks")
+    kept = met.join(often.select("digest"), "digest").select("key", "digest")
+    # counted before the shuffle and joined back, so that Spark can split a block that a large group of texts shares
+    blocks_ = kept.groupBy("key").agg(F.count("*").alias("texts"), F.min("digest").alias("pivot")).filter("texts > 1")
+    return stored(kept.join(blocks_, "key"), "ngram-blocks")
 
 
 def _pair(x: Column, y: Column) -> list[Column]:
@@ -402,6 +406,36 @@ def _across(open_: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return asked.groupBy("group", "i", "j").cogroup(against.groupBy("group", "i", "j")).applyInArrow(compare, "a long, b long")
 
 
+def shared_elements(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """How many elements each set of x has in common with each of y; x and y hold the sets one after another, n and m
+    their sizes.  Elements that many sets have are counted by a product of matrices, all others one meeting at a time."""
+    values, code = np.unique(np.concatenate([x, y]), return_inverse=True)
+    of_x, of_y = np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)
+    x, y = code[: len(x)], code[len(x) :]
+    in_x, in_y = (np.bincount(c, minlength=len(values)) for c in (x, y))
+    both = np.zeros((len(n), len(m)), np.float32)
+    frequent = in_x * in_y > both.size // DENSE
+    place = np.cumsum(frequent) - 1
+    for lo in range(0, int(frequent.sum()), COLUMNS):
+        sides = []
+        for c, owner, rows in ((x, of_x, len(n)), (y, of_y, len(m))):
+            at = np.flatnonzero(frequent[c] & (place[c] >= lo) & (place[c] < lo + COLUMNS))
+            side = np.zeros((rows, COLUMNS), np.float32)
+            side[owner[at], place[c[at]] - lo] = 1
+            sides.append(side)
+        both += sides[0] @ sides[1].T
+    both = both.astype(np.int64)
+    by = np.argsort(y, kind="stable")
+    of_y, first = of_y[by], np.cumsum(in_y) - in_y
+    rare = np.flatnonzero(~frequent[x] & (in_y[x] > 0))
+    upto = np.cumsum(in_y[x[rare]])
+    for lo, hi in pairwise(np.searchsorted(upto, [*range(0, int(upto[-1]) if len(upto) else 0, MEETINGS), 1 << 62])):
+        runs = in_y[x[rare[lo:hi]]]
+        met = np.repeat(first[x[rare[lo:hi]]] - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+        both += np.bincount(np.repeat(of_x[rare[lo:hi]], runs) * len(m) + of_y[met], minlength=both.size).reshape(both.shape)
+    return both
+
+
 def _links_inside(large: DataFrame, labels: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """(digest, n_links) of the texts of larger groups: how many others of them in their component each is linked with."""
     own = labels.withColumnRenamed("node", "digest").join(large.select("digest").distinct(), "digest")
@@ -421,25 +455,12 @@ def _links_inside(large: DataFrame, labels: DataFrame, texts: DataFrame, words:
     against = placed.select(*columns, F.col("tile").alias("j"), F.explode(F.expr("sequence(0, tile)")).alias("i"))
 
     def count(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
-        n = y["n"].to_numpy()
-        flat, owner = np.frombuffer(b"".join(y["elements"].to_pylist()), np.uint64), np.repeat(np.arange(len(n)), n)
-        by = np.argsort(flat, kind="stable")
-        flat, owner = flat[by], owner[by]
-        same = key[1].as_py() == key[2].as_py()
-        first, second = [], np.zeros(len(n), np.int64)
-        for size, whole in zip(x["n"].to_pylist(), x["elements"].to_pylist()):
-            mine = np.frombuffer(whole, np.uint64)
-            lo = np.searchsorted(flat, mine)
-            runs = np.searchsorted(flat, mine, "right") - lo
-            at = np.repeat(lo - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
-            both = np.bincount(owner[at], minlength=len(n))
-            good = 100 * both >= percent * (size + n - both)
-            first.append(int(good.sum()) - same)  # but itself
-            second += good
-        digests, counts = x["digest"].to_numpy(), np.array(first, np.int64)
-        if not same:
-            digests, counts = np.concatenate([digests, y["digest"].to_numpy()]), np.concatenate([counts, second])
-        return pa.table({"digest": digests, "n_links": counts})
+        n, m = x["n"].to_numpy(), y["n"].to_numpy()
+        both = shared_elements(*(np.frombuffer(b"".join(t["elements"].to_pylist()), np.uint64) for t in (x, y)), n, m)
+        good = (100 + percent) * both >= percent * (n[:, None] + m)
+        if key[1].as_py() == key[2].as_py():
+            return pa.table({"digest": x["digest"].to_numpy(), "n_links": good.sum(1) - 1})  # but itself
+        return pa.table({"digest": np.concatenate([x["digest"].to_numpy(), y["digest"].to_numpy()]), "n_links": np.concatenate([good.sum(1), good.sum(0)])})
 
     return asked.groupBy("component", "i", "j").cogroup(against.groupBy("component", "i", "j")).applyInArrow(count, "digest long, n_links long")
 
@@ -519,11 +540,12 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows that are equal in id and text are copies of one another, and one of them stays; rows without an id stay.
     """
     found = stored(classes(docs, id_col, text_col, counted=False), "ngram-classes")
-    gone = found.filter("component_id is not null and doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
-    id_ = F.col(id_col).cast("long")
-    kept = docs.join(gone, id_ == F.col("gone"), "left_anti")
-    again = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("again"))
+    name = fresh("gone", docs)
+    gone = found.filter("component_id is not null and doc_id != component_id").select(F.col("doc_id").alias(name)).distinct()
+    same = F.col(id_col).cast("long") == F.col(name)
+    kept = docs.join(gone, same, "left_anti")
+    again = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(name))
     if again.isEmpty():
         return kept
-    once = kept.join(again, id_ == F.col("again"), "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(again, id_ == F.col("again"), "left_anti").unionByName(once)
+    once = kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(again, same, "left_anti").unionByName(once)

@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised steps take at once; a single longer text is taken alone.
 CHUNK_BYTES = 4 << 20
+#: Bytes of an Arrow batch, about; a single longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+_BATCH, _NO_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1)
 
 _local_dir: str | None = None
 
@@ -49,8 +52,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, unless the user has: Spark bounds them by rows alone, and ten
+    thousand long texts at once, held in the JVM and again in Python, can outgrow an executor."""
+    if spark.conf.get(_BATCH, None) in (None, _NO_BOUND):
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """The name, with as many underscores as it takes to be no column of these tables."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keyed_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text as bytes): only these two columns reach the scan, whatever else the table holds."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import stored
+from .runtime import fresh, stored
 
 BITS = 60
 #: The deepest split; 2**MAX_DEPTH shards are more than any table has documents for.
@@ -66,8 +66,8 @@ def directory(rows: DataFrame, limit: int) -> tuple[DataFrame, int]:
     return stored(buckets, "shard-directory"), depth
 
 
-def shard(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, shard, depth, shard_bytes, oversized) of every row; shard is the bucket's bits as a string."""
+def _placed(docs: DataFrame, limit: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, n_bytes, place, shard, depth, shard_bytes) of every row."""
     text = F.col(text_col).cast("string")
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -83,14 +83,24 @@ def shard(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col:
     # a row looks its bucket up at the few depths that buckets have
     keyed = rows.withColumn("depth", F.explode(F.array(*map(F.lit, depths)))).withColumn("prefix", prefix)
     bits = F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
-    joined = keyed.join(buckets, ["depth", "prefix"])
-    return joined.select("doc_id", "n_bytes", bits.alias("shard"), "depth", "shard_bytes", (F.col("shard_bytes") > limit).alias("oversized"))
+    return keyed.join(buckets, ["depth", "prefix"]).select("doc_id", "n_bytes", "place", bits.alias("shard"), "depth", "shard_bytes")
+
+
+def shard(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, shard, depth, shard_bytes, oversized) of every row; shard is the bucket's bits as a string."""
+    return _placed(docs, limit, id_col, text_col).drop("place").withColumn("oversized", F.col("shard_bytes") > limit)
+
 
+def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """docs as Parquet, a folder for each shard; the name of the folders' column, ``shard`` unless docs has one.
 
-def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """docs as Parquet, a folder for each shard."""
-    shards = shard(docs, limit).select("doc_id", "shard").distinct()
-    docs.join(shards, docs["doc_id"].eqNullSafe(shards["doc_id"])).drop(shards["doc_id"]).repartition("shard").write.partitionBy("shard").parquet(path)
+    Rows find their shard by their place, so those that share an id but not the text each get their own, once.
+    """
+    own, column = fresh("shard_place", docs), fresh("shard", docs)
+    shards = _placed(docs, limit, id_col, text_col).select(F.col("place").alias(own), F.col("shard").alias(column)).distinct()
+    placed = docs.withColumn(own, place(F.col(id_col), F.col(text_col).cast("string"))).join(shards, own).drop(own)
+    placed.repartition(column).write.partitionBy(column).parquet(path)
+    return column
 
 
 def sql(limit: int = LIMIT) -> str:

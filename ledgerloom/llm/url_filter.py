@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .runtime import small_batches
+
 Rule = tuple[str, str, str]  # host, start of the path, verdict
 
 # The rules that results are held to.
@@ -44,7 +46,7 @@ RULES: tuple[Rule, ...] = (
 # Words that mark a host as one to block where no rule fits.
 BLOCK_WORDS = ("adult", "ads", "bets", "casino", "gambling", "malware", "phishing", "pills", "poker", "porn", "spam", "viagra", "warez", "xxx")
 #: Rules that are shipped to the executors at most.
-MAX_SHIPPED = 5_000_000
+MAX_SHIPPED = 1_000_000
 DEFAULT = "allow"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -135,10 +137,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame | None = None, id_col: str =
     words = [(f"#{w}", "", "block") for w in BLOCK_WORDS]  # no host holds a number sign
     if rules is not None:
         rules = rules.select("host", "path", "verdict")
-        first = rules.limit(MAX_SHIPPED + 1).collect()
-        if len(first) > MAX_SHIPPED:
+        if rules.limit(MAX_SHIPPED + 1).count() > MAX_SHIPPED:
             return _joined(pages, rules, id_col, url_col, default)
-        given = [tuple(r) for r in first]
+        given = zip(*(c.to_pylist() for c in rules.toArrow().columns))  # MAX_SHIPPED rows at most
     name = _ship(spark, [*given, *words])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,6 +168,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame | None = None, id_col: str =
             columns = [batch.column("id"), *(pa.array([r[k].decode() for r in rows], pa.string()) for k in (0, 1)), pa.array(rule, pa.string()), pa.array(verdict, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "host", "path", "rule", "verdict"])
 
+    small_batches(spark)
     wanted = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"))
     return wanted.mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string")
 
@@ -184,14 +186,14 @@ def _ship(spark: SparkSession, rules: Iterable[Rule]) -> str:
 def _joined(pages: DataFrame, rules: DataFrame, id_col: str, url_col: str, default: str) -> DataFrame:
     """The same for any number of rules: probes and rules meet by their strings."""
     url = F.col("url")
-    host = F.translate(F.regexp_extract(url, r"^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    host = F.translate(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     lower = F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     known = rules.select(F.concat(lower, "path").alias("rule"), F.length("path").alias("n"), "verdict").groupBy("rule").agg(F.max("verdict").alias("verdict"), F.first("n").alias("n"))
     lengths = [r[0] for r in known.select("n").distinct().collect()]  # path lengths, not rules
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url")).select(
-        "page_id", F.monotonically_increasing_id().alias("row"), host.alias("host"), F.regexp_extract(url, r"^.*?://[^/?#]*([^?#]*)", 1).alias("path")
+        "page_id", F.monotonically_increasing_id().alias("row"), host.alias("host"), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1).alias("path")
     )
     starts = F.transform(F.array(*map(F.lit, lengths)), lambda n: F.when(n <= F.length("path"), F.substring(F.col("path"), F.lit(1), n)))
     probes = rows.withColumn("suffix", F.explode(suffixes)).withColumn("start", F.explode(F.array_compact(starts)))

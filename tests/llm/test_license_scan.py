@@ -58,6 +58,8 @@ def test_tags_give_labels_and_scores():
     *_, labels, expressions, permitted, score = scan_text(b"# SPDX-License-Identifier: Apache-2.0 OR GPL-3.0\ncode")[4:]
     assert (labels, expressions, permitted, score) == ("apache,gpl", ["Apache-2.0 OR GPL-3.0"], True, 1.0)
     assert scan_text(b"SPDX-License-Identifier: (MIT")[7] is False
+    assert scan_text(b"SPDX-License-Identifier: GPL-3.0 AND (")[5:8] == ("gpl", ["GPL-3.0 AND ("], False)
+    assert scan_text(b"SPDX-License-Identifier: MIT OR OR x")[5] == "mit"
     assert scan_text(b"nothing here")[5:] == ("", [], None, 0.0)
 
 

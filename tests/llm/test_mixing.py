@@ -65,8 +65,8 @@ def test_better_documents_are_taken_more_often(spark):
     rows = [(i, ("good " * 20) if i % 2 else ("b#d$ " * 20), "a" if i < 4000 else "b") for i in range(4400)]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")
     part = [r for r in mixing.mix(table).collect() if r["source"] == "a"]
-    good = sum(r["taken"] for r in part if r["doc_id"] % 2)
-    assert good > 0.75 * sum(r["taken"] for r in part) or good == sum(r["size"] for r in part if r["doc_id"] % 2)
+    taken = lambda odd: sum(r["taken"] for r in part if r["doc_id"] % 2 == odd)
+    assert taken(0) + taken(1) == 64_000 and taken(1) > 0.95 * 40_000
 
 
 def test_sample_holds_what_is_taken(docs, odd, none):
@@ -84,3 +84,12 @@ def test_sample_holds_what_is_taken(docs, odd, none):
             assert +got == +want
         assert abs(sum(got.values()) - sum(want.values())) <= 8
     assert mixing.sample(none).count() == 0
+
+
+def test_sample_with_clashing_columns(spark, docs):
+    few = docs.filter("doc_id < 40")
+    names = ["mix_doc_id", "mix_mark", "mix_taken", "mix_size", "mix_rows", "mix_copy", "MIX_ROWS_"]
+    clashing = few.selectExpr("*", *(f"'x' as {c}" for c in names))
+    out = mixing.sample(clashing)
+    assert out.columns == clashing.columns
+    assert sorted(map(repr, out.select(few.columns).collect())) == sorted(map(repr, mixing.sample(few).collect()))

@@ -142,3 +142,20 @@ def test_links_are_counted_in_groups_of_any_size(spark, monkeypatch):
     want = [sum(a != b and 100 * len(a & b) >= 75 * len(a | b) for b in set(own) if b) if a else 0 for a in own]
     found = {r["doc_id"]: r["n_links"] for r in nj.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [found[id_] for id_, _ in rows] == want
+
+
+def test_first_of_each_with_clashing_columns(spark):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "h i j k l m"), (3, "h i j k l m"), (3, "n o p q r s")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as gone", "'y' as again", "1 as GONE_")
+    out = nj.first_of_each(table)
+    assert out.columns == table.columns
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, rows[0][1]), (3, rows[2][1]), (3, rows[4][1])]
+
+
+def test_shared_elements(monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(nj, "MEETINGS", 50)
+    for most in (1, 5, 60, 400):
+        x, y = ([np.sort(rng.choice(most, rng.integers(1, most + 1), False)).astype(np.uint64) for _ in range(k)] for k in (9, 40))
+        got = nj.shared_elements(np.concatenate(x), np.concatenate(y), np.array([len(s) for s in x]), np.array([len(s) for s in y]))
+        assert got.tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]

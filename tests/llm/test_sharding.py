@@ -49,3 +49,12 @@ def test_written_shards_hold_every_row(docs, tmp_path, spark):
 def test_empty_table(none):
     assert sharding.shard(none).count() == 0
 
+
+
+def test_rows_that_share_an_id_are_written_once_each(spark, odd, tmp_path):
+    rows = spark.createDataFrame([(1, "a", 0), (1, "b b", 1), (1, "b b", 2), (None, None, 3)], "doc_id long, text string, shard long")
+    for i, table in enumerate((rows, odd)):
+        column = sharding.write_shards(table, str(tmp_path / str(i)), 2)
+        assert column == "shard_"
+        back = spark.read.parquet(str(tmp_path / str(i))).select(table.columns)
+        assert sorted(map(repr, back.collect())) == sorted(map(repr, table.collect()))

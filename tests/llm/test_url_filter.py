@@ -69,3 +69,13 @@ def test_rules_of_a_host_alone(spark, odd_pages, monkeypatch):
         assert answers(uf.filter_urls(odd_pages, rules)) == want
         monkeypatch.setattr(uf, "MAX_SHIPPED", 0)
         assert answers(uf.filter_urls(odd_pages, rules)) == want
+
+
+def test_both_forms_take_characters_alike(spark, monkeypatch):
+    urls = ["a\nb://x.é.com/über/1", "http://Ü.com/é", "http://x.com/é/\n?q", "x://y.com", None, "://"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    given = [("com", "/é", "block"), ("é.com", "/über/", "block"), ("y.com", "", "block"), ("x.com", "/é/\n", "allow")]
+    rules = spark.createDataFrame(given, "host string, path string, verdict string")
+    mapped = answers(uf.filter_urls(pages, rules))
+    monkeypatch.setattr(uf, "MAX_SHIPPED", 0)
+    assert answers(uf.filter_urls(pages, rules)) == mapped == wanted(pages, given)
