@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised steps take at once; a single longer text is taken alone.
@@ -67,10 +67,10 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
-def keyed_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text as bytes): only these two columns reach the scan, whatever else the table holds."""
+def keyed_texts(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """(id, text as bytes, more): only these columns reach the scan, whatever else the table holds."""
     small_batches(df.sparkSession)
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *more)
 
 
 def byte_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
