@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import byte_texts, chunks, fresh, keyed_texts, mix64, slices, stored
+from .runtime import byte_texts, chunks, fresh, keyed_texts, mix64, slices, stored, word_hashes
 
 WORDS = 5
 PERCENT = 75
@@ -73,45 +73,6 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-#: Bytes that are hashed at once, the powers of a polynomial's base and of its inverse, a number for each byte.
-_AT_ONCE = 1 << 18
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_UP, _DOWN = _powers(_BASE, _AT_ONCE), _powers(_INVERSE, _AT_ONCE)
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
-_INK = np.array([b not in b" \t\n\v\f\r" for b in range(256)])
-
-
-def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place of the first byte) of every word; A-Z count as a-z.
-
-    A word's hash is a polynomial of its bytes' numbers, taken from prefix sums over the whole text.
-    """
-    a = np.frombuffer(text.lower(), np.uint8)
-    ink = np.zeros(len(a) + 2, bool)
-    ink[1:-1] = _INK[a]
-    edges = np.flatnonzero(ink[1:] != ink[:-1])  # a word's first byte and the one after its last, in turn
-    sums, down = np.zeros(len(edges), np.uint64), np.zeros(len(edges), np.uint64)
-    total = 0
-    for lo in range(0, len(a), _AT_ONCE):
-        part = _BYTE[a[lo : lo + _AT_ONCE]]
-        part *= _UP[: len(part)]
-        upto = np.cumsum(np.concatenate([np.zeros(1, np.uint64), part]))
-        i, j = np.searchsorted(edges, [lo, lo + len(part) + (lo + len(part) == len(a))])
-        at = edges[i:j] - lo
-        sums[i:j] = upto[at] * np.uint64(pow(_BASE, lo, 1 << 64)) + np.uint64(total)
-        down[i:j] = _DOWN[np.minimum(at, _AT_ONCE - 1)] * np.uint64(pow(_INVERSE, lo, 1 << 64))
-        total = (total + int(upto[-1]) * pow(_BASE, lo, 1 << 64)) % (1 << 64)
-    first, last = edges[::2], edges[1::2]
-    return mix64((sums[1::2] - sums[::2]) * down[::2] + (last - first).astype(np.uint64)), first
-
-
 def _run(hashes: np.ndarray, long: int) -> np.ndarray:
     n = len(hashes)
     run = np.full(n - long + 1, np.uint64(long))
@@ -125,7 +86,7 @@ def _run(hashes: np.ndarray, long: int) -> np.ndarray:
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> Iterator[np.ndarray]:
     """The sorted distinct hashes of each text's runs of words."""
     for i, j in chunks(texts, 1 << 20):
-        hashes, place = word_hashes(b" ".join(texts[i:j]))
+        hashes, place, _ = word_hashes(b" ".join(texts[i:j]))
         firsts = np.cumsum([0] + [len(t) + 1 for t in texts[i:j]])
         of = np.searchsorted(place, firsts)
         runs = _run(hashes, words) if len(hashes) >= words else hashes[:0]

@@ -107,3 +107,69 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
     return x
+
+
+def counted(parts: Iterator[np.ndarray], held: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(different keys, how often each occurs) of the parts together, given out in pieces of about ``held`` keys."""
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        keys, n = (np.concatenate(x) for x in zip(*kept))
+        by = np.argsort(keys)
+        keys, n = keys[by], n[by]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return keys[first], np.add.reduceat(n, first)
+
+    for part in parts:
+        if not len(part):
+            continue
+        kept.append(np.unique(part, return_counts=True))
+        size += len(kept[-1][0])
+        if size > held:
+            kept[:] = [merged()]
+            size = len(kept[0][0])
+            if 2 * size > held:
+                yield kept.pop()
+                size = 0
+    if kept:
+        yield merged()
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+#: Bytes that are hashed at once, the powers of a polynomial's base and of its inverse, a number for each byte.
+_AT_ONCE = 1 << 18
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_UP, _DOWN = _powers(_BASE, _AT_ONCE), _powers(_INVERSE, _AT_ONCE)
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
+_INK = np.array([b not in b" \t\n\v\f\r" for b in range(256)])
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place of the first byte, place after the last) of every word; A-Z count as a-z.
+
+    A word's hash is a polynomial of its bytes' numbers, taken from prefix sums over the whole text.
+    """
+    a = np.frombuffer(text.lower(), np.uint8)
+    ink = np.zeros(len(a) + 2, bool)
+    ink[1:-1] = _INK[a]
+    edges = np.flatnonzero(ink[1:] != ink[:-1])  # a word's first byte and the one after its last, in turn
+    sums, down = np.zeros(len(edges), np.uint64), np.zeros(len(edges), np.uint64)
+    total = 0
+    for lo in range(0, len(a), _AT_ONCE):
+        part = _BYTE[a[lo : lo + _AT_ONCE]]
+        part *= _UP[: len(part)]
+        upto = np.cumsum(np.concatenate([np.zeros(1, np.uint64), part]))
+        i, j = np.searchsorted(edges, [lo, lo + len(part) + (lo + len(part) == len(a))])
+        at = edges[i:j] - lo
+        sums[i:j] = upto[at] * np.uint64(pow(_BASE, lo, 1 << 64)) + np.uint64(total)
+        down[i:j] = _DOWN[np.minimum(at, _AT_ONCE - 1)] * np.uint64(pow(_INVERSE, lo, 1 << 64))
+        total = (total + int(upto[-1]) * pow(_BASE, lo, 1 << 64)) % (1 << 64)
+    first, last = edges[::2], edges[1::2]
+    return mix64((sums[1::2] - sums[::2]) * down[::2] + (last - first).astype(np.uint64)), first, last

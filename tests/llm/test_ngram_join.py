@@ -100,11 +100,12 @@ def test_first_of_each(odd, none):
 
 
 def test_word_hashes_do_not_depend_on_what_stands_around():
-    from ledgerloom.llm.ngram_join import word_hashes
+    from ledgerloom.llm.runtime import word_hashes
 
-    h, place = word_hashes(b"foo bar " + b"z" * (1 << 18) + b"\tFOO  bar\n")
+    h, place, last = word_hashes(b"foo bar " + b"z" * (1 << 18) + b"\tFOO  bar\n")
     assert h[0] == h[3] and h[1] == h[4] and len(set(h.tolist())) == 3
     assert place.tolist()[:3] == [0, 4, 8]
+    assert (last - place).tolist() == [3, 3, 1 << 18, 3, 3]
     assert len(word_hashes(b"")[0]) == len(word_hashes(b" \n ")[0]) == 0
 
 
