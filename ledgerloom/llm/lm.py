@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import byte_texts, chunks, counted, keyed_texts, mix64, small_batches, stored, word_hashes
+from .runtime import byte_texts, chunks, counted, keyed_texts, lean, mix64, small_batches, stored, word_hashes
 
 #: Words whose counts travel with the model, besides the heads; weights of each softmax at most; rounds of training.
 TOP, MOST_WEIGHTS, ROUNDS = 1 << 18, 1 << 24, 3
@@ -98,7 +98,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def token_counts(training: DataFrame) -> DataFrame:
     """(h, n) of every distinct token of the texts."""
-    return stored(training.select("text").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-counts")
+    return stored(training.select("text").mapInArrow(lean(_count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-counts")
 
 
 class Model:
@@ -216,7 +216,7 @@ def train(training: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     for part in range(rounds):
         shared = spark.sparkContext.broadcast(model)
         texts = training.filter(F.col("part") == part).select("text").coalesce(spark.sparkContext.defaultParallelism)
-        sums = texts.mapInArrow(_gradient(shared), "block long, sums binary")
+        sums = texts.mapInArrow(lean(_gradient(shared)), "block long, sums binary")
         # in two steps, so that no group has a row of every task of a large cluster
         salted = sums.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
         once = salted.groupBy("block", "salt").applyInPandas(lambda _, f: _add(f), "block long, sums binary")
@@ -294,7 +294,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top:
     model, counts, total = fit(docs, id_col, text_col, top, rounds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = keyed_texts(docs, id_col, text_col, held_out(F.col(id_col)).alias("held_out"))
-    scored = stored(rows.mapInArrow(_scorer(shared), _SCORED).withColumn("row", F.monotonically_increasing_id()), "lm-scores")
+    scored = stored(rows.mapInArrow(lean(_scorer(shared)), _SCORED).withColumn("row", F.monotonically_increasing_id()), "lm-scores")
     rare = scored.select("row", F.explode("rare").alias("h")).join(counts, "h", "left")
     of_row = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_log"), F.count("n").alias("rare_known"))
     joined = scored.drop("rare").join(of_row, "row", "left").na.fill(0, ["rare_log", "rare_known"])

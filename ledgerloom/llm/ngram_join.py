@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import byte_texts, chunks, fresh, keyed_texts, mix64, slices, stored, word_hashes
+from .runtime import byte_texts, chunks, fresh, keyed_texts, lean, mix64, slices, stored, word_hashes
 
 WORDS = 5
 PERCENT = 75
@@ -213,7 +213,7 @@ def _profile(words: int):
 def profiles(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, DataFrame]:
     """((id, digest, n, s0..) of every row, (key, digest) of the sampled texts' blocks)."""
     profile, schema = _profile(words)
-    rows = stored(keyed_texts(docs, id_col, text_col).mapInArrow(profile, schema), "ngram-profiles")
+    rows = stored(keyed_texts(docs, id_col, text_col).mapInArrow(lean(profile), schema), "ngram-profiles")
     return rows.filter("kind = 0").drop("kind"), rows.filter("kind = 1").select(F.col("id").alias("key"), "digest")
 
 
@@ -238,7 +238,7 @@ def shared_blocks(docs: DataFrame, sampled: DataFrame, id_col: str, text_col: st
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(owners))], ["key", "digest"])
 
-    given = keyed_texts(docs, id_col, text_col).mapInArrow(give, "key long, digest long")
+    given = keyed_texts(docs, id_col, text_col).mapInArrow(lean(give), "key long, digest long")
     w = Window.partitionBy("key")
     met = given.select("key", "digest", F.min("digest").over(w).alias("least"), F.max("digest").over(w).alias("most")).filter("least != most")
     return stored(met.select("key", "digest").distinct(), "ngram-met")
@@ -290,7 +290,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
     of = lambda p: texts.select(F.col("digest").alias(p), F.col("text").alias(f"text_{p}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(lean(verify), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -330,7 +330,7 @@ def _across(open_: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
             n, bits = pa.array([len(s) for s in own], pa.int64()), pa.array([sketch(s, long_words(len(s))).tobytes() for s in own], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("group", "digest", "component")), n, bits], ["group", "digest", "component", "n", "bits"])
 
-    members = of_group.select("group", "digest", "component", "text").mapInArrow(describe, "group long, digest long, component long, n long, bits binary")
+    members = of_group.select("group", "digest", "component", "text").mapInArrow(lean(describe), "group long, digest long, component long, n long, bits binary")
     members = stored(members, "ngram-members")
     counts = members.groupBy("group", "component").agg(F.count("*").alias("size"))
     groups = counts.groupBy("group").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.ceil(F.sum("size") / TILE).cast("int").alias("tiles"))
@@ -407,7 +407,7 @@ def _links_inside(large: DataFrame, labels: DataFrame, texts: DataFrame, words:
             n, whole = pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("digest"), n, whole], ["component", "digest", "n", "elements"])
 
-    members = own.join(texts, "digest").select("component", "digest", "text").mapInArrow(describe, "component long, digest long, n long, elements binary")
+    members = own.join(texts, "digest").select("component", "digest", "text").mapInArrow(lean(describe), "component long, digest long, n long, elements binary")
     members = stored(members, "ngram-members")
     most = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_ELEMENTS)).cast("int")
     placed = members.join(members.groupBy("component").agg(most.alias("tiles")), "component").withColumn("tile", F.pmod(F.xxhash64("digest"), "tiles").cast("int"))
@@ -491,7 +491,7 @@ def _texts(source: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             digests = [digest(s) if len(s) else 0 for s in shingle_sets(byte_texts(batch), words)]
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), batch.column("text")], ["digest", "text"])
 
-    named = read.mapInArrow(name, "digest long, text binary").join(wanted.select("digest"), "digest")
+    named = read.mapInArrow(lean(name), "digest long, text binary").join(wanted.select("digest"), "digest")
     return stored(named.dropDuplicates(["digest"]), "ngram-texts")
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import byte_texts, chunks, keyed_texts, stored
+from .runtime import byte_texts, chunks, keyed_texts, lean, stored
 
 WINDOW = 2048
 END_ID = 1
@@ -38,7 +38,9 @@ GROUP_PIECES = 8192
 #: Runs of letters that are encoded together.
 TOGETHER = 128
 #: White-space runs whose ids a task keeps, and the length up to which they are kept.
-MAX_KEPT, MAX_RUN = 1_000_000, 64
+MAX_KEPT, MAX_RUN = 500_000, 64
+#: Bytes of text that are encoded together.
+AT_ONCE = 1 << 20
 _MARK = re.compile(rb"(?<=[A-Za-z])([.,])(?=[ \n])")
 
 
@@ -90,7 +92,7 @@ class RunTokenizer:
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers, without the closing id."""
-        for i, j in chunks(texts):
+        for i, j in chunks(texts, AT_ONCE):
             runs = [_plain(t).split() for t in texts[i:j]]
             kept = self.kept
             here = set().union(*runs)
@@ -139,7 +141,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
             columns = list(zip(*out)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in _PIECE.split(", ")])
 
-    return keyed_texts(docs, id_col, text_col).mapInArrow(split, _PIECE)
+    return keyed_texts(docs, id_col, text_col).mapInArrow(lean(split), _PIECE)
 
 
 class RoomTree:

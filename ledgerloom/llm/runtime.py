@@ -7,9 +7,11 @@ before it.  It goes to the folder that the session names in ``spark.checkpoint.d
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that the vectorised steps take at once; a single longer text is taken alone.
 CHUNK_BYTES = 4 << 20
 #: Bytes of an Arrow batch, about; a single longer row is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH, _NO_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1)
 
 _local_dir: str | None = None
@@ -85,6 +87,23 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def lean(task: Callable) -> Callable:
+    """The task, which gives what it has freed back to the system when it ends: Python workers outlive their tasks, and
+    the C library would keep that memory beside what the next task takes."""
+
+    @wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+            if trim:
+                trim(0)
+
+    return run
+
+
 def chunks(texts: list[bytes], most: int = CHUNK_BYTES):
     """(first, last + 1) of runs of texts that hold about ``most`` bytes together."""
     first, total = 0, 0
