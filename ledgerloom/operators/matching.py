@@ -1,14 +1,18 @@
 """Matching the books with a statement.
 
 What doesn't depend on order is joins: candidates within a tolerance, the nearest amount, totals of a scope.  Consuming
-matches one after another does, so that runs for each customer by itself in a co-grouped step: same quarter first, then
-other quarters, then one to many, many to one and totals, then the nearest.  Scopes of more than SCOPE rows skip the
-search for groups and only compare totals.
+matches one after another does; no match crosses a financial year, so that runs for each customer and year by itself in
+Python over the sorted rows of a partition: same quarter first, then other quarters, then one to many, many to one and totals, then the nearest.
+Scopes of more than SCOPE rows skip the search for groups and only compare totals.
+
+A null amount counts as 0 and a null quarter as none; rows without a customer or year match nothing.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations, pairwise
 
 import numpy as np
 import pandas as pd
@@ -67,84 +71,134 @@ def scope_totals(books: DataFrame, statements: DataFrame, scope: list[str]) -> D
 MATCHED = "book_id long, statement_id long, customer long, method string, group_id string, difference double"
 
 
-def _match(key: tuple, books: pd.DataFrame, statements: pd.DataFrame) -> pd.DataFrame:
-    """One customer's matches; amounts in cents, so that sums are exact."""
-    customer = key[0]
-    b = books.assign(cents=(books["amount"].astype(float) * 100).round().astype("int64")).sort_values(["cents", "id"], ascending=[False, True]).reset_index(drop=True)
-    s = statements.assign(cents=(statements["amount"].astype(float) * 100).round().astype("int64")).sort_values("id").reset_index(drop=True)
-    quarter = lambda f: f["quarter"].str[1:].astype(int).to_numpy() if len(f) else np.zeros(0, int)
-    bc, sc, bq, sq = b["cents"].to_numpy(), s["cents"].to_numpy(), quarter(b), quarter(s)
-    bf, sf = b["fy"].to_numpy(), s["fy"].to_numpy()
-    bs, ss = b["section"].to_numpy(), s["section"].to_numpy()
-    free_b, free_s = np.ones(len(b), bool), np.ones(len(s), bool)
+@lru_cache(None)
+def _choices(pool: int) -> np.ndarray:
+    """All choices of 2 to GROUP of ``pool`` places, smaller ones first, a row for each, filled up with the place ``pool``."""
+    every = [c for size in range(2, min(pool, GROUP) + 1) for c in combinations(range(pool), size)]
+    out = np.full((len(every), GROUP), pool)
+    for row, c in zip(out, every):
+        row[: len(c)] = c
+    return out
+
+
+def _subset(pool: np.ndarray, cents: np.ndarray, target: int, tol: float) -> np.ndarray | None:
+    """The first choice of the POOL rows nearest to the target whose sum agrees with it."""
+    if len(pool) < 2:
+        return None
+    own = cents[pool]
+    if len(pool) > POOL:
+        near = np.sort(np.argsort(np.abs(own - target), kind="stable")[:POOL])
+        pool, own = pool[near], own[near]
+    ordered = np.sort(own)
+    if ordered[0] >= 0 and (ordered[-GROUP:].sum() < target - tol or ordered[:2].sum() > target + tol):
+        return None  # even the largest rows sum to less, or the two smallest to more
+    choices = _choices(len(pool))
+    fits = np.abs(target - np.append(own, 0)[choices].sum(1)) <= tol
+    at = int(np.argmax(fits))
+    return pool[choices[at][choices[at] < len(pool)]] if fits[at] else None
+
+
+def _match(rows: dict[str, np.ndarray]) -> list[tuple]:
+    """The matches of one customer and year; amounts in cents, so that sums are exact."""
+    customer, fy = rows["customer"][0], rows["fy"][0]
+    own, other = np.flatnonzero(rows["side"] == 0), np.flatnonzero(rows["side"] == 1)
+    if not len(own) or not len(other):
+        return []
+    own = own[np.lexsort((rows["id"][own], -rows["cents"][own]))]
+    other = other[np.argsort(rows["id"][other], kind="stable")]
+    (bi, bc, bq, bs), (si, sc, sq, ss) = ([rows[c][at] for c in ("id", "cents", "quarter", "section")] for at in (own, other))
+    free_b, free_s = np.ones(len(bi), bool), np.ones(len(si), bool)
     out: list[tuple] = []
 
     def tolerance(cents: int) -> float:
         return max(ABSOLUTE * 100, abs(cents) * PERCENT / 100)
 
-    def record(method: str, left: list[int], right: list[int]) -> None:
-        group = f"{customer}-{len(out)}" if len(left) + len(right) > 2 else None
+    def record(method: str, left: np.ndarray, right: np.ndarray) -> None:
+        group = f"{customer}-{fy}-{len(out)}" if len(left) + len(right) > 2 else None
         gap = float(bc[left].sum() - sc[right].sum()) / 100
         free_b[left] = False
         free_s[right] = False
-        pairs = [(i, j) for i in left for j in right] if min(len(left), len(right)) == 1 else [(i, None) for i in left] + [(None, j) for j in right]
-        for i, j in pairs:
-            out.append((None if i is None else b["id"][i], None if j is None else s["id"][j], customer, method, group, gap))
+        pairs = [(bi[i], si[j]) for i in left for j in right] if min(len(left), len(right)) == 1 else [(bi[i], None) for i in left] + [(None, si[j]) for j in right]
+        out.extend((i, j, customer, method, group, gap) for i, j in pairs)
 
     order = np.argsort(sc, kind="stable")  # for the window of amounts around a book's
     ordered = sc[order]
     for same in (True, False):
-        for i in range(len(b)):
-            if not free_b[i]:
-                continue
-            t = tolerance(bc[i])
-            window = order[np.searchsorted(ordered, bc[i] - t) : np.searchsorted(ordered, bc[i] + t, "right")]
-            window = window[free_s[window] & (sf[window] == bf[i]) & ((sq[window] == bq[i]) if same else (sq[window] != bq[i]))]
+        tol = np.maximum(ABSOLUTE * 100, np.abs(bc) * PERCENT / 100)
+        lo, hi = np.searchsorted(ordered, bc - tol), np.searchsorted(ordered, bc + tol, "right")
+        for i in np.flatnonzero(free_b & (lo < hi)):
+            window = order[lo[i] : hi[i]]
+            window = window[free_s[window] & ((sq[window] == bq[i]) if same else (sq[window] != bq[i]))]
             if len(window):
                 rank = [((ss[j] != bs[i]), 0 if same else abs(sq[j] - bq[i]), abs(sc[j] - bc[i]), j) for j in window]
-                record(f"EXACT_1_TO_1_{'SAME' if same else 'OUTSIDE'}_QUARTER", [i], [min(rank)[-1]])
-
-    def subset(pool: np.ndarray, cents: np.ndarray, target: int, tol: float) -> list[int] | None:
-        pool = pool[np.argsort(np.abs(cents[pool] - target), kind="stable")][:POOL]
-        pool = np.sort(pool)
-        for size in range(2, min(len(pool), GROUP) + 1):
-            for combo in combinations(pool.tolist(), size):
-                if abs(target - cents[list(combo)].sum()) <= tol:
-                    return list(combo)
-        return None
+                record(f"EXACT_1_TO_1_{'SAME' if same else 'OUTSIDE'}_QUARTER", np.array([i]), np.array([min(rank)[-1]]))
 
     def groups(scope_b: np.ndarray, scope_s: np.ndarray, name: str) -> None:
-        if free_b[scope_b].sum() + free_s[scope_s].sum() <= SCOPE:
+        if len(scope_b) + len(scope_s) <= SCOPE:
             for i in scope_b:
-                if free_b[i] and (found := subset(scope_s[free_s[scope_s]], sc, bc[i], tolerance(bc[i]))):
-                    record(f"GROUP_{name}", [i], found)
+                if (found := _subset(scope_s[free_s[scope_s]], sc, bc[i], tolerance(bc[i]))) is not None:
+                    record(f"GROUP_{name}", np.array([i]), found)
             for j in scope_s:
-                if free_s[j]:
-                    pool = scope_b[free_b[scope_b]]
-                    if found := subset(pool, bc, sc[j], tolerance(sc[j])):
-                        record(f"GROUP_{name}", found, [j])
+                if free_s[j] and (found := _subset(scope_b[free_b[scope_b]], bc, sc[j], tolerance(sc[j]))) is not None:
+                    record(f"GROUP_{name}", found, np.array([j]))
         left, right = scope_b[free_b[scope_b]], scope_s[free_s[scope_s]]
         if len(left) and len(right) and len(left) + len(right) > 2 and abs(bc[left].sum() - sc[right].sum()) <= tolerance(bc[left].sum()):
-            record(f"GROUP_{name}", left.tolist(), right.tolist())
+            record(f"GROUP_{name}", left, right)
 
-    for fy in sorted(set(bf) & set(sf)):
-        for q in range(1, 5):
-            groups(np.flatnonzero((bf == fy) & (bq == q)), np.flatnonzero((sf == fy) & (sq == q)), "SAME_QUARTER")
-    for fy in sorted(set(bf) & set(sf)):
-        groups(np.flatnonzero(bf == fy), np.flatnonzero(sf == fy), "OUTSIDE_QUARTER")
+    for q in (1, 2, 3, 4):
+        left, right = np.flatnonzero(free_b & (bq == q)), np.flatnonzero(free_s & (sq == q))
+        if len(left) and len(right):
+            groups(left, right, "SAME_QUARTER")
+    groups(np.flatnonzero(free_b), np.flatnonzero(free_s), "OUTSIDE_QUARTER")
     for same in (True, False):
-        for i in range(len(b)):
-            if free_b[i]:
-                at = np.flatnonzero(free_s & (sf == bf[i]) & ((sq == bq[i]) if same else True))
-                if len(at):
-                    record("AMOUNT_MISMATCH", [i], [at[np.argmin(np.abs(sc[at] - bc[i]))]])
-    return pd.DataFrame(out, columns=["book_id", "statement_id", "customer", "method", "group_id", "difference"]).astype({"book_id": "Int64", "statement_id": "Int64"})
+        for i in np.flatnonzero(free_b):
+            at = np.flatnonzero(free_s & (sq == bq[i]) if same else free_s)
+            if len(at):
+                record("AMOUNT_MISMATCH", np.array([i]), at[[np.argmin(np.abs(sc[at] - bc[i]))]])
+    return out
+
+
+def _match_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The matches of rows that come ordered by customer and year; the last group of a batch may go on in the next."""
+    columns = ["book_id", "statement_id", "customer", "method", "group_id", "difference"]
+    pending: list[pd.DataFrame] = []
+
+    def matches(frame: pd.DataFrame, ends: np.ndarray) -> pd.DataFrame:
+        arrays = {c: frame[c].to_numpy() for c in frame.columns}
+        out = []
+        for lo, hi in pairwise([0, *ends]):
+            out += _match({c: a[lo:hi] for c, a in arrays.items()})
+        return pd.DataFrame(out, columns=columns).astype({"book_id": "Int64", "statement_id": "Int64"})
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        if pending and (batch["customer"].iloc[0], batch["fy"].iloc[0]) == (batch["customer"].iloc[-1], batch["fy"].iloc[-1]) == (pending[-1]["customer"].iloc[-1], pending[-1]["fy"].iloc[-1]):
+            pending.append(batch)  # all of it belongs to one long group
+            continue
+        frame = pd.concat([*pending, batch], ignore_index=True)
+        new = (frame["customer"].to_numpy()[1:] != frame["customer"].to_numpy()[:-1]) | (frame["fy"].to_numpy()[1:] != frame["fy"].to_numpy()[:-1])
+        ends = np.flatnonzero(new) + 1
+        pending = [frame.iloc[ends[-1] :] if len(ends) else frame]
+        if len(ends):
+            yield matches(frame, ends)
+    if pending:
+        frame = pd.concat(pending, ignore_index=True)
+        yield matches(frame, np.array([len(frame)]))
 
 
 def consume(books: DataFrame, statements: DataFrame) -> DataFrame:
-    """All matches of all customers, each row in one match at most; (id, customer, fy, quarter, amount, section)."""
-    cols = ["id", "customer", "fy", "quarter", "amount", "section"]
-    return books.select(cols).groupBy("customer").cogroup(statements.select(cols).groupBy("customer")).applyInPandas(_match, MATCHED)
+    """All matches, each row in one match at most; books, statements: (id, customer, fy, quarter, amount, section)."""
+
+    def side(df: DataFrame, n: int) -> DataFrame:
+        cents = F.round(F.coalesce(F.col("amount"), F.lit(0)) * 100).cast("long")
+        q = F.coalesce(F.substring("quarter", 2, 1).try_cast("int"), F.lit(0))
+        rows = df.filter("customer is not null and fy is not null")
+        return rows.select("customer", "fy", F.lit(n).alias("side"), "id", cents.alias("cents"), q.alias("quarter"), F.coalesce("section", F.lit("")).alias("section"))
+
+    # one shuffle for both sides; groups are cut where the key changes, so that small ones cost no call of their own
+    rows = side(books, 0).unionByName(side(statements, 1)).repartition("customer", "fy").sortWithinPartitions("customer", "fy")
+    return rows.mapInPandas(_match_all, MATCHED)
 
 
 def unmatched(rows: DataFrame, matches: DataFrame, column: str) -> DataFrame:

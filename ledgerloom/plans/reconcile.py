@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.amounts import MONEY, percent_of
 from ..functions.dates import deposit_deadline, governing_law
 from ..operators import compliance, duplicates, matching, rules
+from .components import kept
 
 
 def full_reconciliation(books: DataFrame, statements: DataFrame) -> DataFrame:
@@ -15,7 +16,7 @@ def full_reconciliation(books: DataFrame, statements: DataFrame) -> DataFrame:
     b = duplicates.flag_repeats(books, [F.col(c) for c in ("customer", "day", "amount")], [F.col("id")], "id")
     s = duplicates.flag_repeats(statements, [F.col(c) for c in ("tan", "day", "section", "amount", "status")], [F.col("id")], "id")
     first_b, first_s = b.filter("duplicate_of is null"), s.filter("duplicate_of is null")
-    matches = matching.consume(first_b, first_s)
+    matches = kept(matching.consume(first_b, first_s))  # three parts of the result read it
     of_match = matches.join(first_s.select(F.col("id").alias("statement_id"), "status"), "statement_id", "left")
     result = F.when(F.col("method") == "AMOUNT_MISMATCH", "AMOUNT_MISMATCH").when(F.coalesce(F.col("status") != "F", F.lit(False)), "MATCHED_NOT_CLAIMABLE").otherwise("MATCHED_CLAIMABLE")
     out = of_match.select(result.alias("result"), "method", "book_id", "statement_id", "customer", F.col("difference").cast(MONEY).alias("difference"))
