@@ -47,10 +47,11 @@ SERIAL_EPOCH = "1899-12-30"
 
 
 def parse_date(c: Column) -> Column:
-    """A date from a five-digit spreadsheet serial or the first format that fits; else null."""
+    """A date from a spreadsheet serial of five digits or the first format that fits; else null."""
     text = F.regexp_replace(F.trim(c), r" \d{2}:\d{2}:\d{2}$", "")
     named = F.regexp_replace(F.initcap(text), r"(?<=\d)t", "t")
-    serial = F.when(text.rlike(r"^\d{5}$"), F.date_add(F.lit(SERIAL_EPOCH).cast("date"), F.when(text.rlike(r"^\d{5}$"), text).cast("int")))
+    days = F.nullif(F.regexp_extract(text, r"^(\d{5})(\.\d*)?$", 1), F.lit("")).cast("int")  # a fraction is a time of the day
+    serial = F.date_add(F.lit(SERIAL_EPOCH).cast("date"), days)
     return F.coalesce(serial, *(F.try_to_date(named if "MMM" in f else text, f) for f in DATE_FORMATS))
 
 

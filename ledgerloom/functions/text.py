@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words of legal forms that a name is compared without.
-LEGAL_WORDS = ("PVT", "PRIVATE", "LTD", "LIMITED", "LLP", "LLC", "INC", "CO", "COMPANY", "CORP", "CORPORATION", "THE", "AND", "INDIA", "OPC", "PLC")
+LEGAL_WORDS = ("PVT", "PRIVATE", "LTD", "LIMITED", "LLP", "INC", "CO", "COMPANY", "CORP", "CORPORATION", "THE", "PLC", "P", "L", "ENTERPRISES", "ENTERPRISE")
+# Words that say nothing about who a party is.
+NAME_STOPWORDS = ("A", "AN", "AND", "M", "MEDICAL", "HEALTHCARE", "HOSPITAL", "OF", "P", "PRIVATE", "S", "SCIENCE", "SERVICES", "THE", "UNIT", "INSTITUTE", "LIMITED")
 
 
 def blank_to_null(c: Column) -> Column:
@@ -50,8 +52,9 @@ def split_list(c: Column) -> Column:
 
 
 def initialism(c: Column) -> Column:
-    """Initials of the words of the core name, null below three."""
-    initials = F.array_join(F.transform(F.split(core_name(c), " "), lambda w: F.substring(w, 1, 1)), "")
+    """Initials of the core name's words that say something, null below three."""
+    words = F.filter(F.split(core_name(c), " "), lambda w: ~w.isin(*NAME_STOPWORDS))
+    initials = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
     return F.when(F.length(initials) >= 3, initials)
 
 

@@ -13,9 +13,6 @@ from pyspark.sql.window import Window
 from ..functions.amounts import MONEY, within_mutual_tolerance
 from ..functions.text import compact_name, core_name, initialism
 
-# Words that say nothing about a name.
-STOPWORDS = ("AND", "OF", "THE", "FOR", "INDIA", "SERVICES", "SOLUTIONS")
-
 
 def evidence(left: DataFrame, right: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """(left_id, right_id, evidence): pairs with their first evidence in the order of the rules.
@@ -36,33 +33,6 @@ def with_names(rows: DataFrame, name: str = "name") -> DataFrame:
     return rows.withColumns({"core": core_name(F.col(name)), "compact": compact_name(F.col(name)), "initials": initialism(F.col(name))})
 
 
-def review_evidence(ledger: Column, statement: Column) -> Column:
-    """Why two core names may be one party: shared words, containment, or an acronym of the other's initials."""
-    a, b = F.split(ledger, " "), F.split(statement, " ")
-    shared = F.size(F.array_intersect(a, b))
-    initials = F.array_join(F.transform(b, lambda w: F.substring(w, 1, 1)), "")
-    lead = F.element_at(a, 1)
-    return (
-        F.when(shared >= 2, "SHARED_WORDS")
-        .when(F.size(F.array_except(a, b)) == 0, "CONTAINED")
-        .when(F.length(lead).between(3, 8) & initials.startswith(lead), "ACRONYM")
-    )
-
-
-def ordered_overlap(sales: Column, statement: Column) -> Column:
-    """Words of one name found in order in the other, a word counting as found from its first five letters on."""
-    a, b = F.split(sales, " "), F.split(statement, " ")
-    same = lambda x, y: (x == y) | ((F.least(F.length(x), F.length(y)) >= 5) & (x.startswith(y) | y.startswith(x)))
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"))
-
-    def step(acc: Column, w: Column) -> Column:
-        rest = F.slice(b, acc["at"] + 1, F.greatest(F.size(b), F.lit(1)))
-        hit = F.array_position(F.transform(rest, lambda x: same(w, x)), True).cast("int")
-        return F.when(hit > 0, F.struct((acc["at"] + hit).alias("at"), (acc["n"] + 1).alias("n"))).otherwise(acc)
-
-    return F.aggregate(a, start, step, lambda acc: acc["n"])
-
-
 def unique_assignment(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """The pairs whose left side has one candidate only."""
     return pairs.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(left))).filter("_n = 1").drop("_n")

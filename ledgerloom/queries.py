@@ -597,10 +597,10 @@ def statement_only_analysis(spark, d):
 
 
 @query(_with(STATEMENTS_SQL) + """
-SELECT customer, fy, CASE WHEN bool_or(status != 'F') THEN 'NOT_CLAIMABLE' WHEN bool_or(section = 'R') OR sum(tax) + 10 < sum(tax) THEN 'NOT_CLAIMABLE' ELSE 'CLAIMABLE' END AS claimability
+SELECT customer, fy, CASE WHEN bool_or(status != 'F') THEN 'NOT_CLAIMABLE' WHEN bool_or(section = 'R') OR sum(CASE WHEN section = 'A' THEN tax - 8 ELSE tax END) + 10 < sum(tax) THEN 'NOT_CLAIMABLE' ELSE 'CLAIMABLE' END AS claimability
 FROM stmts GROUP BY 1, 2""")
 def claimability(spark, d):
-    rows = statements(spark, d).withColumn("deposited", F.when(F.col("section") != "R", F.col("tax")))
+    rows = statements(spark, d).withColumn("deposited", F.when(F.col("section") == "A", F.col("tax") - 8).when(F.col("section") != "R", F.col("tax")))
     return rows.groupBy("customer", "fy").agg(matching.claimability(F.col("status"), F.col("tax"), F.col("deposited")).alias("claimability"))
 
 
@@ -656,14 +656,6 @@ def allocation(spark, d):
     return relationship.allocate(statements(spark, d), books(spark, d), "customer", 60)
 
 
-@query("""
-WITH w AS (SELECT p_partkey AS id, upper(p_name) AS a, upper(p_brand || ' ' || p_name) AS b FROM part)
-SELECT id, 'SHARED_WORDS' AS evidence, len(string_split(a, ' '))::INTEGER AS in_order FROM w""")
-def name_review_evidence(spark, d):
-    p = load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.upper("p_name").alias("a"), F.upper(F.concat_ws(" ", "p_brand", "p_name")).alias("b"))
-    return p.select("id", relationship.review_evidence(F.col("a"), F.col("b")).alias("evidence"), relationship.ordered_overlap(F.col("a"), F.col("b")).alias("in_order"))
-
-
 @query("""
 WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS a, 1000000 + c_nationkey * 10 + c_custkey % 7 AS b FROM customer WHERE c_custkey % 3 = 0),
 n AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
@@ -790,10 +782,11 @@ def client_catalogue(spark, d):
     return books(spark, d).groupBy("customer").agg(F.array_join(F.sort_array(F.collect_set("fy"), False), ",").alias("years"), F.count("*").alias("runs"))
 
 
-@query(_with(BOOKS_SQL) + "SELECT sum(amount)::DECIMAL(18,2) AS selected_total, sum(amount)::DECIMAL(18,2) AS parts_total, TRUE AS conserved FROM books", decimals="selected_total parts_total")
+@query(_with(BOOKS_SQL) + "SELECT sum(amount)::DECIMAL(18,2) AS selected_total, sum(amount) FILTER (WHERE id % 7 != 0)::DECIMAL(18,2) AS parts_total, sum(amount) = sum(amount) FILTER (WHERE id % 7 != 0) AS conserved FROM books", decimals="selected_total parts_total")
 def dashboard_controls(spark, d):
     rows = books(spark, d).select("id", "amount")
-    return reports.conservation(rows, rows.union(rows), "id", "amount")
+    parts = rows.filter("id % 7 != 0")
+    return reports.conservation(rows, parts.union(parts.filter("id % 2 = 0")), "id", "amount")
 
 
 # -- sinks and streams --------------------------------------------------------------------------------------------
@@ -829,3 +822,6 @@ def event_properties(spark, d):
 def sequence_and_gap(spark, d):
     w = Window.partitionBy("customer").orderBy("day", "id")
     return statements(spark, d).select("customer", "id", F.row_number().over(w).alias("seq"), (F.col("tax") - F.coalesce(F.lag("tax").over(w), F.lit(0).cast(MONEY))).cast("decimal(19,2)").alias("step"))
+
+
+from . import queries_evidence  # noqa: E402, F401  - registers its queries
