@@ -76,3 +76,46 @@ def current_versions(events: DataFrame, key: str, version: str) -> DataFrame:
 def eligibility(rule: str, checks: dict[str, Column]) -> Column:
     """All reasons for which a rule can't apply, as a sorted list; empty where it can."""
     return F.array_sort(F.array_compact(F.array(*(F.when(~F.coalesce(c, F.lit(False)), F.lit(f"{rule}{name}")) for name, c in checks.items()))))
+
+
+# What a configured rule may be based on, and its kinds of thresholds.
+BASES = ("AMOUNT_PAID_CREDITED", "BOOKS_TDS_BASE", "CUSTOM_BASE")
+THRESHOLD_KINDS = ("NO_THRESHOLD", "PER_TRANSACTION", "AGGREGATE", "ANNUAL")
+
+
+def validated(rules: DataFrame, existing: DataFrame) -> DataFrame:
+    """The configured rules with ``error``, the first thing that is wrong with each, null for valid ones.
+
+    rules: text columns rule_id, section, financial_year, rate, threshold, threshold_type, calculation_base,
+    effective_from, effective_to, version, source, source_reference, and is_active, which is true where null.  A valid
+    active rule must not share a day with an active rule of ``existing`` (the same columns) of its section and year.
+    """
+    text = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    number = lambda c: F.trim(c).try_cast("decimal(30,10)")
+    day = lambda c: F.left(c, F.lit(10)).try_cast("date")
+    section = F.upper(text("section"))
+    threshold = text("threshold")
+    start, end = day("effective_from"), day("effective_to")
+    version = F.coalesce(F.nullif(text("version"), F.lit("")), F.lit("1")).try_cast("int")
+    checks = {
+        "SECTION_REQUIRED": section != "",
+        "FINANCIAL_YEAR_FORMAT": text("financial_year").rlike(r"\A\d{4}-\d{2}\z"),
+        "RATE_NOT_NUMERIC": number("rate").isNotNull(),
+        "RATE_NEGATIVE": number("rate") >= 0,
+        "THRESHOLD_NOT_NUMERIC": (threshold == "") | number("threshold").isNotNull(),
+        "THRESHOLD_NEGATIVE": (threshold == "") | (number("threshold") >= 0),
+        "THRESHOLD_TYPE_UNSUPPORTED": F.upper(F.coalesce(F.nullif("threshold_type", F.lit("")), F.lit("NO_THRESHOLD"))).isin(*THRESHOLD_KINDS),
+        "CALCULATION_BASE_UNSUPPORTED": F.upper(F.coalesce("calculation_base", F.lit(""))).isin(*BASES),
+        "EFFECTIVE_RANGE_INVALID": start <= end,
+        "VERSION_INVALID": version >= 1,
+        "SOURCE_REQUIRED": (text("source") != "") & (text("source_reference") != ""),
+    }
+    first = F.coalesce(*(F.when(~F.coalesce(good, F.lit(False)), name) for name, good in checks.items()))
+    own = rules.withColumn("error", first)
+    active = F.coalesce("is_active", F.lit(True))
+    scope = [section.alias("s"), F.col("financial_year").alias("fy"), start.alias("lo"), end.alias("hi"), F.col("rule_id").alias("other")]
+    others = existing.filter(active).select(*(c.alias(f"_{n}") for c, n in zip(scope, ("s", "fy", "lo", "hi", "id"))))
+    checked = own.filter(F.col("error").isNull() & active).select("rule_id", *scope[:4])
+    met = (F.col("s") == F.col("_s")) & (F.col("fy") == F.col("_fy")) & (F.col("lo") <= F.col("_hi")) & (F.col("_lo") <= F.col("hi")) & ~F.col("rule_id").eqNullSafe(F.col("_id"))
+    clashing = checked.join(others, met, "left_semi").select("rule_id").distinct().withColumn("_clash", F.lit("OVERLAPPING_ACTIVE_RULE"))
+    return own.join(clashing, "rule_id", "left").withColumn("error", F.coalesce("error", "_clash")).drop("_clash")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions.amounts import MONEY
-from .operators import governance
+from .operators import governance, rules
 from .plans.frames import STATEMENTS_SQL, load, statements
 from .queries import _with, query
 from .queries_evidence import _case
+from .sources.tables import return_rows
 
 
 def _key():
@@ -176,3 +177,33 @@ def unmapped_reasons(spark, d):
     sales = F.when(_key() % 3 == 0, F.array(_key())).when(_key() % 3 == 1, F.array().cast("array<bigint>"))
     rows = load(spark, d, "orders").select(F.when(F.col("o_custkey") % 2 == 0, "UNMAPPED").otherwise("CONFIRMED").alias("identity"), sales.alias("sales_ids"))
     return governance.unmapped_reasons(rows)
+
+
+@query("""SELECT o_orderkey AS rule_id, CASE o_orderkey % 13 WHEN 1 THEN 'SECTION_REQUIRED' WHEN 2 THEN 'FINANCIAL_YEAR_FORMAT' WHEN 3 THEN 'RATE_NOT_NUMERIC' WHEN 4 THEN 'RATE_NEGATIVE' WHEN 5 THEN 'THRESHOLD_NOT_NUMERIC' WHEN 6 THEN 'THRESHOLD_NEGATIVE'
+WHEN 7 THEN 'THRESHOLD_TYPE_UNSUPPORTED' WHEN 8 THEN 'CALCULATION_BASE_UNSUPPORTED' WHEN 9 THEN 'EFFECTIVE_RANGE_INVALID' WHEN 10 THEN 'VERSION_INVALID' WHEN 11 THEN 'SOURCE_REQUIRED' ELSE
+CASE WHEN o_orderkey % 13 != 12 AND EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = o.o_custkey AND b.o_orderkey != o.o_orderkey AND b.o_orderkey % 13 != 12 AND b.o_orderkey % 13 NOT IN (1, 2, 9)
+  AND b.o_orderdate::DATE <= o.o_orderdate::DATE + 60 AND o.o_orderdate::DATE <= b.o_orderdate::DATE + 60) THEN 'OVERLAPPING_ACTIVE_RULE' END END AS error FROM orders o""")
+def rule_validation(spark, d):
+    """Every rule against all of them: each remainder by 13 but the first and the last has a fault of its own, the last is inactive."""
+    k = _key() % 13
+    day = F.col("o_orderdate").cast("date")
+    fault = lambda n, bad, good: F.when(k == n, bad).otherwise(good)
+    table = load(spark, d, "orders").select(
+        _key().alias("rule_id"), fault(1, " ", F.concat(F.lit("s"), F.col("o_custkey"))).alias("section"), fault(2, "2025", "2025-26").alias("financial_year"), F.when(k == 3, "ten").when(k == 4, "-1").otherwise(" 7.50").alias("rate"),
+        F.when(k == 5, "much").when(k == 6, "-5").when(k == 0, "30000").otherwise("").alias("threshold"), F.when(k == 7, "DAILY").when(k == 0, "annual").otherwise("").alias("threshold_type"), fault(8, "GROSS", "books_tds_base").alias("calculation_base"),
+        F.when(k != 9, day.cast("string")).alias("effective_from"), F.date_add(day, 60).cast("string").alias("effective_to"), fault(10, "0", "").alias("version"), F.lit("Act").alias("source"), fault(11, "", "s. 1").alias("source_reference"), F.when(k == 12, False).alias("is_active"),
+    )
+    return rules.validated(table, table).select("rule_id", "error")
+
+
+@query("""SELECT o_orderkey + 10 AS row_no, 'T' || o_orderkey AS transaction_id, 'ABCDE1234F' AS deductee_pan, (o_orderkey % 100 + 1000.5)::DECIMAL(18,2) AS tds_amount, 'Rao, ' || o_custkey AS deductee_name, CASE WHEN o_orderkey % 2 = 0 THEN '194C' END AS section
+FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 5 = 4""", decimals="tds_amount")
+def return_csv_rows(spark, d):
+    """By remainders of 5: 1 has no transaction, 2 no PAN, 3 no number; 0 and 4 are sound."""
+    k = _key() % 5
+    section = F.when(_key() % 2 == 0, "194C").otherwise(" ")
+    tax = F.when(k == 3, "n/a").otherwise(F.concat(F.lit('"1,0'), F.lpad((_key() % 100).cast("string"), 2, "0"), F.lit('.50"')))
+    cells = [F.when(k != 1, F.concat(F.lit("T"), _key())).otherwise(""), F.when(k == 2, "ABCDE1234").otherwise(" abcde1234f"), tax, F.concat(F.lit('"Rao, '), F.col("o_custkey"), F.lit('"')), section]
+    body = load(spark, d, "orders").select((_key() + 10).alias("row_no"), F.concat_ws(",", *cells).alias("value"))
+    head = spark.createDataFrame([(1, "Form 26Q, regular"), (2, ""), (3, "Voucher Number,PAN,Tax Deducted,Deductee-Name,Section Code")], "row_no long, value string")
+    return return_rows(head.union(body)).select("row_no", "transaction_id", "deductee_pan", "tds_amount", "deductee_name", "section")

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions.amounts import parse_amount
 from ..functions.dates import parse_date
-from ..functions.text import header_key, split_list
+from ..functions.text import blank_to_null, header_key, is_pan, split_list
 from ..operators.validation import header_score, is_footer
 from . import schema
 
@@ -170,3 +170,45 @@ def read_packages(spark: SparkSession, path: str) -> DataFrame:
                     yield pd.DataFrame({"file": [name], "row_no": [None], "value": [str(e)]})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "file string, row_no long, value string")
+
+
+# Headers of structured return extracts, letters and digits only.
+RETURN_HEADERS = {
+    "transaction_id": ("transactionid", "transactionreference", "reference", "voucher", "vouchernumber"),
+    "payment_reference": ("paymentreference", "paymentid", "paymentnumber", "paymentidentifier"),
+    "invoice_number": ("invoicenumber", "invoiceno", "invoice"),
+    "document_identifier": ("documentidentifier", "documentid", "documentnumber", "documentreference"),
+    "deductee_pan": ("deducteepan", "pan"),
+    "deductee_name": ("deducteename", "name"),
+    "amount_paid": ("amountpaid", "paymentamount", "amount"),
+    "tds_amount": ("tdsamount", "taxdeducted", "taxdeductedandpaid", "tax"),
+    "section": ("section", "sectioncode"),
+    "challan_number": ("challannumber", "challan", "cin"),
+    "payment_date": ("paymentdate", "creditdate", "paymentorcreditdate"),
+}
+RETURN_KEYS = ("transaction_id", "deductee_pan", "tds_amount")
+
+
+def return_rows(text: DataFrame) -> DataFrame | None:
+    """The rows of a structured return extract, given as its lines (row_no, value): row_no and the columns of RETURN_HEADERS.
+
+    A first line that speaks of a form or of a regular or correction statement is a banner and no header.  Rows without
+    a transaction, a well-formed PAN or a tax that is a number are left out.  None where the header lacks one of these.
+    """
+    head = [r["value"] for r in text.filter("row_no <= 50 and trim(value) != ''").orderBy("row_no").collect()]
+    head[:1] = [x.lstrip("\ufeff") for x in head[:1]]
+    banner = bool(head) and any(word in head[0].upper() for word in ("FORM", "REGULAR", "CORRECTION"))
+    if len(head) <= banner:
+        return None
+    delimiter = sniff_delimiter(head[banner:])
+    keys = ["".join(c for c in cell.lower() if c.isascii() and c.isalnum()) for cell in head[banner].split(delimiter)]
+    places = {column: i for column, names in RETURN_HEADERS.items() for i in reversed(range(len(keys))) if keys[i] in names}
+    if any(k not in places for k in RETURN_KEYS):
+        return None
+    cells = text.filter("trim(value) != ''").select("row_no", split_cells(F.col("value"), delimiter).alias("cells"))
+    first = cells.orderBy("row_no").limit(banner + 1).agg(F.max("row_no")).first()[0]
+    given = {c: blank_to_null(F.get("cells", F.lit(places[c]))) if c in places else F.lit(None).cast("string") for c in RETURN_HEADERS}
+    number = lambda c: F.replace(c, F.lit(","), F.lit("")).try_cast("decimal(18,2)")
+    given |= {"deductee_pan": F.upper(given["deductee_pan"]), "amount_paid": number(given["amount_paid"]), "tds_amount": number(given["tds_amount"])}
+    rows = cells.filter(F.col("row_no") > first).select("row_no", *(v.alias(k) for k, v in given.items()))
+    return rows.filter(F.col("transaction_id").isNotNull() & is_pan(F.col("deductee_pan")) & F.col("tds_amount").isNotNull())
