@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, license_scan, lm, mixing, ngram_join, packing, quality, sharding, url_filter, warc
+from . import ann, license_scan, lm, manifest, mixing, ngram_join, packing, quality, sharding, url_filter, warc
 from .runtime import table
 
 
@@ -51,8 +51,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_packing, op3_ngram_join, op4_sharding, op5_warc_audit, op6_nearest, op7_lm_scoring, op8_url_filter, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_packing, op3_ngram_join, op4_sharding, op5_warc_audit, op6_nearest, op7_lm_scoring, op8_url_filter, op9_quality_rules, op10_mixing, op11_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -60,4 +64,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_sharding": sharding.sql(),
         "op5_warc_audit": warc.SQL,
         "op8_url_filter": url_filter.SQL,
+        "op11_merkle_manifest": manifest.sql(),
     }
