@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, license_scan, lm, manifest, mixing, ngram_join, packing, quality, sharding, url_filter, warc
+from . import ann, license_scan, lm, manifest, mixing, ngram_join, packing, quality, sharding, url_filter, warc, whitening
 from .runtime import table
 
 
@@ -55,8 +55,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_packing, op3_ngram_join, op4_sharding, op5_warc_audit, op6_nearest, op7_lm_scoring, op8_url_filter, op9_quality_rules, op10_mixing, op11_merkle_manifest)}
+    return {f.__name__: f for f in (op1_license_scan, op2_packing, op3_ngram_join, op4_sharding, op5_warc_audit, op6_nearest, op7_lm_scoring, op8_url_filter, op9_quality_rules, op10_mixing, op11_merkle_manifest, op12_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
