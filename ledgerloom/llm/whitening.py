@@ -175,8 +175,7 @@ def merged(parts: DataFrame, tasks: int) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         sums, w = None, None
         for row in table.to_batches(max_chunksize=1):
-            mean, products = (row.column(c).values.to_numpy() for c in ("mean", "products"))
-            own = row.column("sums").values.to_numpy()
+            mean, products, own = (row.column(c)[0].values.to_numpy() for c in ("mean", "products", "sums"))
             if w is None:
                 w, sums = Welford(len(mean)), np.zeros(len(own), np.int64)
             w.merge(row.column("n")[0].as_py(), mean, products.reshape(len(mean), len(mean)))

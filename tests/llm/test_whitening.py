@@ -53,6 +53,15 @@ def test_merging_equals_one_pass():
     assert np.allclose(merged.covariance(), whole.covariance(), rtol=1e-9)
 
 
+def test_states_of_many_tasks_meet(spark, monkeypatch):
+    monkeypatch.setattr(whitening, "MERGED", 3)
+    x = np.random.default_rng(1).integers(-300, 300, (250, 4))
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "x array<long>").repartition(11)
+    (r,) = whitening.merged(whitening.states(df), 11).collect()
+    assert (r["dim"], r["n"], r["sums"]) == (4, 250, x.sum(0).tolist())
+    assert np.allclose(np.reshape(r["products"], (4, 4)) / 250, np.cov(x.T, bias=True))
+
+
 def held_to(rows, vectors, ids):
     n, sums, values, axes = expected(vectors)
     trace = values.sum()
