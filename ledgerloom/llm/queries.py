@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, license_scan, lm, manifest, mixing, ngram_join, packing, quality, sharding, url_filter, warc, whitening
+from . import ann, html_extract, license_scan, lm, manifest, mixing, ngram_join, packing, quality, sharding, url_filter, warc, whitening
 from .runtime import table
 
 
@@ -59,8 +59,12 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_packing, op3_ngram_join, op4_sharding, op5_warc_audit, op6_nearest, op7_lm_scoring, op8_url_filter, op9_quality_rules, op10_mixing, op11_merkle_manifest, op12_whitening)}
+    return {f.__name__: f for f in (op1_license_scan, op2_packing, op3_ngram_join, op4_sharding, op5_warc_audit, op6_nearest, op7_lm_scoring, op8_url_filter, op9_quality_rules, op10_mixing, op11_merkle_manifest, op12_whitening, op13_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
