@@ -39,6 +39,7 @@ _MARKUP = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*+>",
     re.S | re.I,
 )
+_BEGUN = re.compile(r"<[a-zA-Z/!?]")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _NAME_WORDS = re.compile(r"[^\W\d_]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -106,14 +107,13 @@ def leaf_blocks(page: str, paths: Paths) -> list[tuple[str, int, float]]:
         if links and not bare:
             linked += len(text)
 
-    for m in _MARKUP.finditer(page):
+    end = page.rfind(">") + 1  # no markup ends beyond, so none is looked for there
+    for m in _MARKUP.finditer(page, 0, end):
         if m.start() > at:
             put(page[at : m.start()])
         at = m.end()
         tag = m[3]
         if tag is None:
-            if m[1]:
-                continue
             continue
         tag = tag.lower()
         if tag == "br":
@@ -152,7 +152,7 @@ def leaf_blocks(page: str, paths: Paths) -> list[tuple[str, int, float]]:
         if tag not in VOID:
             stack.append((tag, paths.child(stack[-1][1] if stack else 0, tag, m[4])))
             links += tag == "a"
-    put(page[at:])
+    put(page[at:end] + _BEGUN.split(page[max(at, end) :], maxsplit=1)[0])
     cut()
     return out
 
