@@ -19,12 +19,13 @@ Weights = dict[str, np.ndarray]
 class Pages:
     """Blocks of some pages as the model reads them.
 
-    sizes: blocks of each page.  node: a block's tag path; parts: (node, bucket) of every name on a path.  word_block,
-    word: the block and the bucket of every word.  extra: further numbers of a block.
+    sizes: blocks of each page.  node: a block's tag path; parent: the path that a path goes on from, which stands before
+    it; parts: (path, bucket) of the names that it adds.  word_block, word: the block and the bucket of every word.
+    extra: further numbers of a block.
     """
 
-    def __init__(self, sizes: np.ndarray, node: np.ndarray, parts: tuple[np.ndarray, np.ndarray], n_nodes: int, word_block: np.ndarray, word: np.ndarray, extra: np.ndarray) -> None:
-        self.sizes, self.node, self.parts, self.n_nodes, self.word_block, self.word, self.extra = sizes, node, parts, n_nodes, word_block, word, extra
+    def __init__(self, sizes: np.ndarray, node: np.ndarray, parent: np.ndarray, parts: tuple[np.ndarray, np.ndarray], word_block: np.ndarray, word: np.ndarray, extra: np.ndarray) -> None:
+        self.sizes, self.node, self.parent, self.parts, self.word_block, self.word, self.extra = sizes, node, parent, parts, word_block, word, extra
 
 
 def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -36,9 +37,9 @@ def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _means(at: np.ndarray, keys: np.ndarray, table: np.ndarray, n: int, power: float, piece: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """(sums of the table's rows over a power of their number, that divisor), in pieces of bounded size."""
-    count = np.maximum(np.bincount(at, minlength=n), 1).astype(np.float32)[:, None] ** power
+def _means(at: np.ndarray, keys: np.ndarray, table: np.ndarray, n: int, piece: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """(means of the table's rows, their divisor), in pieces of bounded size."""
+    count = np.maximum(np.bincount(at, minlength=n), 1).astype(np.float32)[:, None]
     out = np.zeros((n, table.shape[1]), np.float32)
     for lo in range(0, len(at), piece):
         part = at[lo : lo + piece]
@@ -48,9 +49,22 @@ def _means(at: np.ndarray, keys: np.ndarray, table: np.ndarray, n: int, power: f
     return out / count, count
 
 
+def _paths(table: np.ndarray, p: Pages) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of the vectors of all names on a path over the root of their number, that divisor)."""
+    owner, bucket = p.parts
+    total = np.zeros((len(p.parent), table.shape[1]), table.dtype)
+    np.add.at(total, owner, table[bucket])
+    count = np.bincount(owner, minlength=len(p.parent))
+    for k in range(1, len(p.parent)):
+        total[k] += total[p.parent[k]]
+        count[k] += count[p.parent[k]]
+    divisor = np.sqrt(np.maximum(count, 1)).astype(np.float32)[:, None]
+    return total / divisor, divisor
+
+
 def inputs(w: Weights, p: Pages) -> np.ndarray:
-    paths, _ = _means(*p.parts, w["path"], p.n_nodes, 0.5)
-    words, _ = _means(p.word_block, p.word, w["word"], len(p.node), 1.0)
+    paths, _ = _paths(w["path"], p)
+    words, _ = _means(p.word_block, p.word, w["word"], len(p.node))
     return np.concatenate([paths[p.node], words, p.extra], 1)
 
 
@@ -166,14 +180,16 @@ def gradients(w: Weights, p: Pages, label: np.ndarray, mine: np.ndarray, words:
         dz, rows = dz_all[k][there], at[k][there]
         g["in"][k], g["bias"][k] = x[rows].T @ dz, dz.sum(0)
         dx[rows] += dz @ w["in"][k].T
-    by_node = np.zeros((p.n_nodes, PATH_DIM), np.float32)
+    by_node = np.zeros((len(p.parent), PATH_DIM), np.float32)
     np.add.at(by_node, p.node, dx[:, :PATH_DIM])
-    _, count = _means(*p.parts, w["path"], p.n_nodes, 0.5)
+    by_node /= _paths(w["path"], p)[1]
+    for k in range(len(p.parent) - 1, 0, -1):
+        by_node[p.parent[k]] += by_node[k]
     g["path"] = np.zeros_like(w["path"])
-    np.add.at(g["path"], p.parts[1], (by_node / count)[p.parts[0]])
+    np.add.at(g["path"], p.parts[1], by_node[p.parts[0]])
     g["word"] = np.zeros_like(w["word"])
     if words:
-        _, count = _means(p.word_block, p.word, w["word"], len(p.node), 1.0)
+        _, count = _means(p.word_block, p.word, w["word"], len(p.node))
         rows = (dx[:, PATH_DIM : PATH_DIM + WORD_DIM] / count)[p.word_block]
         for k in range(WORD_DIM):
             g["word"][:, k] = np.bincount(p.word, rows[:, k], WORD_BUCKETS)
@@ -187,7 +203,7 @@ def part_of(p: Pages, mine: np.ndarray) -> tuple[Pages, np.ndarray]:
     words = np.concatenate([np.arange(*np.searchsorted(p.word_block, [s, s + n])) for s, n in zip(starts[mine], p.sizes[mine])])
     new = np.zeros(len(p.node), np.int64)
     new[blocks] = np.arange(len(blocks))
-    return Pages(p.sizes[mine], p.node[blocks], p.parts, p.n_nodes, new[p.word_block[words]], p.word[words], p.extra[blocks]), blocks
+    return Pages(p.sizes[mine], p.node[blocks], p.parent, p.parts, new[p.word_block[words]], p.word[words], p.extra[blocks]), blocks
 
 
 def train(p: Pages, label: np.ndarray, seed: int = 0) -> Weights:

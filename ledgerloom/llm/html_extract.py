@@ -35,7 +35,7 @@ THRESHOLD = 0.5
 
 #: Comments, elements whose content is no text of the page, declarations, tags.
 _MARKUP = re.compile(
-    r"<!--(?:.*?-->|.*)|<(script|style|title|textarea|template|noscript|iframe)\b[^>]*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+>"
+    r"<!--(?:.*?-->|(.*))|<(script|style|title|textarea|template|noscript|iframe)\b[^>]*+>.*?(?:</\2\s*>|(\Z))|<[!?][^>]*+>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*+>",
     re.S | re.I,
 )
@@ -112,8 +112,10 @@ def leaf_blocks(page: str, paths: Paths) -> list[tuple[str, int, float]]:
         if m.start() > at:
             put(page[at : m.start()])
         at = m.end()
-        tag = m[3]
+        tag = m[5]
         if tag is None:
+            if m[1] is not None or m[3] is not None:  # it never ends
+                at = len(page)
             continue
         tag = tag.lower()
         if tag == "br":
@@ -122,7 +124,7 @@ def leaf_blocks(page: str, paths: Paths) -> list[tuple[str, int, float]]:
         inline = tag in INLINE
         if not inline:
             cut()
-        if m[2]:
+        if m[4]:
             for i in range(len(stack) - 1, -1, -1):
                 name = stack[i][0]
                 if name == tag:
@@ -150,7 +152,7 @@ def leaf_blocks(page: str, paths: Paths) -> list[tuple[str, int, float]]:
                     if stack[i][0] in holders:
                         break
         if tag not in VOID:
-            stack.append((tag, paths.child(stack[-1][1] if stack else 0, tag, m[4])))
+            stack.append((tag, paths.child(stack[-1][1] if stack else 0, tag, m[6])))
             links += tag == "a"
     put(page[at:end] + _BEGUN.split(page[max(at, end) :], maxsplit=1)[0])
     cut()
@@ -164,9 +166,9 @@ def encoded(pages: list[list[tuple[str, int, float]]], paths: Paths) -> labeller
     texts = [b[0].encode("utf-8", "replace") for b in flat]
     node = np.array([b[1] for b in flat], np.int64)
     bucket: dict[str, int] = {}
-    owner, part = [0], [0]  # the root's path has a name too
-    for k in range(1, len(paths.nodes)):
-        for name in paths.names(k):
+    owner, part = [0], [0]  # the root has a name too
+    for k, (_, names) in enumerate(paths.nodes):
+        for name in names:
             if name not in bucket:
                 bucket[name] = zlib.crc32(name.encode()) % labeller.PATH_BUCKETS
             owner.append(k)
@@ -179,7 +181,7 @@ def encoded(pages: list[list[tuple[str, int, float]]], paths: Paths) -> labeller
         words.append((hashes >> np.uint64(32)).astype(np.int64) % labeller.WORD_BUCKETS)
     chars = np.array([len(b[0]) for b in flat], np.float32)
     extra = np.stack([np.log1p(chars) / 4 - 1, np.array([b[2] for b in flat], np.float32)], 1) if flat else np.zeros((0, labeller.EXTRA), np.float32)
-    return labeller.Pages(sizes, node, (np.array(owner), np.array(part)), len(paths.nodes), np.concatenate(blocks), np.concatenate(words), extra.astype(np.float32))
+    return labeller.Pages(sizes, node, np.array([parent for parent, _ in paths.nodes]), (np.array(owner), np.array(part)), np.concatenate(blocks), np.concatenate(words), extra.astype(np.float32))
 
 
 def known_labels(blocks: list[tuple[str, int, float]], paths: Paths) -> list[bool] | None:

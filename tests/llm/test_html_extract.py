@@ -42,6 +42,9 @@ def texts_of(page):
         ("<script>var t='</p><p>no</p>';</script><style>p{}</style><title>no</title><!-- no <p>no</p> --><p>yes", ["yes"]),
         ("<p>x<script>no", ["x"]),
         ("<p>x<!-- no", ["x"]),
+        ("<p>x<!-- no <b>no</b> no", ["x"]),
+        ("<p>x<script>no</b> no", ["x"]),
+        ("<script>no</script>x", ["x"]),
         ("<p title='a>b'>x</p><p title=\"a'>b\">y</p>", ["x", "y"]),
         ("1 < 2 &amp; 3 &gt; 2 &eacute;&#233;&#xe9; &lt;p&gt; &amp;amp; &bogus;", ["1 < 2 & 3 > 2 ééé <p> &amp; &bogus;"]),
         ("a&nbsp;&nbsp;b\t\tc d", ["a b c d"]),
