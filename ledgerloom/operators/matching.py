@@ -1,9 +1,9 @@
 """Matching the books with a statement.
 
 What doesn't depend on order is joins: candidates within a tolerance, the nearest amount, totals of a scope.  Consuming
-matches one after another does; no match crosses a financial year, so that runs for each customer and year by itself in
-Python over the sorted rows of a partition: same quarter first, then other quarters, then one to many, many to one and totals, then the nearest.
-Scopes of more than SCOPE rows skip the search for groups and only compare totals.
+matches one after another does: same quarter first, then other quarters, then one to many, many to one and totals, then
+the nearest.  No match crosses a customer and financial year, so these run by themselves (``match_small``);
+``plans.greedy`` matches those with more rows than one task should take in slabs of amounts, with the same steps.
 
 A null amount counts as 0 and a null quarter as none; rows without a customer or year match nothing.
 """
@@ -11,18 +11,18 @@ A null amount counts as 0 and a null quarter as none; rows without a customer or
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations, pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.amounts import MONEY, within_tolerance
 
-SCOPE, POOL, GROUP = 500, 14, 6
-ABSOLUTE, PERCENT = 10.0, 1.0
 
 
 def tolerance_candidates(books: DataFrame, statements: DataFrame, same_quarter: bool = True) -> DataFrame:
@@ -68,148 +68,218 @@ def scope_totals(books: DataFrame, statements: DataFrame, scope: list[str]) -> D
     return both.filter(within_tolerance(F.col("book_total"), F.col("statement_total")) & (F.col("book_rows") + F.col("statement_rows") > 2))
 
 
-MATCHED = "book_id long, statement_id long, customer long, method string, group_id string, difference double"
+@dataclass(frozen=True)
+class Terms:
+    """What a client configures: tolerances, how far the search for groups goes, and how many rows one task takes whole.
+
+    scope: rows of both sides beyond which only totals are compared.  pool, group: rows that sums are tried over, and the
+    most that one sum takes.  rows: rows of a customer and year beyond which they are matched in slabs.
+    """
+
+    absolute: float = 10.0
+    percent: float = 1.0
+    scope: int = 500
+    pool: int = 14
+    group: int = 6
+    rows: int = 20_000
+
+    def tolerance(self, cents: np.ndarray) -> np.ndarray:
+        return np.maximum(self.absolute * 100, np.abs(cents) * self.percent / 100)
+
+
+KEY = ["customer", "fy"]
 
 
 @lru_cache(None)
-def _choices(pool: int) -> np.ndarray:
-    """All choices of 2 to GROUP of ``pool`` places, smaller ones first, a row for each, filled up with the place ``pool``."""
-    every = [c for size in range(2, min(pool, GROUP) + 1) for c in combinations(range(pool), size)]
-    out = np.full((len(every), GROUP), pool)
+def _choices(pool: int, group: int) -> np.ndarray:
+    """All choices of 2 to ``group`` of ``pool`` places, smaller ones first, a row for each, filled up with the place ``pool``."""
+    every = [c for size in range(2, min(pool, group) + 1) for c in combinations(range(pool), size)]
+    out = np.full((len(every), group), pool)
     for row, c in zip(out, every):
         row[: len(c)] = c
     return out
 
 
-def _subset(pool: np.ndarray, cents: np.ndarray, target: int, tol: float) -> np.ndarray | None:
-    """The first choice of the POOL rows nearest to the target whose sum agrees with it."""
+def _subset(pool: np.ndarray, cents: np.ndarray, target: int, terms: Terms) -> np.ndarray | None:
+    """The first choice of the rows of the pool nearest to the target whose sum agrees with it."""
     if len(pool) < 2:
         return None
-    own = cents[pool]
-    if len(pool) > POOL:
-        near = np.sort(np.argsort(np.abs(own - target), kind="stable")[:POOL])
+    own, tol = cents[pool], terms.tolerance(target)
+    if len(pool) > terms.pool:
+        near = np.sort(np.argsort(np.abs(own - target), kind="stable")[: terms.pool])
         pool, own = pool[near], own[near]
     ordered = np.sort(own)
-    if ordered[0] >= 0 and (ordered[-GROUP:].sum() < target - tol or ordered[:2].sum() > target + tol):
+    if ordered[0] >= 0 and (ordered[-terms.group :].sum() < target - tol or ordered[:2].sum() > target + tol):
         return None  # even the largest rows sum to less, or the two smallest to more
-    choices = _choices(len(pool))
+    choices = _choices(len(pool), terms.group)
     fits = np.abs(target - np.append(own, 0)[choices].sum(1)) <= tol
     at = int(np.argmax(fits))
     return pool[choices[at][choices[at] < len(pool)]] if fits[at] else None
 
 
-def _match(rows: dict[str, np.ndarray]) -> list[tuple]:
-    """The matches of one customer and year; amounts in cents, so that sums are exact."""
-    customer, fy = rows["customer"][0], rows["fy"][0]
-    own, other = np.flatnonzero(rows["side"] == 0), np.flatnonzero(rows["side"] == 1)
-    if not len(own) or not len(other):
-        return []
-    own = own[np.lexsort((rows["id"][own], -rows["cents"][own]))]
-    other = other[np.argsort(rows["id"][other], kind="stable")]
-    (bi, bc, bq, bs), (si, sc, sq, ss) = ([rows[c][at] for c in ("id", "cents", "quarter", "section")] for at in (own, other))
-    free_b, free_s = np.ones(len(bi), bool), np.ones(len(si), bool)
-    out: list[tuple] = []
-
-    def tolerance(cents: int) -> float:
-        return max(ABSOLUTE * 100, abs(cents) * PERCENT / 100)
-
-    def record(method: str, left: np.ndarray, right: np.ndarray) -> None:
-        group = f"{customer}-{fy}-{len(out)}" if len(left) + len(right) > 2 else None
-        gap = float(bc[left].sum() - sc[right].sum()) / 100
-        free_b[left] = False
-        free_s[right] = False
-        pairs = [(bi[i], si[j]) for i in left for j in right] if min(len(left), len(right)) == 1 else [(bi[i], None) for i in left] + [(None, si[j]) for j in right]
-        out.extend((i, j, customer, method, group, gap) for i, j in pairs)
-
-    order = np.argsort(sc, kind="stable")  # for the window of amounts around a book's
-    ordered = sc[order]
-    for same in (True, False):
-        tol = np.maximum(ABSOLUTE * 100, np.abs(bc) * PERCENT / 100)
-        lo, hi = np.searchsorted(ordered, bc - tol), np.searchsorted(ordered, bc + tol, "right")
-        for i in np.flatnonzero(free_b & (lo < hi)):
-            window = order[lo[i] : hi[i]]
-            window = window[free_s[window] & ((sq[window] == bq[i]) if same else (sq[window] != bq[i]))]
-            if len(window):
-                rank = [((ss[j] != bs[i]), 0 if same else abs(sq[j] - bq[i]), abs(sc[j] - bc[i]), j) for j in window]
-                record(f"EXACT_1_TO_1_{'SAME' if same else 'OUTSIDE'}_QUARTER", np.array([i]), np.array([min(rank)[-1]]))
-
-    def groups(scope_b: np.ndarray, scope_s: np.ndarray, name: str) -> None:
-        if len(scope_b) + len(scope_s) <= SCOPE:
-            for i in scope_b:
-                if (found := _subset(scope_s[free_s[scope_s]], sc, bc[i], tolerance(bc[i]))) is not None:
-                    record(f"GROUP_{name}", np.array([i]), found)
-            for j in scope_s:
-                if free_s[j] and (found := _subset(scope_b[free_b[scope_b]], bc, sc[j], tolerance(sc[j]))) is not None:
-                    record(f"GROUP_{name}", found, np.array([j]))
-        left, right = scope_b[free_b[scope_b]], scope_s[free_s[scope_s]]
-        if len(left) and len(right) and len(left) + len(right) > 2 and abs(bc[left].sum() - sc[right].sum()) <= tolerance(bc[left].sum()):
-            record(f"GROUP_{name}", left, right)
-
-    for q in (1, 2, 3, 4):
-        left, right = np.flatnonzero(free_b & (bq == q)), np.flatnonzero(free_s & (sq == q))
-        if len(left) and len(right):
-            groups(left, right, "SAME_QUARTER")
-    groups(np.flatnonzero(free_b), np.flatnonzero(free_s), "OUTSIDE_QUARTER")
-    for same in (True, False):
-        for i in np.flatnonzero(free_b):
-            at = np.flatnonzero(free_s & (sq == bq[i]) if same else free_s)
+class Scope:
+    """Books and statement rows that are matched with each other, each in the order of their ids; amounts in cents.
+
+    Sections are numbers, those of blank ones negative: a blank section never agrees.  ``found`` holds (method, books,
+    statement rows) by their places.
+    """
+
+    def __init__(self, books: tuple[np.ndarray, ...], statements: tuple[np.ndarray, ...], terms: Terms) -> None:
+        self.bc, self.bq, self.bs = books
+        self.sc, self.sq, self.ss = statements
+        self.terms = terms
+        self.free_b, self.free_s = np.ones(len(self.bc), bool), np.ones(len(self.sc), bool)
+        self.turn = np.argsort(-self.bc, kind="stable")
+        self.found: list[tuple[str, np.ndarray, np.ndarray]] = []
+
+    def record(self, method: str, left: np.ndarray, right: np.ndarray) -> None:
+        self.free_b[left] = False
+        self.free_s[right] = False
+        self.found.append((method, left, right))
+
+    def exact(self, same: bool) -> None:
+        """Larger books first, each takes the best row within its tolerance."""
+        order = np.argsort(self.sc, kind="stable")  # for the window of amounts around a book's
+        ordered, tol = self.sc[order], self.terms.tolerance(self.bc)
+        lo, hi = np.searchsorted(ordered, self.bc - tol), np.searchsorted(ordered, self.bc + tol, "right")
+        method = f"EXACT_1_TO_1_{'SAME' if same else 'OUTSIDE'}_QUARTER"
+        for i in self.turn[(self.free_b & (lo < hi))[self.turn]]:
+            near = order[lo[i] : hi[i]]
+            near = near[self.free_s[near] & ((self.sq[near] == self.bq[i]) == same)]
+            if not len(near):
+                continue
+            agrees = near[(self.ss[near] == self.bs[i]) & (self.bs[i] >= 0)]
+            near = agrees if len(agrees) else near
+            for distance in ([] if same else [np.abs(self.sq[near] - self.bq[i])]):
+                near = near[distance == distance.min()]
+            gap = np.abs(self.sc[near] - self.bc[i])
+            self.record(method, np.array([i]), near[gap == gap.min()].min(keepdims=True))
+
+    def groups(self, left: np.ndarray, right: np.ndarray, method: str) -> None:
+        """One to many, many to one, then all that is left by its totals; left and right: places in order."""
+        if len(left) + len(right) <= self.terms.scope:
+            for i in left[np.argsort(-self.bc[left], kind="stable")]:
+                if (sums := _subset(right[self.free_s[right]], self.sc, self.bc[i], self.terms)) is not None:
+                    self.record(method, np.array([i]), sums)
+            for j in right[np.argsort(-self.sc[right], kind="stable")]:
+                if self.free_s[j] and (sums := _subset(left[self.free_b[left]], self.bc, self.sc[j], self.terms)) is not None:
+                    self.record(method, sums, np.array([j]))
+        left, right = left[self.free_b[left]], right[self.free_s[right]]
+        total = self.bc[left].sum()
+        if len(left) and len(right) and len(left) + len(right) > 2 and abs(total - self.sc[right].sum()) <= self.terms.tolerance(total):
+            self.record(method, left, right)
+
+    def closest(self, same: bool) -> None:
+        """Larger books first, each takes the nearest row that is left, however far."""
+        for i in self.turn[self.free_b[self.turn]]:
+            at = np.flatnonzero(self.free_s & (self.sq == self.bq[i]) if same else self.free_s)
             if len(at):
-                record("AMOUNT_MISMATCH", np.array([i]), at[[np.argmin(np.abs(sc[at] - bc[i]))]])
-    return out
+                self.record("AMOUNT_MISMATCH", np.array([i]), at[[np.argmin(np.abs(self.sc[at] - self.bc[i]))]])
+
+    def all_steps(self) -> None:
+        for same in (True, False):
+            self.exact(same)
+        for q in (1, 2, 3, 4):
+            left, right = np.flatnonzero(self.free_b & (self.bq == q)), np.flatnonzero(self.free_s & (self.sq == q))
+            if len(left) and len(right):
+                self.groups(left, right, "GROUP_SAME_QUARTER")
+        self.groups(np.flatnonzero(self.free_b), np.flatnonzero(self.free_s), "GROUP_OUTSIDE_QUARTER")
+        for same in (True, False):
+            self.closest(same)
 
 
-def _match_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The matches of rows that come ordered by customer and year; the last group of a batch may go on in the next."""
-    columns = ["book_id", "statement_id", "customer", "method", "group_id", "difference"]
-    pending: list[pd.DataFrame] = []
-
-    def matches(frame: pd.DataFrame, ends: np.ndarray) -> pd.DataFrame:
-        arrays = {c: frame[c].to_numpy() for c in frame.columns}
-        out = []
-        for lo, hi in pairwise([0, *ends]):
-            out += _match({c: a[lo:hi] for c, a in arrays.items()})
-        return pd.DataFrame(out, columns=columns).astype({"book_id": "Int64", "statement_id": "Int64"})
-
-    for batch in batches:
-        if not len(batch):
-            continue
-        if pending and (batch["customer"].iloc[0], batch["fy"].iloc[0]) == (batch["customer"].iloc[-1], batch["fy"].iloc[-1]) == (pending[-1]["customer"].iloc[-1], pending[-1]["fy"].iloc[-1]):
-            pending.append(batch)  # all of it belongs to one long group
-            continue
-        frame = pd.concat([*pending, batch], ignore_index=True)
-        new = (frame["customer"].to_numpy()[1:] != frame["customer"].to_numpy()[:-1]) | (frame["fy"].to_numpy()[1:] != frame["fy"].to_numpy()[:-1])
-        ends = np.flatnonzero(new) + 1
-        pending = [frame.iloc[ends[-1] :] if len(ends) else frame]
-        if len(ends):
-            yield matches(frame, ends)
-    if pending:
-        frame = pd.concat(pending, ignore_index=True)
-        yield matches(frame, np.array([len(frame)]))
-
-
-def consume(books: DataFrame, statements: DataFrame) -> DataFrame:
-    """All matches, each row in one match at most; books, statements: (id, customer, fy, quarter, amount, section)."""
-
-    def side(df: DataFrame, n: int) -> DataFrame:
+def numbers(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """(side, cents, quarter, section as a number) of rows."""
+    codes = pc.dictionary_encode(table.column("section").combine_chunks())
+    blank = np.array([not x for x in codes.dictionary.to_pylist()], bool)
+    section = codes.indices.to_numpy(zero_copy_only=False)
+    section = np.where(blank[section], -1, section) if len(section) else section
+    return tuple(table.column(c).to_numpy() for c in ("side", "cents", "quarter")) + (section,)
+
+
+def scope_of(table: pa.Table, terms: Terms) -> tuple[Scope, np.ndarray, np.ndarray]:
+    """(the scope, places of its books in the table, places of its statement rows); rows come in the order of their ids."""
+    side, *values = numbers(table)
+    own, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    return Scope(tuple(v[own] for v in values), tuple(v[other] for v in values), terms), own, other
+
+
+def pairs_of(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Rows of a match: one side's only row with each of the other's; else each row by itself, -1 for the other side."""
+    if min(len(left), len(right)) == 1:
+        return [(i, j) for i in left for j in right]
+    return [(i, -1) for i in left] + [(-1, j) for j in right]
+
+
+def _placed(column: pa.ChunkedArray, at: np.ndarray) -> pa.Array:
+    return pc.take(column, pa.array(np.maximum(at, 0), mask=at < 0)).combine_chunks()
+
+
+def rows_of(books: DataFrame, statements: DataFrame) -> DataFrame:
+    """Both sides as one table; ids and customers may be of any type that has an order."""
+
+    def side(df: DataFrame, n: int, ids: list[Column]) -> DataFrame:
         cents = F.round(F.coalesce(F.col("amount"), F.lit(0)) * 100).cast("long")
         q = F.coalesce(F.substring("quarter", 2, 1).try_cast("int"), F.lit(0))
         rows = df.filter("customer is not null and fy is not null")
-        return rows.select("customer", "fy", F.lit(n).alias("side"), "id", cents.alias("cents"), q.alias("quarter"), F.coalesce("section", F.lit("")).alias("section"))
-
-    # one shuffle for both sides; groups are cut where the key changes, so that small ones cost no call of their own
-    rows = side(books, 0).unionByName(side(statements, 1)).repartition("customer", "fy").sortWithinPartitions("customer", "fy")
-    return rows.mapInPandas(_match_all, MATCHED)
+        return rows.select(*KEY, F.lit(n).alias("side"), *ids, cents.alias("cents"), q.alias("quarter"), F.coalesce("section", F.lit("")).alias("section"))
+
+    none = lambda df, name: F.lit(None).cast(df.schema["id"].dataType).alias(name)
+    return side(books, 0, [F.col("id").alias("b_id"), none(statements, "s_id")]).unionByName(side(statements, 1, [none(books, "b_id"), F.col("id").alias("s_id")]))
+
+
+def matched_type(rows: DataFrame) -> str:
+    of = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return f"book_id {of['b_id']}, statement_id {of['s_id']}, customer {of['customer']}, fy {of['fy']}, method string, group_id string, difference double"
+
+
+def match_small(rows: DataFrame, terms: Terms) -> DataFrame:
+    """The matches of customers and years that one task takes whole: groups are cut where the key changes, none has a call of its own."""
+
+    def matches(table: pa.Table) -> pa.RecordBatch | None:
+        scope, own, other = scope_of(table, terms)
+        if not len(own) or not len(other):
+            return None
+        scope.all_steps()
+        found = [(i, j, m, n, len(b) + len(s) > 2, (scope.bc[b].sum() - scope.sc[s].sum()) / 100) for n, (m, b, s) in enumerate(scope.found) for i, j in pairs_of(b, s)]
+        if not found:
+            return None
+        i, j, method, n, grouped, gap = zip(*found)
+        i, j = np.array(i), np.array(j)
+        customer, fy = table.column("customer")[0].as_py(), table.column("fy")[0].as_py()
+        key = [pc.take(table.column(c), pa.array(np.zeros(len(i), int))).combine_chunks() for c in KEY]
+        ids = [_placed(table.column(c), np.where(at < 0, -1, places[np.maximum(at, 0)])) for c, at, places in (("b_id", i, own), ("s_id", j, other))]
+        group = pa.array([f"{customer}-{fy}-{k}" if g else None for k, g in zip(n, grouped)], pa.string())
+        return pa.RecordBatch.from_arrays([*ids, *key, pa.array(method), group, pa.array(gap, pa.float64())], names=["book_id", "statement_id", *KEY, "method", "group_id", "difference"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*pending, batch])
+            new = np.zeros(table.num_rows - 1, bool)
+            for c in KEY:
+                new |= pc.not_equal(table.column(c).slice(1), table.column(c).slice(0, table.num_rows - 1)).to_numpy()
+            cuts = [0, *(np.flatnonzero(new) + 1)]
+            yield from filter(None, (matches(table.slice(lo, hi - lo)) for lo, hi in pairwise(cuts)))
+            pending = table.slice(cuts[-1]).to_batches()
+        if pending and (last := matches(pa.Table.from_batches(pending))):
+            yield last
+
+    ordered = rows.repartition(*KEY).sortWithinPartitions(*KEY, "side", "b_id", "s_id")
+    return ordered.mapInArrow(task, matched_type(rows))
 
 
 def unmatched(rows: DataFrame, matches: DataFrame, column: str) -> DataFrame:
     return rows.join(matches.filter(F.col(column).isNotNull()).select(F.col(column).alias("id")), "id", "left_anti")
 
 
-def claimability(status: Column, deducted: Column, deposited: Column) -> Column:
-    """As an aggregate over a match's statement rows."""
+def claimability(status: Column, deducted: Column, deposited: Column, absolute: float = Terms.absolute) -> Column:
+    """As an aggregate over a match's statement rows; what was deducted counts as 0 where it is null."""
     missing = F.count(deposited) < F.count(F.lit(1))
-    short = F.sum(deposited) + F.lit(ABSOLUTE).cast(MONEY) < F.sum(deducted)
-    return F.when(F.max((status != "F").cast("int")) == 1, "NOT_CLAIMABLE").when(missing | short, "NOT_CLAIMABLE").otherwise("CLAIMABLE")
+    short = F.sum(deposited) + F.lit(absolute).cast(MONEY) < F.coalesce(F.sum(deducted), F.lit(0))
+    return F.when(F.max((~status.eqNullSafe("F")).cast("int")) == 1, "NOT_CLAIMABLE").when(missing | short, "NOT_CLAIMABLE").otherwise("CLAIMABLE")
 
 
 def severity(difference: Column, base: Column) -> Column:

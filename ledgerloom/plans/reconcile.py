@@ -8,31 +8,83 @@ from pyspark.sql import functions as F
 from ..functions.amounts import MONEY, percent_of
 from ..functions.dates import deposit_deadline, governing_law
 from ..operators import compliance, duplicates, matching, rules
+from ..operators.matching import Terms
+from . import greedy
 from .components import kept
 
 
-def full_reconciliation(books: DataFrame, statements: DataFrame) -> DataFrame:
-    """One row for each matched or left record: (result, method, book_id, statement_id, customer, difference)."""
-    b = duplicates.flag_repeats(books, [F.col(c) for c in ("customer", "day", "amount")], [F.col("id")], "id")
-    s = duplicates.flag_repeats(statements, [F.col(c) for c in ("tan", "day", "section", "amount", "status")], [F.col("id")], "id")
+def _has(df: DataFrame, name: str, kind: str) -> DataFrame:
+    """df with the column, null where the source has none."""
+    return df if name in df.columns else df.withColumn(name, F.lit(None).cast(kind))
+
+
+def full_reconciliation(books: DataFrame, statements: DataFrame, terms: Terms = Terms()) -> DataFrame:
+    """One row for each matched or left record, with the verdict of its whole match.
+
+    books: (id, customer, fy, quarter, day, amount, section), and document and matchable where the source has them;
+    statements: (id, tan, customer, fy, quarter, day, amount, section, status), and deposited and matchable.  Columns:
+    result, claimability, method, book_id, statement_id, customer, difference, severity, category, group_id.
+
+    A statement row without a customer is IDENTITY_UNMAPPED.  Rows that are not matchable take no part and give no result.
+    A match is claimable if all its statement rows are final and what was deducted was reported as deposited.
+    """
+    b, s = _has(_has(books, "document", "string"), "matchable", "boolean"), _has(_has(statements, "deposited", MONEY), "matchable", "boolean")
+    b, s = (df.filter(F.coalesce("matchable", F.lit(True))) for df in (b, s))
+    document = F.coalesce(F.nullif(F.col("document").cast("string"), F.lit("")), F.col("id").cast("string"))
+    b = kept(duplicates.flag_repeats(b, [F.col("customer"), document, F.col("day"), F.col("amount")], [F.col("id")], "id"))
+    s = kept(duplicates.flag_repeats(s, [F.col(c) for c in ("tan", "day", "section", "amount", "deposited", "status")], [F.col("id")], "id"))
     first_b, first_s = b.filter("duplicate_of is null"), s.filter("duplicate_of is null")
-    matches = kept(matching.consume(first_b, first_s))  # three parts of the result read it
-    of_match = matches.join(first_s.select(F.col("id").alias("statement_id"), "status"), "statement_id", "left")
-    result = F.when(F.col("method") == "AMOUNT_MISMATCH", "AMOUNT_MISMATCH").when(F.coalesce(F.col("status") != "F", F.lit(False)), "MATCHED_NOT_CLAIMABLE").otherwise("MATCHED_CLAIMABLE")
-    out = of_match.select(result.alias("result"), "method", "book_id", "statement_id", "customer", F.col("difference").cast(MONEY).alias("difference"))
-    row = lambda df, name, book, statement: df.select(
-        F.lit(name).alias("result"), F.lit("UNMATCHED").alias("method"), book.cast("long").alias("book_id"), statement.cast("long").alias("statement_id"), "customer", F.lit(None).cast(MONEY).alias("difference")
+    mapped = first_s.filter("customer is not null")
+    key = F.coalesce("group_id", F.concat_ws("|", F.col("book_id").cast("string"), F.col("statement_id").cast("string")))
+    matches = kept(greedy.match(first_b, mapped, terms).withColumn("_match", key))  # several parts of the result read it
+    lines = matches.filter("statement_id is not null").select("_match", "statement_id").distinct()
+    lines = lines.join(mapped.select(F.col("id").alias("statement_id"), "status", "amount", "deposited"), "statement_id")
+    verdicts = lines.groupBy("_match").agg(
+        matching.claimability(F.col("status"), F.col("amount"), F.col("deposited"), terms.absolute).alias("claimability"), F.coalesce(F.sum("amount"), F.lit(0)).cast(MONEY).alias("_total")
     )
-    none = F.lit(None)
+    known = matches.join(verdicts, "_match")
+    far, gap = F.col("method") == "AMOUNT_MISMATCH", F.col("difference").cast(MONEY)
+    base = gap + F.col("_total")
+    share = F.when(base != 0, F.abs(F.round((gap * 100).cast("decimal(28,6)") / base.cast("decimal(20,2)"), 2)))
+    claimable = F.col("claimability") == "CLAIMABLE"
+    result = F.when(far, "AMOUNT_MISMATCH").when(claimable, "MATCHED_CLAIMABLE").otherwise("MATCHED_NOT_CLAIMABLE")
+    severity = F.when(far, F.when(share > 10, "HIGH").otherwise("MEDIUM")).when(claimable, "NONE").otherwise("MEDIUM")
+    out = known.select(
+        result.alias("result"), F.when(far, "NOT_APPLICABLE").otherwise(F.col("claimability")).alias("claimability"), F.when(far, "UNMATCHED").otherwise(F.col("method")).alias("method"),
+        "book_id", "statement_id", "customer", gap.alias("difference"), severity.alias("severity"), "group_id",
+    )
+
+    def row(df: DataFrame, name: str, severity: str, own: bool) -> DataFrame:
+        none = lambda other: F.lit(None).cast(other.schema["id"].dataType)
+        difference = (F.col("amount") if own else -F.coalesce(F.col("amount"), F.lit(0))).cast(MONEY)
+        return df.select(
+            F.lit(name).alias("result"), F.lit("NOT_APPLICABLE").alias("claimability"), F.lit("UNMATCHED").alias("method"), (F.col("id") if own else none(books)).alias("book_id"),
+            (none(statements) if own else F.col("id")).alias("statement_id"), "customer", difference.alias("difference"), F.lit(severity).alias("severity"), F.lit(None).cast("string").alias("group_id"),
+        )
+
     parts = [
-        row(matching.unmatched(first_b, matches, "book_id"), "MISSING_IN_26AS", F.col("id"), none),
-        row(matching.unmatched(first_s, matches, "statement_id"), "MISSING_IN_BOOKS", none, F.col("id")),
-        row(b.filter("duplicate_of is not null"), "DUPLICATE_BOOK", F.col("id"), none),
-        row(s.filter("duplicate_of is not null"), "DUPLICATE_26AS", none, F.col("id")),
+        row(matching.unmatched(first_b, matches, "book_id"), "MISSING_IN_26AS", "HIGH", True),
+        row(matching.unmatched(mapped, matches, "statement_id"), "MISSING_IN_BOOKS", "MEDIUM", False),
+        row(first_s.filter("customer is null"), "IDENTITY_UNMAPPED", "HIGH", False),
+        row(b.filter("duplicate_of is not null"), "DUPLICATE_BOOK", "LOW", True),
+        row(s.filter("duplicate_of is not null"), "DUPLICATE_26AS", "LOW", False),
     ]
     for part in parts:
         out = out.unionByName(part)
-    return out
+    r = F.col("result")
+    category = F.when(r == "MATCHED_CLAIMABLE", F.lit(None)).when(r == "IDENTITY_UNMAPPED", "IDENTITY").when(r.startswith("DUPLICATE"), "DUPLICATES").when(r == "MATCHED_NOT_CLAIMABLE", "NOT_CLAIMABLE").otherwise(r)
+    return out.withColumn("category", category)
+
+
+#: The order in which results are numbered.
+CLASSES = ("MATCHED_CLAIMABLE", "MATCHED_NOT_CLAIMABLE", "AMOUNT_MISMATCH", "MISSING_IN_26AS", "MISSING_IN_BOOKS", "IDENTITY_UNMAPPED", "DUPLICATE_BOOK", "DUPLICATE_26AS")
+
+
+def sequenced(results: DataFrame, run: str) -> DataFrame:
+    """Adds seq, from 1 in the order of class, customer, group and ids, and result_id: run:seq; no task orders all rows."""
+    place = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("result"))
+    rows = greedy.numbered(results, [], [place.asc(), *(F.col(c).asc() for c in ("customer", "group_id", "book_id", "statement_id"))])
+    return rows.withColumn("seq", F.col("pos") + 1).drop("pos").withColumn("result_id", F.concat_ws(":", F.lit(run), F.col("seq").cast("string")))
 
 
 def statement_only(statements: DataFrame, rule_table: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from .functions import amounts, dates, text
 from .functions.amounts import MONEY
 from .operators import compliance, duplicates, identity, matching, relationship, reports, returns, rules, search, validation
-from .plans import reconcile
+from .plans import greedy, reconcile
 from .plans.frames import BOOKS_SQL, PAYMENTS_SQL, RULES_SQL, STATEMENTS_SQL, books, fy_sql, load, payments, quarter_sql, statements
 from .plans.frames import rules as rule_table
 from .sources import sinks, tables
@@ -581,12 +581,14 @@ def scope_aggregate_match(spark, d):
 
 @query()
 def greedy_match(spark, d):
-    return matching.consume(books(spark, d), statements(spark, d))
+    return greedy.match(books(spark, d), statements(spark, d))
 
 
 @query(decimals="difference")
 def full_reconciliation(spark, d):
-    return reconcile.full_reconciliation(books(spark, d), statements(spark, d))
+    b = books(spark, d).join(load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("document")), "id")
+    s = statements(spark, d).withColumn("deposited", F.when(F.col("section") == "A", F.col("amount") - 8).when(F.col("section") != "R", F.col("amount")))
+    return reconcile.full_reconciliation(b, s)
 
 
 @query(_with(STATEMENTS_SQL, RULES_SQL) + f""", v AS (SELECT s.id, s.tan, s.tax, s.amount, max_by(rule_id, version) AS rule_id, max_by(rate, version) AS rate FROM stmts s LEFT JOIN rules ON {_IN_FORCE} GROUP BY ALL),

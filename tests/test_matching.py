@@ -4,25 +4,29 @@ import itertools
 import random
 import time
 from collections import Counter
+from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerloom.operators import matching
-from ledgerloom.plans.reconcile import full_reconciliation
+from ledgerloom.operators.matching import Terms
+from ledgerloom.plans.greedy import match, step_of
+from ledgerloom.plans.reconcile import CLASSES, full_reconciliation, sequenced
 
 SCHEMA = "id long, customer long, fy string, quarter string, amount decimal(18,2), section string"
 
 
-def brute(books, statements):
+def brute(books, statements, terms=Terms()):
     """The same rules by loops over dictionaries: (book ids, statement ids, method) of every match."""
     out = []
     cents = lambda r: round(float(r["amount"] or 0) * 100)
     q = lambda r: int(r["quarter"][1]) if r["quarter"] else 0
+    tol = lambda c: max(terms.absolute * 100, abs(c) * terms.percent / 100)
+    large = lambda rows: sorted(rows, key=lambda r: -cents(r))
     keys = {(r["customer"], r["fy"]) for r in books} & {(r["customer"], r["fy"]) for r in statements}
-    for customer, fy in sorted(k for k in keys if None not in k):
-        own = lambda rows: [r for r in rows if (r["customer"], r["fy"]) == (customer, fy)]  # noqa: B023, E731
-        b, s = sorted(own(books), key=lambda r: (-cents(r), r["id"])), sorted(own(statements), key=lambda r: r["id"])
-        tol = lambda c: max(1000, abs(c) / 100)
+    for customer, fy in (k for k in keys if None not in k):
+        own = lambda rows: sorted((r for r in rows if (r["customer"], r["fy"]) == (customer, fy)), key=lambda r: r["id"])  # noqa: B023, E731
+        b, s = own(books), own(statements)
 
         def take(left, right, method):
             out.append((tuple(r["id"] for r in left), tuple(r["id"] for r in right), method))  # noqa: B023
@@ -32,16 +36,17 @@ def brute(books, statements):
                 s.remove(r)  # noqa: B023
 
         for same in (True, False):
-            for x in list(b):
+            for x in large(b):
                 fits = [y for y in s if (q(x) == q(y)) == same and abs(cents(x) - cents(y)) <= tol(cents(x))]
                 if fits:
-                    best = min(fits, key=lambda y: (y["section"] != x["section"], 0 if same else abs(q(y) - q(x)), abs(cents(y) - cents(x)), s.index(y)))
+                    differs = lambda y: not y["section"] or y["section"] != x["section"]  # noqa: B023, E731
+                    best = min(fits, key=lambda y: (differs(y), 0 if same else abs(q(y) - q(x)), abs(cents(y) - cents(x))))
                     take([x], [best], "EXACT_1_TO_1_" + ("SAME" if same else "OUTSIDE") + "_QUARTER")
 
         def subset(target, pool):
-            near = sorted(pool, key=lambda y: abs(cents(y) - cents(target)))[: matching.POOL]
+            near = sorted(pool, key=lambda y: abs(cents(y) - cents(target)))[: terms.pool]
             near = [y for y in pool if y in near]
-            for size in range(2, min(len(near), matching.GROUP) + 1):
+            for size in range(2, min(len(near), terms.group) + 1):
                 for c in itertools.combinations(near, size):
                     if abs(cents(target) - sum(map(cents, c))) <= tol(cents(target)):
                         return list(c)
@@ -49,18 +54,19 @@ def brute(books, statements):
         for scope in (1, 2, 3, 4, None):
             inside = lambda rows: [r for r in rows if scope is None or q(r) == scope]  # noqa: B023, E731
             name = "GROUP_" + ("OUTSIDE" if scope is None else "SAME") + "_QUARTER"
-            for x in inside(list(b)):
-                if found := subset(x, inside(s)):
-                    take([x], found, name)
-            for y in inside(list(s)):
-                if found := subset(y, inside(b)):
-                    take(found, [y], name)
+            if len(inside(b)) + len(inside(s)) <= terms.scope:
+                for x in large(inside(b)):
+                    if found := subset(x, inside(s)):
+                        take([x], found, name)
+                for y in large(inside(s)):
+                    if found := subset(y, inside(b)):
+                        take(found, [y], name)
             left, right = inside(b), inside(s)
             total = sum(map(cents, left))
             if left and right and len(left) + len(right) > 2 and abs(total - sum(map(cents, right))) <= tol(total):
                 take(left, right, name)
         for same in (True, False):
-            for x in list(b):
+            for x in large(b):
                 fits = [y for y in s if not same or q(x) == q(y)]
                 if fits:
                     take([x], [min(fits, key=lambda y: abs(cents(y) - cents(x)))], "AMOUNT_MISMATCH")
@@ -80,55 +86,157 @@ def pairs(found):
 def rows(rng, n, first):
     return [
         {"id": first + i, "customer": rng.choice([1, 2, 3, None]), "fy": rng.choice(["2024-25", "2025-26", "2025-26", None]), "quarter": rng.choice(["Q1", "Q2", "Q3", "Q4", None]),
-         "amount": rng.choice([None, *[rng.randrange(20, 500) for _ in range(8)]]), "section": rng.choice(["194C", "194J", "194I"])}
+         "amount": rng.choice([None, *[rng.randrange(20, 500) for _ in range(8)]]), "section": rng.choice(["194C", "194J", "194I", "", None])}
         for i in range(n)
     ]
 
 
 def frame(spark, data):
-    from decimal import Decimal
-
     return spark.createDataFrame([(r["id"], r["customer"], r["fy"], r["quarter"], None if r["amount"] is None else Decimal(r["amount"]), r["section"]) for r in data], SCHEMA)
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_consuming_matches_brute_force(spark, seed):
-    rng = random.Random(seed)
-    books, statements = rows(rng, 70, 0), rows(rng, 60, 1000)
-    got = matching.consume(frame(spark, books), frame(spark, statements)).collect()
-    assert Counter((r["book_id"], r["statement_id"], r["method"]) for r in got) == pairs(brute(books, statements))
+def held_to_brute(spark, books, statements, terms):
+    got = match(frame(spark, books), frame(spark, statements), terms).collect()
+    assert Counter((r["book_id"], r["statement_id"], r["method"]) for r in got) == pairs(brute(books, statements, terms))
+    cents = {r["id"]: round(float(r["amount"] or 0) * 100) for r in books + statements}
     for column in ("book_id", "statement_id"):  # no row is in two matches
         group = {}
         for r in got:
             if r[column] is not None:
                 group.setdefault(r[column], set()).add(r["group_id"] or (r["book_id"], r["statement_id"]))
         assert all(len(g) == 1 for g in group.values())
+    members = {}
+    for r in got:
+        members.setdefault(r["group_id"] or (r["book_id"], r["statement_id"]), []).append(r)
+    for rs in members.values():
+        left, right = ({r[c] for r in rs} - {None} for c in ("book_id", "statement_id"))
+        assert {r["difference"] for r in rs} == {(sum(cents[i] for i in left) - sum(cents[i] for i in right)) / 100}
+        assert (len(left) + len(right) > 2) == (rs[0]["group_id"] is not None)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_consuming_matches_brute_force(spark, seed):
+    rng = random.Random(seed)
+    held_to_brute(spark, rows(rng, 70, 0), rows(rng, 60, 1000), Terms())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_slabs_match_brute_force(spark, seed):
+    """The same rows where no more than eight of them go to a task whole."""
+    rng = random.Random(100 + seed)
+    held_to_brute(spark, rows(rng, 90, 0), rows(rng, 80, 1000), Terms(rows=8, scope=[500, 5, 12][seed]))
+
+
+def test_slabs_of_dense_amounts_match_brute_force(spark):
+    """One key, tolerances that overlap from end to end, many equal amounts, larger books that take rows of other slabs."""
+    rng = random.Random(7)
+    make = lambda n, first: [{"id": first + i, "customer": 1, "fy": "2024-25", "quarter": rng.choice(["Q1", "Q2"]), "amount": rng.choice([rng.randrange(900, 1400), 1000, 1010, rng.randrange(5000, 5100)]), "section": rng.choice(["a", "b"])} for i in range(n)]
+    held_to_brute(spark, make(260, 0), make(170, 1000), Terms(rows=25))
+
+
+def test_far_amounts_match_brute_force(spark):
+    """Nothing within the tolerance: the nearest rows, slab by slab, with runs of equal amounts."""
+    rng = random.Random(8)
+    make = lambda n, first, base: [{"id": first + i, "customer": 1, "fy": "2024-25", "quarter": rng.choice(["Q1", "Q2", None]), "amount": base + 400 * rng.randrange(12), "section": "a"} for i in range(n)]
+    held_to_brute(spark, make(40, 0, 100), make(35, 1000, 300), Terms(rows=6, scope=4, percent=0.1))
+
+
+def test_steps_are_as_wide_as_a_tolerance(spark):
+    rng = random.Random(3)
+    for terms in (Terms(), Terms(absolute=0, percent=2), Terms(absolute=5, percent=0), Terms(absolute=100, percent=10)):
+        values = []
+        for _ in range(3000):
+            a = round(rng.choice([1, -1]) * 10 ** rng.uniform(0, 9))
+            values.append((a, round(a + rng.uniform(-1, 1) * float(terms.tolerance(a)))))
+        df = spark.createDataFrame([v for v in values if abs(v[0] - v[1]) <= terms.tolerance(v[0])], "a long, b long")
+        assert df.select(F.max(F.abs(step_of(F.col("a"), terms) - step_of(F.col("b"), terms)))).first()[0] <= 1
+
+
+def test_text_ids_and_customers(spark):
+    rng = random.Random(11)
+    books, statements = rows(rng, 40, 100), rows(rng, 30, 500)
+    named = lambda data: frame(spark, data).withColumn("id", F.concat(F.lit("r"), "id")).withColumn("customer", F.concat(F.lit("c"), "customer"))
+    for terms in (Terms(), Terms(rows=5)):
+        got = match(named(books), named(statements), terms).collect()
+        unnamed = lambda x: None if x is None else int(x[1:])
+        assert Counter((unnamed(r["book_id"]), unnamed(r["statement_id"]), r["method"]) for r in got) == pairs(brute(books, statements, terms))
+
+
+def test_nothing_to_match(spark):
+    none = frame(spark, []).limit(0)
+    some = frame(spark, rows(random.Random(1), 20, 0))
+    for a, b in ((none, none), (some, none), (none, some)):
+        for terms in (Terms(), Terms(rows=2)):
+            assert match(a, b, terms).collect() == []
 
 
 def test_two_thousand_equal_rows_match_one_to_one(spark):
     side = lambda first: spark.range(first, first + 2000).selectExpr("id", "1L as customer", "'2024-25' as fy", "'Q1' as quarter", f"cast((id - {first}) * 100 + 5000 as decimal(18,2)) as amount", "'194C' as section")
     books, statements = side(0), side(10_000)
-    matching.consume(books.limit(5), statements.limit(5)).count()
+    match(books.limit(5), statements.limit(5)).count()
     start = time.time()
-    assert matching.consume(books, statements).filter("method = 'EXACT_1_TO_1_SAME_QUARTER'").count() == 2000
+    assert match(books, statements).filter("method = 'EXACT_1_TO_1_SAME_QUARTER'").count() == 2000
     assert time.time() - start < 20
 
 
-def test_full_reconciliation_gives_every_row_one_result(spark):
-    rng = random.Random(9)
-    books, statements = rows(rng, 80, 0), rows(rng, 70, 1000)
-    b = frame(spark, books).selectExpr("*", "date'2024-05-01' + cast(id % 3 as int) as day")
-    s = frame(spark, statements).selectExpr("*", "customer as tan", "date'2024-05-01' + cast(id % 3 as int) as day", "case id % 4 when 0 then 'U' else 'F' end as status")
-    out = full_reconciliation(b, s).collect()
-    seen = Counter(r["book_id"] for r in out if r["book_id"] is not None and r["result"] != "AMOUNT_MISMATCH")
-    assert {r["book_id"] for r in out} - {None} == {r["id"] for r in books}
-    assert {r["statement_id"] for r in out} - {None} == {r["id"] for r in statements}
-    missing = [r for r in out if r["result"].startswith("MISSING")]
-    assert {r["book_id"] for r in missing if r["book_id"] is not None}.isdisjoint(r["book_id"] for r in out if r["method"] != "UNMATCHED")
-    first = {}
-    for r in sorted(statements, key=lambda r: r["id"]):
-        first.setdefault((r["customer"], r["id"] % 3, r["section"], r["amount"], r["id"] % 4 == 0), r["id"])
-    repeated = {r["statement_id"] for r in out if r["result"] == "DUPLICATE_26AS"}
-    assert repeated == {r["id"] for r in statements} - set(first.values()) and seen
-    claimable = [r for r in out if r["result"] == "MATCHED_CLAIMABLE" and r["statement_id"] is not None]
-    assert all(r["statement_id"] % 4 for r in claimable)
+def results(books, statements):
+    """Every record's result by loops: (result, claimability, method, book, statement row, severity)."""
+    out = Counter()
+
+    def first_of(data, key):
+        seen, first, again = set(), [], []
+        for r in sorted(data, key=lambda r: r["id"]):
+            (again if key(r) in seen else first).append(r)
+            seen.add(key(r))
+        return first, again
+
+    b, again_b = first_of(books, lambda r: (r["customer"], r["document"] or str(r["id"]), r["day"], r["amount"]))
+    s, again_s = first_of(statements, lambda r: (r["tan"], r["day"], r["section"], r["amount"], r["deposited"], r["status"]))
+    by = {r["id"]: r for r in b + s}
+    mapped = [r for r in s if r["customer"] is not None]
+    used = set()
+    for left, right, method in brute(b, mapped):
+        rows = [by[i] for i in right]
+        used.update(left + right)
+        total = sum(r["amount"] or 0 for r in rows)
+        gap = sum(by[i]["amount"] or 0 for i in left) - total
+        bad = any(r["status"] != "F" or r["deposited"] is None for r in rows) or sum(r["deposited"] or 0 for r in rows) + 10 < total
+        if method == "AMOUNT_MISMATCH":
+            high = gap + total and abs(round(gap / (gap + total) * 100, 2)) > 10
+            what = ("AMOUNT_MISMATCH", "NOT_APPLICABLE", "UNMATCHED", "HIGH" if high else "MEDIUM")
+        elif bad:
+            what = ("MATCHED_NOT_CLAIMABLE", "NOT_CLAIMABLE", method, "MEDIUM")
+        else:
+            what = ("MATCHED_CLAIMABLE", "CLAIMABLE", method, "NONE")
+        for i, j, _ in pairs([(left, right, method)]).elements():
+            out[*what, i, j] += 1
+    for data, name, severity in ((b, "MISSING_IN_26AS", "HIGH"), (mapped, "MISSING_IN_BOOKS", "MEDIUM")):
+        out.update((name, "NOT_APPLICABLE", "UNMATCHED", severity, r["id"] if data is b else None, None if data is b else r["id"]) for r in data if r["id"] not in used)
+    out.update(("IDENTITY_UNMAPPED", "NOT_APPLICABLE", "UNMATCHED", "HIGH", None, r["id"]) for r in s if r["customer"] is None)
+    out.update(("DUPLICATE_BOOK", "NOT_APPLICABLE", "UNMATCHED", "LOW", r["id"], None) for r in again_b)
+    out.update(("DUPLICATE_26AS", "NOT_APPLICABLE", "UNMATCHED", "LOW", None, r["id"]) for r in again_s)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_full_reconciliation_matches_brute_force(spark, seed):
+    rng = random.Random(seed)
+    day = lambda: f"2024-05-{rng.randrange(1, 4):02}"
+    books = [r | {"document": rng.choice(["d1", "d2", "", None]), "day": day()} for r in rows(rng, 120, 0)]
+    statements = [r | {"tan": rng.choice("xy"), "day": day(), "status": rng.choice(["F", "F", "F", "U", "P", "O"]), "deposited": rng.choice([r["amount"]] * 4 + [None, (r["amount"] or 0) - 9, (r["amount"] or 0) - 30])} for r in rows(rng, 110, 1000)]
+    b = spark.createDataFrame([(r["id"], r["document"], r["day"]) for r in books], "id long, document string, day string").join(frame(spark, books), "id")
+    s = spark.createDataFrame([(r["id"], r["tan"], r["day"], r["status"], None if r["deposited"] is None else Decimal(r["deposited"])) for r in statements], "id long, tan string, day string, status string, deposited decimal(18,2)").join(frame(spark, statements), "id")
+    got = full_reconciliation(b, s).collect()
+    assert Counter((r["result"], r["claimability"], r["method"], r["severity"], r["book_id"], r["statement_id"]) for r in got) == results(books, statements)
+    left_out = full_reconciliation(b.withColumn("matchable", F.col("id") % 2 == 0), s).collect()
+    assert {r["book_id"] for r in left_out} - {None} == {r["id"] for r in books if r["id"] % 2 == 0}
+
+
+def test_results_are_numbered(spark):
+    rng = random.Random(5)
+    b = frame(spark, rows(rng, 60, 0)).withColumn("day", F.lit("2024-05-01"))
+    s = frame(spark, rows(rng, 60, 1000)).withColumns({"day": F.lit("2024-05-01"), "tan": F.lit("t"), "status": F.lit("F")})
+    got = sequenced(full_reconciliation(b, s).repartition(7), "run1").collect()
+    assert sorted(r["seq"] for r in got) == list(range(1, len(got) + 1)) and all(r["result_id"] == f"run1:{r['seq']}" for r in got)
+    order = [CLASSES.index(r["result"]) for r in sorted(got, key=lambda r: r["seq"])]
+    assert order == sorted(order)
