@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.amounts import MONEY, within_tolerance
 
@@ -54,11 +55,32 @@ def range_join(left: DataFrame, right: DataFrame, key: list[str], value: str, wi
 
 
 def nearest(books: DataFrame, statements: DataFrame) -> DataFrame:
-    """The statement row of the same customer and year nearest to each book's amount; ties to the smaller id."""
-    s = statements.select("customer", "fy", F.col("id").alias("statement_id"), F.col("amount").alias("_other"))
-    joined = books.select("customer", "fy", "id", "amount").join(s, ["customer", "fy"])
-    gap = F.abs(F.col("amount") - F.col("_other"))
-    return joined.groupBy(F.col("id").alias("book_id")).agg(F.min_by("statement_id", F.struct(gap, "statement_id")).alias("statement_id"), F.min(gap).cast(MONEY).alias("difference"))
+    """The statement row of the same customer and year nearest to each book's amount; ties to the smaller id.
+
+    Both sides lie in one table sorted by amount over ranges, so a customer and year with many rows is spread over tasks;
+    a book's nearest rows are the last one before and the first one after it, which may lie in another part.  No pair is
+    ever made.  Rows without an amount take no part.
+    """
+    none = F.lit(None)
+    s = statements.filter("amount is not null").groupBy(*KEY, "amount").agg(F.min("id").alias("statement_id"))
+    s = s.select(*KEY, "amount", F.lit(0).alias("side"), none.cast(books.schema["id"].dataType).alias("book_id"), "statement_id")
+    b = books.filter("amount is not null").select(*KEY, "amount", F.lit(1).alias("side"), F.col("id").alias("book_id"), none.cast(statements.schema["id"].dataType).alias("statement_id"))
+    rows = s.unionByName(b).filter("customer is not null and fy is not null")
+    placed = rows.repartitionByRange(*KEY, "amount", "side").withColumn("_part", F.spark_partition_id())
+    own = F.when(F.col("side") == 0, F.struct(F.col("amount").alias("other"), "statement_id"))
+    w = Window.partitionBy(*KEY, "_part").orderBy("amount", "side")
+    near = placed.withColumn("_below", F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    near = near.withColumn("_above", F.first(own, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    # a row for each part that a customer and year lies in
+    parts = placed.groupBy(*KEY, "_part").agg(F.min(own).alias("_least"), F.max(own).alias("_most"))
+    w = Window.partitionBy(*KEY).orderBy("_part")
+    parts = parts.withColumn("_before", F.last("_most", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    parts = parts.withColumn("_after", F.first("_least", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    found = near.filter("side = 1").join(parts.select(*KEY, "_part", "_before", "_after"), [*KEY, "_part"])
+    gap = lambda c: F.when(c.isNotNull(), F.struct(F.abs(F.col("amount") - c["other"]).alias("gap"), c["statement_id"].alias("statement_id")))
+    best = F.least(gap(F.coalesce("_below", "_before")), gap(F.coalesce("_above", "_after")))
+    found = found.withColumn("_best", best).filter("_best is not null")
+    return found.select("book_id", F.col("_best.statement_id").alias("statement_id"), F.col("_best.gap").cast(MONEY).alias("difference"))
 
 
 def scope_totals(books: DataFrame, statements: DataFrame, scope: list[str]) -> DataFrame:
@@ -236,21 +258,27 @@ def matched_type(rows: DataFrame) -> str:
 def match_small(rows: DataFrame, terms: Terms) -> DataFrame:
     """The matches of customers and years that one task takes whole: groups are cut where the key changes, none has a call of its own."""
 
-    def matches(table: pa.Table) -> pa.RecordBatch | None:
-        scope, own, other = scope_of(table, terms)
-        if not len(own) or not len(other):
-            return None
-        scope.all_steps()
-        found = [(i, j, m, n, len(b) + len(s) > 2, (scope.bc[b].sum() - scope.sc[s].sum()) / 100) for n, (m, b, s) in enumerate(scope.found) for i, j in pairs_of(b, s)]
+    def matches(table: pa.Table, cuts: list[int]) -> pa.RecordBatch | None:
+        """The matches of the keys between these cuts; columns become arrays once for all of them."""
+        side, *values = numbers(table)
+        found = []
+        for lo, hi in pairwise(cuts):
+            own, other = lo + np.flatnonzero(side[lo:hi] == 0), lo + np.flatnonzero(side[lo:hi] == 1)
+            if not len(own) or not len(other):
+                continue
+            scope = Scope(tuple(v[own] for v in values), tuple(v[other] for v in values), terms)
+            scope.all_steps()
+            for n, (method, b, s) in enumerate(scope.found):
+                gap = float(scope.bc[b].sum() - scope.sc[s].sum()) / 100
+                group = n if len(b) + len(s) > 2 else -1
+                found += [(own[i] if i >= 0 else -1, other[j] if j >= 0 else -1, lo, method, group, gap) for i, j in pairs_of(b, s)]
         if not found:
             return None
-        i, j, method, n, grouped, gap = zip(*found)
-        i, j = np.array(i), np.array(j)
-        customer, fy = table.column("customer")[0].as_py(), table.column("fy")[0].as_py()
-        key = [pc.take(table.column(c), pa.array(np.zeros(len(i), int))).combine_chunks() for c in KEY]
-        ids = [_placed(table.column(c), np.where(at < 0, -1, places[np.maximum(at, 0)])) for c, at, places in (("b_id", i, own), ("s_id", j, other))]
-        group = pa.array([f"{customer}-{fy}-{k}" if g else None for k, g in zip(n, grouped)], pa.string())
-        return pa.RecordBatch.from_arrays([*ids, *key, pa.array(method), group, pa.array(gap, pa.float64())], names=["book_id", "statement_id", *KEY, "method", "group_id", "difference"])
+        i, j, at, method, group, gap = (list(x) for x in zip(*found))
+        key = [pc.take(table.column(c), pa.array(at)).combine_chunks() for c in KEY]
+        names = [f"{k[0]}-{k[1]}-{n}" if n >= 0 else None for k, n in zip(zip(*(c.to_pylist() for c in key)), group)]
+        ids = [_placed(table.column(c), np.array(x)) for c, x in (("b_id", i), ("s_id", j))]
+        return pa.RecordBatch.from_arrays([*ids, *key, pa.array(method), pa.array(names, pa.string()), pa.array(gap, pa.float64())], names=["book_id", "statement_id", *KEY, "method", "group_id", "difference"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[pa.RecordBatch] = []
@@ -261,11 +289,14 @@ def match_small(rows: DataFrame, terms: Terms) -> DataFrame:
             new = np.zeros(table.num_rows - 1, bool)
             for c in KEY:
                 new |= pc.not_equal(table.column(c).slice(1), table.column(c).slice(0, table.num_rows - 1)).to_numpy()
-            cuts = [0, *(np.flatnonzero(new) + 1)]
-            yield from filter(None, (matches(table.slice(lo, hi - lo)) for lo, hi in pairwise(cuts)))
+            cuts = [0, *(np.flatnonzero(new) + 1)]  # the last key may go on in the next batch
+            if (some := matches(table, cuts)) is not None:
+                yield some
             pending = table.slice(cuts[-1]).to_batches()
-        if pending and (last := matches(pa.Table.from_batches(pending))):
-            yield last
+        if pending:
+            table = pa.Table.from_batches(pending)
+            if (some := matches(table, [0, table.num_rows])) is not None:
+                yield some
 
     ordered = rows.repartition(*KEY).sortWithinPartitions(*KEY, "side", "b_id", "s_id")
     return ordered.mapInArrow(task, matched_type(rows))

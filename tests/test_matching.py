@@ -9,7 +9,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.matching import Terms
+from ledgerloom.operators.matching import Terms, nearest
 from ledgerloom.plans.greedy import match, step_of
 from ledgerloom.plans.reconcile import CLASSES, full_reconciliation, sequenced
 
@@ -240,3 +240,17 @@ def test_results_are_numbered(spark):
     assert sorted(r["seq"] for r in got) == list(range(1, len(got) + 1)) and all(r["result_id"] == f"run1:{r['seq']}" for r in got)
     order = [CLASSES.index(r["result"]) for r in sorted(got, key=lambda r: r["seq"])]
     assert order == sorted(order)
+
+
+def test_nearest_amounts(spark):
+    rng = random.Random(4)
+    b, s = rows(rng, 150, 0), rows(rng, 90, 1000)
+    b += [r | {"id": 5000 + r["id"], "customer": 1, "fy": "2024-25"} for r in b]  # half of all rows on one key
+    got = {r["book_id"]: (r["statement_id"], r["difference"]) for r in nearest(frame(spark, b), frame(spark, s)).collect()}
+    want = {}
+    for x in b:
+        fits = [y for y in s if (x["customer"], x["fy"]) == (y["customer"], y["fy"]) and None not in (x["customer"], x["fy"], x["amount"], y["amount"])]
+        if fits:
+            best = min(fits, key=lambda y: (abs(x["amount"] - y["amount"]), y["id"]))
+            want[x["id"]] = (best["id"], Decimal(abs(x["amount"] - best["amount"])))
+    assert got == want
