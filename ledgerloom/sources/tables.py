@@ -1,7 +1,8 @@
 """Exports as canonical tables.
 
-Delimited files are read as lines with their numbers; a header is looked for among the first lines only, so nothing but
-these reaches the driver, and the rows themselves are split, named and typed by column expressions.
+Delimited files are read as lines with their numbers, in as many splits as Spark makes; a header is looked for among the
+first lines only, so nothing but these reaches the driver, and the records are put together, split, named and typed by
+column expressions.
 """
 
 from __future__ import annotations
@@ -25,17 +26,110 @@ PREVIEW = 500
 DELIMITERS = (",", ";", "\t", "|")
 
 
-def lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """(row_no from 1, value) of a text file.
+def _raw(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """(file, block, at, value): lines as bytes; blocks are a file's splits by their offsets, at orders a block's lines."""
+    reader = spark.read.option("encoding", encoding).option("lineSep", "\n") if encoding else spark.read
+    text = reader.text(path)
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
 
-    A file that is read as one split keeps its order; the numbers are those of the file's own lines.
+
+# Characters of the bytes 0x80 to 0x9F that Windows' code page 1252 defines, and the bytes that it does not.
+CP1252 = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+CP1252_BYTES = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93\x94\x95\x96\x97\x98\x99\x9a\x9b\x9c\x9e\x9f"
+CP1252_LACKS = "[\x81\x8d\x8f\x90\x9d]"
+
+
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-16LE or UTF-16BE by the mark at the start or by the zero bytes of the first line, else UTF-8 if all lines are,
+    else cp1252 if no byte is undefined there, else ISO-8859-1."""
+    raw = _raw(spark, path)
+    bytes_ = F.col("value").cast("binary")
+    latin = F.decode(bytes_, "ISO-8859-1")
+    start = F.min_by(F.hex(F.substring(bytes_, 1, 64)), F.struct("file", "block", "at"))
+    r = raw.agg(start.alias("start"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(latin.rlike(CP1252_LACKS)).alias("lacks")).first()
+    pairs = [(r["start"] or "")[k : k + 2] for k in range(0, len(r["start"] or ""), 2)]
+    if pairs[:2] == ["FF", "FE"] or (len(pairs) > 3 and pairs[1::2].count("00") > len(pairs) // 3):
+        return "UTF-16LE"
+    if pairs[:2] == ["FE", "FF"] or (len(pairs) > 3 and pairs[::2].count("00") > len(pairs) // 3):
+        return "UTF-16BE"
+    return "UTF-8" if r["utf8"] is not False else "ISO-8859-1" if r["lacks"] else "cp1252"
+
+
+def _decoded(value: Column, encoding: str) -> Column:
+    """Lines as text.  Bytes that the encoding does not allow are an error, never a replacement character."""
+    if encoding == "UTF-8":
+        text = F.when(F.is_valid_utf8(value), value).otherwise(F.raise_error(F.lit("a line is not valid UTF-8")))
+    elif encoding == "cp1252":
+        text = F.translate(F.decode(value.cast("binary"), "ISO-8859-1"), CP1252_BYTES, CP1252)
+    else:
+        text = F.decode(value.cast("binary"), encoding)
+    return F.regexp_replace(F.replace(text, F.lit("\ufeff"), F.lit("")), r"\r$", "")
+
+
+def lines(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """(file, row_no from 1 in its file, value) of text files, whatever the number of splits; the encoding is looked for unless given."""
+    encoding = encoding or detect_encoding(spark, path)
+    text = _raw(spark, path, encoding if encoding.startswith("UTF-16") else None)
+    # a row for each split
+    blocks = text.groupBy("file", "block").agg(F.count("*").alias("_size"), F.min("at").alias("_first"))
+    before = F.sum("_size").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return text.join(blocks, ["file", "block"]).select("file", "block", (F.col("at") + F.col("_shift")).alias("row_no"), _decoded(F.col("value"), encoding).alias("value"))
+
+
+#: Lines that one record may have; more mean that a quote never ends.
+MOST_LINES = 1000
+
+
+def _cell(d: str) -> str:
+    """A cell before a delimiter: quoted, with doubled quotes inside, or without a quote at its start."""
+    return f'(?:"(?:[^"]++|"")*+"[^{d}]*+|[^"{d}][^{d}]*+|)'
+
+
+def records(text: DataFrame, delimiter: str) -> DataFrame:
+    """(file, row_no, value): lines put together where a quoted cell holds line breaks; row_no is that of the first line.
+
+    Whether a line starts inside quotes depends on all lines before it.  A line maps the state before it to the one after
+    it: it keeps it, turns it, or sets it.  So the state is that of the last line that sets it, turned as often as lines
+    since then turn it: sums over a split's lines, and the same once more over the splits.
     """
-    text = spark.read.option("encoding", encoding).option("wholetext", False).text(path).withColumn("_id", F.monotonically_increasing_id())
-    parts = text.groupBy(F.shiftright("_id", 33).alias("_part")).agg(F.count("*").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each split
-    offsets = parts.withColumn("_before", before).select("_part", "_before")
-    numbered = text.withColumn("_part", F.shiftright("_id", 33)).join(F.broadcast(offsets), "_part")
-    return numbered.select((F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).alias("row_no"), "value")
+    d = "\\" + delimiter if delimiter == "|" else delimiter
+    value, cells = F.col("value"), f"{_cell(d)}(?:{d}{_cell(d)})*+"
+    from_out = ~value.rlike(rf"(?s)\A{cells}\z")
+    from_in = ~value.rlike(rf'(?s)\A(?:[^"]++|"")*+"[^{d}]*+(?:{d}{cells})?\z')
+    rows = text.withColumns({"_set": F.when(from_out == from_in, from_out.cast("int")), "_turn": (from_out & ~from_in).cast("int")})
+
+    def state(rows: DataFrame, by: list[str], order: str, start: Column) -> DataFrame:
+        """Adds _in, the state before a row."""
+        w = Window.partitionBy(*by).orderBy(order)
+        earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+        turns = rows.withColumn("_turns", F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        turns = turns.withColumns({"_last": F.last(F.when(F.col("_set").isNotNull(), F.struct("_set", "_turns")), ignorenulls=True).over(earlier), "_so_far": F.coalesce(F.sum("_turn").over(earlier), F.lit(0))})
+        known = (F.col("_last._set") + F.col("_so_far") - F.col("_last._turns")) % 2
+        return turns.withColumn("_in", F.when(F.col("_last").isNotNull(), known).otherwise((start + F.col("_so_far")) % 2))
+
+    own = state(rows, ["file", "block"], "row_no", F.lit(0))
+    # a split sets the state if any of its lines does
+    last = F.max_by(F.struct("_set", "_turns"), F.when(F.col("_set").isNotNull(), F.col("row_no")))
+    splits = own.groupBy("file", "block").agg(last.alias("_l"), F.sum("_turn").alias("_all"))
+    splits = splits.select("file", "block", ((F.col("_l._set") + F.col("_all") - F.col("_l._turns")) % 2).alias("_set"), F.when(F.col("_l").isNull(), F.col("_all") % 2).otherwise(0).alias("_turn"))
+    splits = state(splits, ["file"], "block", F.lit(0)).select("file", "block", F.col("_in").alias("_start"))
+    known = own.join(splits, ["file", "block"]).withColumn("_in", F.when(F.col("_last").isNotNull(), F.col("_in")).otherwise((F.col("_in") + F.col("_start")) % 2))
+    known = known.withColumn("_after", F.when(F.col("_set").isNotNull(), F.col("_set")).otherwise((F.col("_in") + F.col("_turn")) % 2))
+    plain = known.filter("_in = 0 and _after = 0").select("file", "row_no", "value")
+    # the lines of longer records: a start is inside afterwards only, and every line belongs to the last start before it
+    parts = known.filter("_in = 1 or _after = 1").withColumn("_starts", F.when(F.col("_in") == 0, F.col("row_no")))
+    here = Window.partitionBy("file", "block").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("_of", F.last("_starts", ignorenulls=True).over(here))
+    starts = parts.groupBy("file", "block").agg(F.max("_starts").alias("_s"))
+    starts = starts.select("file", "block", F.last("_s", ignorenulls=True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    parts = parts.join(starts, ["file", "block"]).withColumn("_of", F.coalesce("_of", "_before"))
+    ends = parts.groupBy("file", "_of").agg(F.count("*").alias("_n"), F.max_by("_after", "row_no").alias("_open"))
+    bad = F.raise_error(F.concat(F.lit("a quote in line "), F.col("_of").cast("string"), F.lit(" never ends")))
+    checked = ends.select("file", "_of", F.when((F.col("_n") > MOST_LINES) | (F.col("_open") == 1), bad).otherwise(F.lit(True)).alias("_ok"))
+    parts = parts.join(checked, ["file", "_of"]).filter("_ok")
+    whole = parts.groupBy("file", F.col("_of").alias("row_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    return plain.unionByName(whole.select("file", "row_no", "value"))
 
 
 def sniff_delimiter(head: list[str]) -> str:
@@ -50,17 +144,22 @@ def sniff_delimiter(head: list[str]) -> str:
 
 
 def split_cells(value: Column, delimiter: str) -> Column:
-    """Cells of a line, quotes taken off, each trimmed."""
+    """Cells of a record, quotes taken off, control characters as blanks, each trimmed.
+
+    A quote counts only at a cell's start; elsewhere it is a character like any other.
+    """
     d = "\\" + delimiter if delimiter == "|" else delimiter
-    cells = F.split(value, d + r'(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    return F.transform(cells, lambda c: F.trim(F.replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), F.lit('""'), F.lit('"'))))
+    cells = F.regexp_extract_all(F.concat(value, F.lit(delimiter)), F.lit(rf'(?s)("(?:[^"]++|"")*+"[^{d}]*+|[^{d}]*+){d}'), F.lit(1))
+    quoted = lambda c: F.replace(F.regexp_replace(c, r'(?s)\A"((?:[^"]++|"")*+)"', "$1"), F.lit('""'), F.lit('"'))
+    bare = lambda c: F.when(c.startswith('"'), quoted(c)).otherwise(c)
+    return F.transform(cells, lambda c: F.regexp_replace(F.regexp_replace(bare(c), r"[\x00-\x08\x0b-\x1f\x7f]+", " "), r"\A\s+|\s+\z", ""))
 
 
 def find_header(grid: DataFrame, kind: str) -> tuple[int, list[str]] | None:
-    """(row number, keys) of the row with the best score among the first PREVIEW rows; the first of equals."""
-    scored = grid.filter(F.col("row_no") <= PREVIEW).select("row_no", F.transform("cells", header_key).alias("keys"))
+    """(row number, keys) of the row with the best score among the first PREVIEW rows; the first of equals, in the first file."""
+    scored = grid.filter(F.col("row_no") <= PREVIEW).select("file", "row_no", F.transform("cells", header_key).alias("keys"))
     scored = scored.withColumn("score", header_score(F.col("keys"), schema.aliases(kind))).filter("score > 0")
-    best = scored.orderBy(F.desc("score"), "row_no").limit(1).collect()
+    best = scored.orderBy(F.desc("score"), "row_no", "file").limit(1).collect()
     return (best[0]["row_no"], best[0]["keys"]) if best else None
 
 
@@ -80,25 +179,37 @@ def typed(cell: Column, kind: str) -> Column:
     return {"string": given, "date": parse_date(given), "money": parse_amount(given), "list": split_list(given)}[kind]
 
 
-def canonical(grid: DataFrame, kind: str) -> DataFrame:
-    """The rows below the header with the kind's columns; totals, repeated headers and empty rows are left out."""
+def canonical(grid: DataFrame, kind: str, raw: bool = False) -> DataFrame:
+    """The rows below the header with the kind's columns; totals, repeated headers and empty rows are left out.
+
+    grid: (row_no, cells), and file where there are several of one layout: each file's rows begin below its own header.
+    """
+    grid = grid if "file" in grid.columns else grid.withColumn("file", F.lit(""))
     found = find_header(grid, kind)
     if not found:
         raise ValueError(f"no row looks like a header of {kind}")
     at, keys = found
     places = header_mapping(keys, kind)
-    rows = grid.filter(F.col("row_no") > at).filter(F.exists("cells", lambda c: c != ""))
     cell_keys = F.transform("cells", header_key)
+    headers = grid.filter((F.col("row_no") <= PREVIEW) & (cell_keys == F.array(*map(F.lit, keys)))).groupBy("file").agg(F.min("row_no").alias("_head"))
+    rows = grid.join(headers, "file").filter(F.col("row_no") > F.col("_head")).filter(F.exists("cells", lambda c: c != ""))
     first = F.get(F.filter(cell_keys, lambda k: k != ""), F.lit(0))
     rows = rows.filter(~F.coalesce(is_footer(first, cell_keys, F.array(*(F.lit(k) for k in keys if k))), F.lit(False)))
     cell = lambda c: F.get("cells", F.lit(places[c])) if c in places else F.lit(None).cast("string")
-    return rows.select("row_no", *(typed(cell(c), t).cast(schema.TYPES[t]).alias(c) for c, _, t, _ in schema.KINDS[kind]))
+    as_kind = lambda c, t: cell(c) if raw else typed(cell(c), t).cast(schema.TYPES[t])
+    return rows.select("row_no", "file", *(as_kind(c, t).alias(c) for c, _, t, _ in schema.KINDS[kind]))
 
 
-def read_delimited(spark: SparkSession, path: str, kind: str, encoding: str = "UTF-8") -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, kind: str, encoding: str | None = None, raw: bool = False) -> DataFrame:
+    """The canonical rows of a delimited file, or of a folder of files of one layout; as text where ``raw``, for the normalisers.
+
+    The encoding is looked for unless given; cells may hold line breaks; a quote that never ends is an error.
+    """
     text = lines(spark, path, encoding)
-    delimiter = sniff_delimiter([r["value"] for r in text.filter("row_no <= 50").orderBy("row_no").collect()])
-    return canonical(text.filter(F.trim("value") != "").select("row_no", split_cells(F.col("value"), delimiter).alias("cells")), kind)
+    head = text.filter("row_no <= 50").orderBy("file", "row_no").limit(50)
+    delimiter = sniff_delimiter([r["value"] for r in head.collect()])
+    whole = records(text, delimiter).filter(F.trim("value") != "")
+    return canonical(whole.select("file", "row_no", split_cells(F.col("value"), delimiter).alias("cells")), kind, raw)
 
 
 def detect_kind(keys: list[str]) -> str | None:

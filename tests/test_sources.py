@@ -1,8 +1,12 @@
 """Files as users have them: quotes, byte-order marks, packages good and bad, versions and streams."""
 
+import csv
+import random
 import zipfile
 from decimal import Decimal
 
+import pytest
+
 from ledgerloom.sources import schema, sinks, tables
 from ledgerloom.streaming import ingest
 
@@ -21,6 +25,71 @@ def test_a_delimited_file_is_read_below_its_header(spark, tmp_path):
     assert str(rows[0]["document_date"]) == "2024-04-05"
 
 
+TEXT = "Ledger export;;\n" + header("books", "customer_name", "document_date", "narration").replace(",", ";") + '''
+"Rao
+""Sons""; & Co";05-04-2024;"one
+two ""x""
+
+three"
+Pipe 5" wide;06-04-2024;"quoted" tail
+"";07-04-2024;
+"a;b";08-04-2024;Münz €
+'''
+WANTED = [(3, 'Rao\n"Sons"; & Co', "one\ntwo \"x\"\n\nthree"), (8, 'Pipe 5" wide', "quoted tail"), (9, None, None), (10, "a;b", "Münz €")]
+
+
+@pytest.mark.parametrize("split", ["16b", "37b", "128m"])
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "utf-16", "utf-16-le", "utf-16-be", "cp1252"])
+def test_quotes_encodings_and_splits(spark, tmp_path, encoding, split):
+    (tmp_path / "b.csv").write_bytes(TEXT.replace("\n", "\r\n" if split == "37b" else "\n").encode(encoding))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = tables.read_delimited(spark, str(tmp_path / "b.csv"), "books").orderBy("row_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [(r["row_no"], r["customer_name"], r["narration"]) for r in rows] == WANTED
+
+
+def test_bytes_that_no_other_encoding_has_are_latin(spark, tmp_path):
+    (tmp_path / "b.csv").write_bytes((header("books", "customer_name", "document_date") + "\nM\xfcnz \x81,05-04-2024\n").encode("latin-1"))
+    assert tables.detect_encoding(spark, str(tmp_path / "b.csv")) == "ISO-8859-1"
+    assert [r["customer_name"] for r in tables.read_delimited(spark, str(tmp_path / "b.csv"), "books").collect()] == ["Münz \x81"]
+    with pytest.raises(Exception, match="not valid UTF-8"):
+        tables.read_delimited(spark, str(tmp_path / "b.csv"), "books", "UTF-8").collect()
+
+
+def test_a_quote_that_never_ends_is_refused(spark, tmp_path):
+    (tmp_path / "b.csv").write_text(header("books", "customer_name", "document_date") + '\n"Rao,05-04-2024\nIyer,06-04-2024\n')
+    with pytest.raises(Exception, match="a quote in line 2 never ends"):
+        tables.read_delimited(spark, str(tmp_path / "b.csv"), "books").collect()
+
+
+def test_random_quotes_against_a_plain_reader(spark, tmp_path):
+    rng = random.Random(3)
+    cell = lambda: "".join(rng.choice(['"', ",", "\n", "a", "b ", '""', "é"]) for _ in range(rng.randrange(6)))
+    rows = [["n" + cell(), "01-04-2024", cell()] for _ in range(150)]
+    with open(tmp_path / "b.csv", "w", newline="") as f:
+        f.write(header("books", "customer_name", "document_date", "narration") + "\n")
+        csv.writer(f, lineterminator="\n").writerows(rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = tables.read_delimited(spark, str(tmp_path / "b.csv"), "books", raw=True).orderBy("row_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [(r["customer_name"], r["narration"]) for r in got] == [(a.strip(), c.strip()) for a, _, c in rows]
+
+
+def test_files_of_one_layout(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"p{k}.csv").write_text(f"report {k}\n" * k + header("books", "customer_name", "document_date") + f"\nname{k},05-04-2024\nTotal,\n")
+    rows = tables.read_delimited(spark, str(tmp_path), "books").orderBy("customer_name").collect()
+    assert [(r["customer_name"], r["row_no"]) for r in rows] == [("name0", 2), ("name1", 3), ("name2", 4)]
+
+
 def test_packages(spark, tmp_path):
     def package(name, **members):
         with zipfile.ZipFile(tmp_path / name, "w") as z:
