@@ -26,8 +26,9 @@ STRIDE = 1 << 16
 
 
 def positions(rows: DataFrame, row_no: str = "row_no", out: str = "position") -> DataFrame:
-    """rows with their place from 1 in the order of ``row_no``, counted by ranges of row numbers, so no task orders all."""
-    part = F.floor(F.col(row_no) / STRIDE)
+    """rows with their place from 1 in the order of ``row_no``, counted by ranges of row numbers, so no task orders all;
+    rows without a number come last."""
+    part = F.coalesce(F.floor(F.col(row_no) / STRIDE), F.lit(1 << 62))
     counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
     starts = counts.select("_part", before.alias("_before"))

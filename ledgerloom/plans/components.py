@@ -1,31 +1,14 @@
-"""What is computed once: results in the session's checkpoint folder, or one of our own where none is named."""
+"""Connected components of any graph."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 from pyspark.sql import DataFrame
 
 from ..operators.relationship import connected
+from ..sources.shared import kept, shared_path, with_folder
 
-
-def _with_folder(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and context.master.startswith("local") and not context.master.startswith("local-cluster"):
-            named = tempfile.mkdtemp(prefix="ledgerloom-")
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
-        context.setCheckpointDir(named or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    return df
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """df, computed once and read from the shared folder by whatever uses it."""
-    return _with_folder(df).checkpoint()
+__all__ = ["kept", "labelled", "shared_path"]
 
 
 def labelled(edges: DataFrame) -> DataFrame:
-    return connected(_with_folder(edges))
+    return connected(with_folder(edges))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.amounts import MONEY, percent_of
 from ..functions.dates import deposit_deadline, governing_law
-from ..operators import compliance, duplicates, matching, rules
+from ..operators import compliance, duplicates, identity, matching, normalise, rules
 from ..operators.matching import Terms
 from . import greedy
 from .components import kept
@@ -76,6 +76,38 @@ def full_reconciliation(books: DataFrame, statements: DataFrame, terms: Terms =
     return out.withColumn("category", category)
 
 
+def reconcile_exports(
+    book_rows: DataFrame, statement_rows: DataFrame, master_rows: DataFrame, mappings: DataFrame | None = None, aliases: DataFrame | None = None, decisions: DataFrame | None = None,
+    terms: Terms = Terms(), limit: int | None = 250,
+) -> DataFrame:
+    """The whole way from raw exports to results: rows as ``tables.read_delimited(..., raw=True)`` gives them.
+
+    Both sides are normalised, ledger rows that move no receivable are set aside, deductors are resolved to customers, and
+    only those known for sure, or alone at the top by likeness, are matched; all others are IDENTITY_UNMAPPED.
+    """
+    b = normalise.books(book_rows)
+    if book_rows.filter("source_ledger is not null").limit(1).count():
+        b = normalise.accounting_semantics(b)
+    else:
+        b = b.withColumn("matching_eligible", F.lit(True))
+    s, m = kept(normalise.statement(statement_rows)), normalise.customers(master_rows).withColumn("position", F.col("row_no"))
+    masters = identity.merge_masters(m.filter("customer_code is not null").select(F.col("customer_code").alias("code"), F.col("customer_name").alias("name"), "pan", "gstin", "tans", "aliases", "position"))
+    masters = kept(masters.join(m.groupBy(F.col("customer_code").alias("code")).agg(F.min("position").alias("position")), "code"))
+    names = s.groupBy("tan", "deductor_name").agg(F.count("*").alias("n")).groupBy("tan").agg(F.min_by("deductor_name", F.struct(-F.col("n"), "deductor_name")).alias("name"))
+    who = kept(identity.resolve(kept(names), masters, mappings, aliases, decisions, limit).filter("status in ('EXACT', 'HIGH_CONFIDENCE')").select("tan", F.col("code").alias("customer")))
+    one = lambda c: F.coalesce("customer_code", "customer_name_norm").alias(c)
+    dated = F.col("document_date").isNotNull() | F.col("financial_year").isNotNull()
+    b = b.select(
+        F.col("transaction_id").alias("id"), one("customer"), F.col("financial_year").alias("fy"), "quarter", F.col("document_date").alias("day"), F.col("tds_expected").alias("amount"), "section",
+        F.col("document_number").alias("document"), (F.coalesce("matching_eligible", F.lit(False)) & dated & F.col("tds_expected").isNotNull()).alias("matchable"),
+    )
+    s = s.join(who, "tan", "left").select(
+        F.col("statement_id").alias("id"), "tan", "customer", F.col("financial_year").alias("fy"), "quarter", F.col("transaction_date").alias("day"), F.col("tax_deducted").alias("amount"), "section",
+        F.col("tds_deposited").alias("deposited"), "status", F.col("tax_deducted").isNotNull().alias("matchable"),
+    )
+    return full_reconciliation(b, s, terms)
+
+
 #: The order in which results are numbered.
 CLASSES = ("MATCHED_CLAIMABLE", "MATCHED_NOT_CLAIMABLE", "AMOUNT_MISMATCH", "MISSING_IN_26AS", "MISSING_IN_BOOKS", "IDENTITY_UNMAPPED", "DUPLICATE_BOOK", "DUPLICATE_26AS")
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from .functions import amounts, dates, text
 from .functions.amounts import MONEY
 from .operators import compliance, duplicates, identity, matching, relationship, reports, returns, rules, search, validation
-from .plans import greedy, reconcile
+from .plans import components, greedy, reconcile
 from .plans.frames import BOOKS_SQL, PAYMENTS_SQL, RULES_SQL, STATEMENTS_SQL, books, fy_sql, load, payments, quarter_sql, statements
 from .plans.frames import rules as rule_table
 from .sources import sinks, tables
@@ -147,32 +147,64 @@ def client_ids(spark, d):
 
 # -- sources ------------------------------------------------------------------------------------------------------
 
-GRID = """grid(row_no, a, b, c) AS (VALUES (1, 'Report of', '', ''), (2, 'Party', 'Date', 'Amount'), (3, 'Alpha Ltd', '2024-04-05', '1,000.00'),
-  (4, 'Beta & Co', '06/07/2024', '(250.50)'), (5, 'Party', 'Date', 'Amount'), (6, '', '', ''), (7, 'Grand Total', '', '749.50'))"""
+def _export(rows: DataFrame, name: str) -> str:
+    """The rows as a folder of delimited files, each below a header of its own, as an accounting system gives them out."""
+    path = components.shared_path(rows.sparkSession, name)
+    rows.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    return path
 
 
-def _grid(spark: SparkSession) -> DataFrame:
-    rows = [
-        (1, ["Report of", "", ""]), (2, ["Party", "Date", "Amount"]), (3, ["Alpha Ltd", "2024-04-05", "1,000.00"]), (4, ["Beta & Co", "06/07/2024", "(250.50)"]),
-        (5, ["Party", "Date", "Amount"]), (6, ["", "", ""]), (7, ["Grand Total", "", "749.50"]),
-    ]
-    return spark.createDataFrame(rows, "row_no long, cells array<string>")
+def _book_export(spark: SparkSession, d: str) -> str:
+    o = load(spark, d, "orders")
+    key = F.col("o_orderkey").cast("string")
+    rows = o.select(
+        F.concat(F.lit("V"), key).alias("Voucher No"), F.concat(F.lit('Rao "'), F.col("o_custkey").cast("string"), F.lit('" & Co')).alias("Party Name"), F.date_format("o_orderdate", "dd-MM-yyyy").alias("Voucher Date"),
+        F.format_number(F.col("o_totalprice").cast(MONEY), 2).alias("Taxable Value"), F.concat(F.lit("order "), key, F.lit("\n"), F.col("o_orderpriority")).alias("Narration"),
+    )
+    # a total below each part's rows
+    total = o.filter("o_orderkey % 1000 = 0").select(F.lit("Grand Total").alias("Voucher No"), *(F.lit("").alias(c) for c in ("Party Name", "Voucher Date")), F.lit("1").alias("Taxable Value"), F.lit("").alias("Narration"))
+    return _export(rows.unionByName(total), "books-export")
 
 
-@query("""SELECT * FROM (VALUES (3::BIGINT, 'Alpha Ltd', DATE '2024-04-05', 1000.00::DECIMAL(18,2)), (4, 'Beta & Co', DATE '2024-07-06', -250.50)) t(row_no, customer_name, document_date, taxable_value)""", decimals="taxable_value")
+@query("""SELECT 'V' || o_orderkey AS transaction_id, 'Rao "' || o_custkey || '" & Co' AS customer_name, o_orderdate::DATE AS document_date, o_totalprice::DECIMAL(18,2) AS taxable_value,
+  'order ' || o_orderkey || chr(10) || o_orderpriority AS narration FROM orders""", decimals="taxable_value")
 def canonical_books(spark, d):
-    return tables.canonical(_grid(spark), "books").select("row_no", "customer_name", "document_date", "taxable_value")
+    return tables.read_delimited(spark, _book_export(spark, d), "books").select("transaction_id", "customer_name", "document_date", "taxable_value", "narration")
 
 
-@query(f"WITH {GRID} SELECT row_no::BIGINT AS row_no, CASE WHEN row_no IN (2, 5) THEN 9 ELSE 0 END::INTEGER AS score, row_no IN (2, 5, 7) AS footer FROM grid")
+@query("""SELECT 'header' AS what, 11::BIGINT AS score, true AS footer, 1::BIGINT AS least, NULL::BIGINT AS most WHERE EXISTS (FROM orders)
+UNION ALL SELECT 'row', 0, false, count(*), count(*) FROM orders UNION ALL SELECT 'total', 0, true, count(*), count(*) FROM orders WHERE o_orderkey % 1000 = 0""")
 def header_scores_and_footers(spark, d):
+    """Lines of an export by what they are: how well they fit a header, and whether they are left out."""
     from .sources import schema
 
+    whole = tables.records(tables.lines(spark, _book_export(spark, d)), ",").select(tables.split_cells(F.col("value"), ",").alias("cells"))
     keys = F.transform("cells", text.header_key)
     first = F.get(F.filter(keys, lambda k: k != ""), F.lit(0))
-    header = F.array(F.lit("party"), F.lit("date"), F.lit("amount"))
-    rows = _grid(spark).select("row_no", validation.header_score(keys, schema.aliases("books")).alias("score"), F.coalesce(validation.is_footer(first, keys, header), F.lit(False)).alias("footer"))
-    return rows
+    header = F.array(*map(F.lit, ("voucher_no", "party_name", "voucher_date", "taxable_value", "narration")))
+    score, footer = validation.header_score(keys, schema.aliases("books")).cast("long"), F.coalesce(validation.is_footer(first, keys, header), F.lit(False))
+    what = F.when(first == "voucher_no", "header").when(first == "grand_total", "total").otherwise("row")
+    rows = whole.select(what.alias("what"), score.alias("score"), footer.alias("footer")).groupBy("what", "score", "footer").agg(F.count("*").alias("n"))
+    is_header = F.col("what") == "header"  # as many as there are files
+    return rows.select("what", "score", "footer", F.when(is_header, F.least(F.col("n"), F.lit(1))).otherwise(F.col("n")).alias("least"), F.when(~is_header, F.col("n")).alias("most"))
+
+
+@query(decimals="difference")
+def reconciliation_of_exports(spark, d):
+    """Exports of books, statement and masters as files, read, normalised, resolved and matched."""
+    b, s, c = books(spark, d), statements(spark, d), load(spark, d, "customer")
+    day = lambda: F.date_format("day", "dd-MM-yyyy")
+    named = lambda key: F.concat(F.lit("Firm "), F.chr(F.lit(65) + F.col(key) % 26), F.lit(" "), F.col(key).cast("string"))
+    book_file = b.select(F.concat(F.lit("V"), "id").alias("Voucher No"), named("customer").alias("Party Name"), F.concat(F.lit("C"), "customer").alias("Party Code"), day().alias("Voucher Date"), F.format_number("amount", 2).alias("TDS Receivable"), F.col("section").alias("Section"))
+    # a deductor for each customer; every third is known by its TAN, the others by name, some under another name
+    other = F.when(F.col("customer") % 5 == 0, F.concat(named("customer"), F.lit(" Branch"))).otherwise(named("customer"))
+    tan = F.concat(F.lit("DELA"), F.lpad(F.col("customer").cast("string"), 5, "0"), F.lit("B"))
+    statement_file = s.select(F.concat(F.lit("S"), "id").alias("Transaction Id"), tan.alias("TAN"), other.alias("Name of Deductor"), day().alias("Transaction Date"), F.format_number("amount", 2).alias("Tax Deducted"), F.format_number(F.when(F.col("section") != "R", F.col("amount")), 2).alias("TDS Deposited"), F.col("status").alias("Status of Booking"), F.col("section").alias("Section"))
+    own = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("DELA"), F.lpad(F.col("c_custkey").cast("string"), 5, "0"), F.lit("B"))).otherwise("")
+    master_file = c.select(F.concat(F.lit("C"), "c_custkey").alias("Customer Code"), named("c_custkey").alias("Customer Name"), own.alias("TAN"))
+    read = lambda rows, name, kind: tables.read_delimited(spark, _export(rows, name), kind, raw=True)
+    found = reconcile.reconcile_exports(read(book_file, "books-export", "books"), read(statement_file, "statement-export", "form26as"), read(master_file, "master-export", "customer_master"))
+    return found.drop("group_id")
 
 
 @query("""
@@ -500,12 +532,11 @@ def identity_by_tan(spark, d):
 
 
 @query("""
-WITH w AS (SELECT p_partkey AS id, unnest(list_distinct(string_split(p_name, ' '))) AS word FROM part),
-a AS (SELECT * FROM w WHERE id % 10 = 0)
-SELECT a.id AS left_id, b.id AS right_id, count(*)::BIGINT AS shared FROM a JOIN w b ON a.word = b.word WHERE length(a.word) > 1 GROUP BY 1, 2""")
+WITH p AS (SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY 1), w AS (SELECT id, unnest(list_distinct(string_split(name, ' '))) AS word FROM p)
+SELECT a.id AS left_id, b.id AS right_id, count(*)::BIGINT AS shared FROM w a JOIN w b ON a.word = b.word WHERE length(a.word) > 1 GROUP BY 1, 2""")
 def token_block_candidates(spark, d):
-    p = load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    return identity.blocked_pairs(p.filter("id % 10 = 0"), p)
+    p = load(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
+    return identity.blocked_pairs(p, p)
 
 
 @query("""
@@ -522,6 +553,35 @@ def fuzzy_topk(spark, d):
     return identity.fuzzy_candidates(p, p, itself=False)
 
 
+@query()
+def fuzzy_exact(spark, d):
+    """All customers that share a word are candidates, whatever their ids."""
+    p = load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.upper("p_name").alias("name"))
+    return identity.fuzzy_candidates(p, p, limit=None, itself=False)
+
+
+@query("""
+WITH m AS (SELECT 'N' || c_nationkey || c_mktsegment AS code, min(c_custkey) AS position FROM customer GROUP BY 1),
+t AS (SELECT 'T' || c_custkey % 997 AS tan, 'N' || c_nationkey || c_mktsegment AS code FROM customer WHERE c_custkey % 2 = 0),
+tan_of AS (SELECT tan, max_by(m.code, (m.position, m.code)) AS code FROM (SELECT DISTINCT tan, code FROM t) t JOIN m ON m.code = t.code GROUP BY tan),
+d AS (SELECT DISTINCT 'T' || c_custkey % 1499 AS tan FROM customer),
+map AS (SELECT 'T' || n_nationkey * 50 + 1 AS tan, 'N' || n_nationkey || 'BUILDING' AS code FROM nation)
+SELECT d.tan, coalesce(tan_of.code, map.code) AS code, CASE WHEN tan_of.code IS NOT NULL THEN 'CUSTOMER_MASTER' WHEN map.code IS NOT NULL THEN 'SAVED_MAPPING' ELSE 'NONE' END AS method,
+  CASE WHEN coalesce(tan_of.code, map.code) IS NULL THEN 'UNMAPPED' ELSE 'EXACT' END AS status
+FROM d LEFT JOIN tan_of ON tan_of.tan = d.tan LEFT JOIN (SELECT map.* FROM map JOIN m ON m.code = map.code) map ON map.tan = d.tan""")
+def identity_resolution(spark, d):
+    """Deductors by the TANs of merged masters, of which the last counts, and by confirmed mappings to codes that exist."""
+    c, n = load(spark, d, "customer"), load(spark, d, "nation")
+    rows = c.select(
+        F.concat(F.lit("N"), "c_nationkey", "c_mktsegment").alias("code"), F.concat(F.lit("firm"), "c_custkey").alias("name"), *(F.lit("").alias(x) for x in ("pan", "gstin")),
+        F.when(F.col("c_custkey") % 2 == 0, F.array(F.concat(F.lit("T"), F.col("c_custkey") % 997))).otherwise(F.array().cast("array<string>")).alias("tans"), F.array().cast("array<string>").alias("aliases"), F.col("c_custkey").alias("position"),
+    )
+    masters = identity.merge_masters(rows).join(rows.groupBy("code").agg(F.min("position").alias("position")), "code")
+    deductors = c.select(F.concat(F.lit("T"), F.col("c_custkey") % 1499).alias("tan")).distinct().withColumn("name", F.concat(F.lit("deductor"), "tan"))
+    mappings = n.select(F.concat(F.lit("T"), F.col("n_nationkey") * 50 + 1).alias("tan"), F.concat(F.lit("N"), "n_nationkey", F.lit("BUILDING")).alias("code"))
+    return identity.resolve(deductors, masters, mappings).select("tan", "code", "method", "status")
+
+
 @query(_with(BOOKS_SQL) + """
 SELECT code, name, source FROM (SELECT c_custkey AS code, c_name AS name, 'MASTER' AS source FROM customer WHERE c_custkey % 2 = 0
   UNION ALL SELECT customer, min(c_name), 'BOOKS' FROM books JOIN customer ON c_custkey = customer WHERE customer % 2 != 0 GROUP BY customer)""")
@@ -659,15 +719,15 @@ def allocation(spark, d):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS a, 1000000 + c_nationkey * 10 + c_custkey % 7 AS b FROM customer WHERE c_custkey % 3 = 0),
+WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS a, 1000000 + c_nationkey * 10 + c_custkey % 3 AS b FROM customer),
 n AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(node, reached) AS (SELECT a, a FROM n UNION SELECT r.node, n.b FROM r JOIN n ON n.a = r.reached)
 SELECT node, min(reached) AS component FROM r GROUP BY node""")
 def connected_components(spark, d):
     from .plans.components import labelled
 
-    c = load(spark, d, "customer").filter("c_custkey % 3 = 0")
-    edges = c.select(F.col("c_custkey").alias("a"), (1000000 + F.col("c_nationkey").cast("long") * 10 + F.col("c_custkey") % 7).alias("b"))
+    c = load(spark, d, "customer")
+    edges = c.select(F.col("c_custkey").alias("a"), (1000000 + F.col("c_nationkey").cast("long") * 10 + F.col("c_custkey") % 3).alias("b"))
     return labelled(edges)
 
 

@@ -21,6 +21,7 @@ from ..functions.dates import parse_date
 from ..functions.text import blank_to_null, header_key, is_pan, split_list
 from ..operators.validation import header_score, is_footer
 from . import schema
+from .shared import kept
 
 PREVIEW = 500
 DELIMITERS = (",", ";", "\t", "|")
@@ -209,7 +210,8 @@ def read_delimited(spark: SparkSession, path: str, kind: str, encoding: str | No
     head = text.filter("row_no <= 50").orderBy("file", "row_no").limit(50)
     delimiter = sniff_delimiter([r["value"] for r in head.collect()])
     whole = records(text, delimiter).filter(F.trim("value") != "")
-    return canonical(whole.select("file", "row_no", split_cells(F.col("value"), delimiter).alias("cells")), kind, raw)
+    # the header is looked for in these rows before they are named
+    return canonical(kept(whole.select("file", "row_no", split_cells(F.col("value"), delimiter).alias("cells"))), kind, raw)
 
 
 def detect_kind(keys: list[str]) -> str | None:

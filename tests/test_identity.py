@@ -99,3 +99,28 @@ def test_an_exact_name_is_never_lost(spark):
     assert (first["right_id"], first["score"]) == (390, 1.0)
     # no shared word, no candidate: one deductor and a thousand customers
     assert identity.fuzzy_candidates(frame([(1, "lonely")]), frame([(i, f"other{i}") for i in range(1000)]), limit=None).count() == 0
+
+
+def test_who_a_deductor_is(spark):
+    """Every tier and every status, and which of several codes counts."""
+    masters = [
+        ("C1", "Acme Steel Limited", 1, ["T1", "T9"], ["Steel House"]), ("C2", "Beta Traders", 2, ["T9"], ["Acme Steel", "Steel House", "Shared"]), ("C3", "Gamma Foods", 3, [], ["Shared"]),
+        ("C4", "Delta Chemical Works", 4, [], []), ("C5", "Delta Chemical Work", 5, [], []), ("C6", "Twin", 6, [], []), ("C7", "Twin", 7, [], []), ("C8", "Omega Transport Lines", 8, [], []),
+    ]
+    m = spark.createDataFrame(masters, "code string, name string, position long, tans array<string>, aliases array<string>")
+    deductors = [
+        ("T1", "anything"), ("T9", "x"), ("T2", "mapped"), ("T3", "gone"), ("T4", "ACME STEEL LTD"), ("T5", "Steel House"), ("T6", "Shared"), ("T7", "twin"), ("T8", "known as"), ("TA", "second alias"),
+        ("TB", "Omega Transport Line"), ("TC", "Delta Chemical"), ("TD", "Nothing Alike"), ("TE", "Omega Transport Line"), ("TF", "Omega Transport Line"), ("TG", "Zebra Foods Transport"),
+    ]
+    d = spark.createDataFrame(deductors, "tan string, name string")
+    mappings = spark.createDataFrame([("T2", "C3"), ("T3", "C99"), ("T1", "C8")], "tan string, code string")
+    aliases = spark.createDataFrame([("Known As", "C4", 1), ("Known As", "C5", 2), ("Second Alias", "C98", 1), ("Gamma Foods", "C1", 1)], "alias string, code string, position long")
+    decisions = spark.createDataFrame([("TE", "KEEP_UNMAPPED", []), ("TF", None, ["C8"])], "tan string, action string, rejected array<string>")
+    for limit in (250, None):
+        got = {r["tan"]: (r["code"], r["status"], r["method"], r["suggested_code"]) for r in identity.resolve(d, m, mappings, aliases, decisions, limit).collect()}
+        assert got == {
+            "T1": ("C1", "EXACT", "CUSTOMER_MASTER", "C1"), "T9": ("C2", "EXACT", "CUSTOMER_MASTER", "C2"), "T2": ("C3", "EXACT", "SAVED_MAPPING", "C3"), "T3": (None, "UNMAPPED", "NONE", None),
+            "T4": ("C1", "EXACT", "EXACT_NAME", "C1"), "T5": ("C1", "EXACT", "MASTER_ALIAS", "C1"), "T6": ("C2", "EXACT", "MASTER_ALIAS", "C2"), "T7": ("C7", "EXACT", "EXACT_NAME", "C7"),
+            "T8": ("C4", "EXACT", "SAVED_ALIAS", "C4"), "TA": (None, "UNMAPPED", "NONE", None), "TB": ("C8", "HIGH_CONFIDENCE", "FUZZY", "C8"), "TC": (None, "REVIEW_REQUIRED", "FUZZY", "C4"),
+            "TD": (None, "UNMAPPED", "NONE", None), "TE": (None, "UNMAPPED", "NONE", None), "TF": (None, "UNMAPPED", "NONE", None), "TG": (None, "UNMAPPED", "NONE", None),
+        }
