@@ -5,8 +5,8 @@ and its words are hashed to vectors; the recurrent labeller reads a page's block
 it is main text.  Nothing is decided by a rule: only what is never shown as text (scripts, styles, comments, titles,
 templates) is no block at all.
 
-The model is fitted on the driver: at most SAMPLE pages of the table of at most SAMPLE_CHARS characters (those with the
-smallest hashes of id and url), labelled by the elements of HTML that say what they hold (article and main on one side;
+The model is fitted on the driver: at most SAMPLE pages of the table of at most SAMPLE_CHARS characters (by the
+hashes of id and url), labelled by the elements of HTML that say what they hold (article and main on one side;
 nav, header, footer, aside, form and telling classes on the other), and LAYOUTS made-up pages in many layouts over the same words.
 
 Defined cases: null or empty html and pages without main blocks give empty text; markup without ends, crossed tags, raw
@@ -213,8 +213,10 @@ def fit(sample: list[str], n_layouts: int = LAYOUTS, seed: int = 0) -> labeller.
 
 def sample_of(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> list[str]:
     """At most SAMPLE pages of at most SAMPLE_CHARS characters, the same ones whatever the order of the rows."""
-    short = pages.filter(F.col(html_col).isNotNull() & (F.length(html_col) <= SAMPLE_CHARS))
     by = F.xxhash64(F.col(id_col).cast("string"), F.col(url_col).cast("string"))
+    # a share of all rows by their hash first: what tasks send does not grow with their number
+    share = min(1.0, 4 * SAMPLE / max(pages.count(), 1))
+    short = pages.filter((F.pmod(by, F.lit(1 << 30)) < int(share * (1 << 30))) & F.col(html_col).isNotNull() & (F.length(html_col) <= SAMPLE_CHARS))
     rows = short.select(by.alias("by"), F.col(html_col).cast("string").alias("html")).orderBy("by", "html").limit(SAMPLE)
     return [r["html"] for r in rows.collect()]
 
