@@ -201,8 +201,8 @@ def canonical(grid: DataFrame, kind: str, raw: bool = False) -> DataFrame:
     return rows.select("row_no", "file", *(as_kind(c, t).alias(c) for c, _, t, _ in schema.KINDS[kind]))
 
 
-def read_delimited(spark: SparkSession, path: str, kind: str, encoding: str | None = None, raw: bool = False) -> DataFrame:
-    """The canonical rows of a delimited file, or of a folder of files of one layout; as text where ``raw``, for the normalisers.
+def read_grid(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """(file, row_no, cells) of the records of delimited files; empty ones are left out.
 
     The encoding is looked for unless given; cells may hold line breaks; a quote that never ends is an error.
     """
@@ -210,8 +210,12 @@ def read_delimited(spark: SparkSession, path: str, kind: str, encoding: str | No
     head = text.filter("row_no <= 50").orderBy("file", "row_no").limit(50)
     delimiter = sniff_delimiter([r["value"] for r in head.collect()])
     whole = records(text, delimiter).filter(F.trim("value") != "")
-    # the header is looked for in these rows before they are named
-    return canonical(kept(whole.select("file", "row_no", split_cells(F.col("value"), delimiter).alias("cells"))), kind, raw)
+    return kept(whole.select("file", "row_no", split_cells(F.col("value"), delimiter).alias("cells")))  # a header is looked for in these rows before they are named
+
+
+def read_delimited(spark: SparkSession, path: str, kind: str, encoding: str | None = None, raw: bool = False) -> DataFrame:
+    """The canonical rows of a delimited file, or of a folder of files of one layout; as text where ``raw``, for the normalisers."""
+    return canonical(read_grid(spark, path, encoding), kind, raw)
 
 
 def detect_kind(keys: list[str]) -> str | None:

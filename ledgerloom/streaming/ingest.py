@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources import sinks
+
 
 def event_stream(spark: SparkSession, folder: str, files_at_once: int = 100) -> DataFrame:
     schema = spark.read.parquet(folder).schema
@@ -22,3 +27,61 @@ def windowed_totals(events: DataFrame, width: str = "1 hour", late: str = "1 day
 def ingest_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Takes what is there and stops; a next call goes on where this one ended, so nothing is taken twice."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+class Register:
+    """Which sources were taken: a job's id and the digest of what it brought.
+
+    Rows lie in a folder named by their digest, which a second try writes over; a source counts once it is registered,
+    and only registered folders are read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def entries(self) -> dict[str, str]:
+        """job -> digest."""
+        names = sinks._claimed(self.spark, f"{self.path}/_jobs")
+        if not names:
+            return {}
+        found = self.spark.read.option("wholetext", True).text([f"{self.path}/_jobs/{n}" for n in names]).collect()
+        return {x["job"]: x["digest"] for x in (json.loads(r["value"]) for r in found)}
+
+    def take(self, rows: DataFrame, job_col: str) -> int:
+        """Takes the jobs' rows that are new and gives their number of jobs.
+
+        A job that was taken with the same rows is passed over, and so is one that brings another job's very rows; a known
+        job with other rows is refused, with all that came along.
+        """
+        known = self.entries()
+        # a row for each job of one call
+        found = {r[job_col]: r["digest"] for r in sinks.content_digest(rows, [job_col]).collect()}
+        changed = sorted(j for j, d in found.items() if known.get(j, d) != d)
+        if changed:
+            raise ValueError(f"taken before with other rows: {', '.join(changed)}")
+        taken, new = set(known.values()), {}
+        for job, digest in sorted(found.items()):
+            if job not in known and digest not in taken:
+                new[job] = digest
+                taken.add(digest)
+        if new:
+            digests = self.spark.createDataFrame(list(new.items()), "job string, source string")
+            brought = rows.join(digests, rows[job_col] == digests["job"]).drop("job", job_col)
+            brought.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(f"{self.path}/rows")
+            for job, digest in new.items():
+                name = hashlib.sha256(job.encode()).hexdigest()
+                if not sinks.claim(self.spark, f"{self.path}/_jobs/{name}", json.dumps({"job": job, "digest": digest})) and self.entries()[job] != digest:
+                    raise ValueError(f"taken before with other rows: {job}")
+        return len(new)
+
+    def rows(self) -> DataFrame:
+        """What registered jobs brought, each row once."""
+        digests = self.spark.createDataFrame([(d,) for d in sorted(set(self.entries().values()))], "source string")
+        return self.spark.read.option("basePath", f"{self.path}/rows").parquet(f"{self.path}/rows").join(digests, "source", "left_semi")
+
+
+def ingest_once(stream: DataFrame, register: Register, checkpoint: str) -> StreamingQuery:
+    """Takes the files that are there and stops.  Each file is a job: a stream that has lost its checkpoint sees all files
+    again and takes none twice."""
+    named = stream.withColumn("_job", F.col("_metadata.file_path"))
+    return named.writeStream.foreachBatch(lambda rows, _: register.take(rows, "_job")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

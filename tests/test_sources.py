@@ -1,11 +1,15 @@
 """Files as users have them: quotes, byte-order marks, packages good and bad, versions and streams."""
 
 import csv
+import json
 import random
+import shutil
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.sources import schema, sinks, tables
 from ledgerloom.streaming import ingest
@@ -142,3 +146,58 @@ def test_a_stream_takes_every_file_once(spark, tmp_path):
         ingest.ingest_available(ingest.event_stream(spark, folder), out, state).awaitTermination(60)
     ingest.ingest_available(ingest.event_stream(spark, folder), out, state).awaitTermination(60)
     assert spark.read.parquet(out).count() == 7
+
+
+def test_two_writers_at_once_get_two_versions(spark, tmp_path):
+    path = str(tmp_path / "v")
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda n: sinks.append_version(spark.range(n), path, spark), range(1, 5)))
+    assert sorted(got) == [1, 2, 3, 4]
+    assert {r["version"]: r["count"] for r in spark.read.parquet(path).groupBy("version").count().collect()} == dict(zip(got, range(1, 5)))
+
+
+def test_content_digests(spark):
+    of = lambda df: sinks.content_digest(df).first()["digest"]
+    df = spark.range(70_000).selectExpr("id", "if(id % 3 = 0, null, cast(id as string)) as s")
+    assert of(df) == of(df.repartition(7, "s").select("s", "id"))
+    assert len({of(df), of(df.limit(69_999)), of(df.union(df.limit(1))), of(df.withColumn("s", F.coalesce("s", F.lit("")))), of(df.withColumn("s", F.col("id")))}) == 5
+
+
+def test_a_changed_batch_of_the_log_is_found(spark, tmp_path):
+    log = sinks.AuditLog(spark, str(tmp_path / "log"))
+    assert log.events() is None and log.verify() == []
+    event = lambda a, b: spark.range(a, b).selectExpr("id as event", "concat('did ', id) as action")
+    with ThreadPoolExecutor(3) as pool:
+        assert sorted(pool.map(lambda k: log.append(event(10 * k, 10 * k + 4)), range(3))) == [1, 2, 3]
+    assert log.append(event(0, 0)) == 4
+    assert [(x["batch"], x["rows"], x["intact"]) for x in log.verify()] == [(1, 4, True), (2, 4, True), (3, 4, True), (4, 0, True)]
+    assert {r["batch"]: r["count"] for r in log.events().groupBy("batch").count().collect()} == {1: 4, 2: 4, 3: 4}
+    folder = log.links()[1]["folder"]
+    spark.read.parquet(f"{log.path}/{folder}").selectExpr("event", "'did nothing' as action").coalesce(1).write.parquet(str(tmp_path / "changed"))
+    shutil.rmtree(f"{log.path}/{folder}")
+    shutil.move(str(tmp_path / "changed"), f"{log.path}/{folder}")
+    assert [x["intact"] for x in log.verify()] == [True, False, True, True]
+    link = log.links()[2]  # a link that is written anew with other rows breaks the one after it
+    (tmp_path / "log/_links/000000000003").write_text(json.dumps({**link, "rows": 5, "digest": sinks._link_digest({**link, "rows": 5})}))
+    assert [x["intact"] for x in log.verify()] == [True, False, False, False]
+
+
+def test_a_stream_without_its_checkpoint_takes_nothing_twice(spark, tmp_path):
+    folder, register = str(tmp_path / "in"), ingest.Register(spark, str(tmp_path / "out"))
+    run = lambda state: ingest.ingest_once(ingest.event_stream(spark, folder), register, str(tmp_path / state)).awaitTermination(90)
+    for n in (3, 4):
+        spark.range(n).coalesce(1).write.mode("append").parquet(folder)
+        run("state")
+    assert register.rows().count() == 7 and len(register.entries()) == 2
+    run("lost")
+    assert register.rows().count() == 7
+    spark.range(4).coalesce(1).write.mode("append").parquet(folder)  # the very rows of another source
+    run("lost")
+    assert register.rows().count() == 7 and len(register.entries()) == 2
+    rows = lambda n: spark.range(n).withColumn("job", F.lit("j1"))
+    assert register.take(rows(9), "job") == 1 and register.take(rows(9), "job") == 0 and register.rows().count() == 16
+    with pytest.raises(ValueError, match="j1"):
+        register.take(rows(10), "job")
+    # rows that were written but never registered are not seen
+    spark.range(5).withColumn("source", F.lit("x")).write.mode("append").partitionBy("source").parquet(f"{register.path}/rows")
+    assert register.rows().count() == 16
