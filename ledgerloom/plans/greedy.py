@@ -195,6 +195,24 @@ def numbered(rows: DataFrame, scope: list[str], order: list[Column]) -> DataFram
     return placed.join(parts, [*scope, "_part"]).withColumn("pos", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
 
 
+def running_total(rows: DataFrame, scope: list[str], order: list[Column], value: str, out: str) -> DataFrame:
+    """Adds out, the sum of value over the rows before this one in its scope; a range sort, sums in its parts and over them,
+    so that no scope is summed in one task."""
+    keys = [*(F.col(c) for c in scope), *order]
+    placed = kept(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    same = [F.col(c) for c in scope]
+    before = F.sum(value).over(Window.partitionBy(*same, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    # a row for each part that a scope lies in; scopes may hold nulls
+    parts = placed.groupBy(*scope, "_part").agg(F.sum(value).alias("_sum"))
+    carried = F.sum("_sum").over(Window.partitionBy(*same).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*(F.col(c).alias(f"_p_{c}") for c in scope), F.col("_part").alias("_p_part"), F.coalesce(carried, F.lit(0)).alias("_carried"))
+    meet = F.col("_part") == F.col("_p_part")
+    for c in scope:
+        meet = meet & F.col(c).eqNullSafe(F.col(f"_p_{c}"))
+    joined = placed.withColumn("_before", F.coalesce(before, F.lit(0))).join(parts, meet)
+    return joined.withColumn(out, F.col("_before") + F.col("_carried")).drop("_part", "_before", "_carried", "_p_part", *(f"_p_{c}" for c in scope))
+
+
 def _closest(free: Callable[[], DataFrame], same: bool, terms: Terms):
     """The nearest rows of what is left, slab after slab from the largest amounts down."""
     scope = _scope(same)
