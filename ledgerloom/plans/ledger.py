@@ -54,7 +54,7 @@ def _either(*conditions: Column) -> Column:
 
 
 def ruled(payments: DataFrame, rules: DataFrame, last_day_of_old: str) -> DataFrame:
-    """payments with act, event_date, nature, nature_state, residency, rule, rule_state and rate.
+    """payments with act, event_date, nature, residency, rule, rule_state, rate and what contractor evidence says.
 
     payments: (transaction_id, row_no, credit_date, payment_date, financial_year, amount) and any of OPTIONAL;
     rules: (rule_id, act, nature, lifecycle) and any of RULE_OPTIONAL.
@@ -70,7 +70,9 @@ def ruled(payments: DataFrame, rules: DataFrame, last_day_of_old: str) -> DataFr
     t = kept(statutory.select_statutory(t, rules))  # many conditions read the rule: it is chosen once
     row = {c: F.col(c) for c in t.columns}
     rate, source = statutory.determined_rate(F.col("rule"), row, F.col("event_date"))
-    return kept(t.withColumns({"_rate": rate, "_rate_source": source}))
+    fits, why = statutory.contractor_applicability(row)
+    supplied = _either(blank_to_null(F.col("control_contract")).isNotNull(), *(F.col(c).isNotNull() for c in CONTROL))
+    return kept(t.withColumns({"_rate": rate, "_rate_source": source, "_fits": fits, "_why": why, "_supplied": supplied}))
 
 
 def _threshold(rule: Column, current: Column, prior: Column) -> tuple[Column, Column]:
@@ -96,9 +98,7 @@ def calculate(payments: DataFrame, rules: DataFrame, last_day_of_old: str = "202
     expected, actual, difference, calculation_status, deduction_status, compliance_status, reason_code)."""
     t = ruled(payments, rules, last_day_of_old)
     rule = F.col("rule")
-    row = {c: F.col(c) for c in t.columns}
-    fits, why = statutory.contractor_applicability(row)
-    supplied = _either(blank_to_null(F.col("control_contract")).isNotNull(), *(F.col(c).isNotNull() for c in CONTROL))
+    fits, why, supplied = F.col("_fits"), F.col("_why"), F.col("_supplied")
     contract = F.coalesce(F.col("control_contract") == CONTRACT, F.lit(False))
     basis = F.lower(F.coalesce(blank_to_null(rule["basis"]), F.lit("full_amount")))
     numbers = [f.name for f in t.schema.fields if f.dataType.simpleString().startswith("decimal")]
@@ -130,7 +130,8 @@ def calculate(payments: DataFrame, rules: DataFrame, last_day_of_old: str = "202
     t = reached.unionByName(t.filter("_reason is not null").withColumn("_prior", F.lit(None).cast("decimal(38,2)")), allowMissingColumns=True)
     t = kept(t.withColumn("prior", F.col("_prior").cast(MONEY)))
     subject, status = _threshold(rule, F.col("base"), F.col("prior"))
-    through = F.col("_reason").isNull()
+    t = t.withColumn("_through", F.col("_reason").isNull())
+    through = F.col("_through")
     t = t.withColumns({"subject": F.when(through, subject), "threshold_status": F.when(through, status), "cumulative": F.when(through, F.col("prior") + F.col("base")).cast(MONEY)})
     t = kept(t)
     method, precision = F.upper(F.coalesce(blank_to_null(rule["rounding_method"]), F.lit("HALF_UP"))), F.coalesce(rule["rounding_precision"], F.lit(2))

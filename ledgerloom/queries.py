@@ -886,4 +886,4 @@ def sequence_and_gap(spark, d):
     return statements(spark, d).select("customer", "id", F.row_number().over(w).alias("seq"), (F.col("tax") - F.coalesce(F.lag("tax").over(w), F.lit(0).cast(MONEY))).cast("decimal(19,2)").alias("step"))
 
 
-from . import queries_evidence, queries_governance, queries_sources  # noqa: E402, F401  - register their queries
+from . import queries_evidence, queries_governance, queries_ledger, queries_sources  # noqa: E402, F401  - register their queries
