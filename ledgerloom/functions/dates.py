@@ -25,11 +25,12 @@ def quarter_number(q: Column) -> Column:
 
 
 def normalize_fy(c: Column) -> Column:
-    """Lenient: ``FY 2024/2025``, ``2024-25`` and ``2024`` give ``2024-25``; what is no year stays as it is."""
-    text = F.replace(F.replace(F.upper(c), F.lit("FY"), F.lit("")), F.lit(" "), F.lit(""))
-    start, end = F.regexp_extract(text, r"^(\d{4})[-/](\d{2}|\d{4})$", 1), F.regexp_extract(text, r"^(\d{4})[-/](\d{2}|\d{4})$", 2)
+    """Lenient: ``FY 2024/2025``, ``2024-25`` and ``2024`` give ``2024-25``; what is no year comes back in upper case,
+    without FY and blanks."""
+    text = F.replace(F.replace(F.upper(F.trim(c)), F.lit("FY"), F.lit("")), F.lit(" "), F.lit(""))
+    start, end = (F.regexp_extract(text, r"^(\d{4})[-/](\d{2,4})$", k) for k in (1, 2))
     pair = F.concat(start, F.lit("-"), F.right(end, F.lit(2)))
-    return F.when(start != "", pair).when(text.rlike(r"^\d{4}$"), _year_label(F.try_to_number(text, F.lit("9999")).cast("int"))).otherwise(F.trim(c))
+    return F.when(start != "", pair).when(text.rlike(r"^\d{4}$"), _year_label(F.try_to_number(text, F.lit("9999")).cast("int"))).otherwise(text)
 
 
 def strict_fy(c: Column) -> Column:

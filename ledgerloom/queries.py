@@ -74,12 +74,12 @@ def parse_date_cases(spark, d):
 
 @query(f"""
 WITH y AS (SELECT o_orderkey AS id, year(o_orderdate) AS y, o_orderkey % 5 AS k FROM orders)
-SELECT id, CASE k WHEN 4 THEN 'period ' || y ELSE y || '-' || lpad(((y + 1) % 100)::VARCHAR, 2, '0') END AS lenient,
+SELECT id, CASE WHEN k = 4 AND y % 2 = 0 THEN 'PERIOD' || y WHEN k = 4 THEN y || '-45' ELSE y || '-' || lpad(((y + 1) % 100)::VARCHAR, 2, '0') END AS lenient,
   CASE WHEN k IN (1, 2) THEN y || '-' || lpad(((y + 1) % 100)::VARCHAR, 2, '0') END AS strict FROM y""")
 def fy_normalize_cases(spark, d):
     y, k = F.year("o_orderdate"), F.col("o_orderkey") % 5
     s, two, four = y.cast("string"), F.lpad(((y + 1) % 100).cast("string"), 2, "0"), (y + 1).cast("string")
-    shown = F.when(k == 0, s).when(k == 1, F.concat(F.lit("FY "), s, F.lit("-"), two)).when(k == 2, F.concat(s, F.lit("-"), four)).when(k == 3, F.concat(F.lit("fy "), s, F.lit("/"), two)).otherwise(F.concat(F.lit("period "), s))
+    shown = F.when(k == 0, s).when(k == 1, F.concat(F.lit("FY "), s, F.lit("-"), two)).when(k == 2, F.concat(s, F.lit("-"), four)).when(k == 3, F.concat(F.lit("fy "), s, F.lit("/"), two)).when(y % 2 == 0, F.concat(F.lit("Fy period "), s)).otherwise(F.concat(s, F.lit("-245")))
     return load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), dates.normalize_fy(shown).alias("lenient"), dates.strict_fy(shown).alias("strict"))
 
 
