@@ -254,3 +254,22 @@ def test_nearest_amounts(spark):
             best = min(fits, key=lambda y: (abs(x["amount"] - y["amount"]), y["id"]))
             want[x["id"]] = (best["id"], Decimal(abs(x["amount"] - best["amount"])))
     assert got == want
+
+
+def test_nearest_amounts_of_many_parts(spark):
+    """Rows and the list of their parts agree on the parts, however Spark joins small parts together."""
+    rng = random.Random(6)
+    of = lambda n, first: [{"id": first + i, "customer": i % 400, "fy": "2024-25", "quarter": "Q1", "amount": Decimal(rng.randrange(10**7)) / 100, "section": "s" * 40} for i in range(n)]
+    b, s = of(3000, 0), of(2000, 10_000)
+    sizes = {f"spark.sql.adaptive.{k}": "3000" for k in ("advisoryPartitionSizeInBytes", "coalescePartitions.minPartitionSize")}
+    names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", **sizes}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        got = {r["book_id"]: r["difference"] for r in nearest(frame(spark, b), frame(spark, s)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    want = {x["id"]: min(abs(x["amount"] - y["amount"]) for y in s if y["customer"] == x["customer"]) for x in b}
+    assert got == want
