@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.amounts import MONEY
@@ -26,12 +26,19 @@ def _rules(spark: SparkSession) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast(MONEY) for c in ("rate", "per_transaction", "aggregate", "threshold")}).withColumn("lifecycle", F.lit("ACTIVE"))
 
 
+def pan_of(key: Column) -> Column:
+    """A PAN of its own for each key: the last four digits, and letters that count the ten thousands before them."""
+    high = F.floor(key / 10000).cast("long")
+    letter = lambda i: F.char(65 + F.floor(high / 26**i).cast("long") % 26)
+    return F.concat(*map(letter, (5, 4, 3, 2, 1)), F.lpad((key % 10000).cast("string"), 4, "0"), letter(0))
+
+
 def _payments(spark: SparkSession, d: str) -> DataFrame:
     last = F.element_at(F.split(F.upper("nature"), " "), -1)
     named = F.coalesce(*(F.when(last == word, n) for word, n in NATURES.items()), last)
     return payments(spark, d).select(
         F.col("id").alias("transaction_id"), F.col("id").alias("row_no"), F.col("credited").alias("credit_date"), F.col("paid").alias("payment_date"), F.col("fy").alias("financial_year"), named.alias("payment_nature"),
-        "amount", F.concat(F.lit("ABCDE"), F.lpad(F.col("deductee").cast("string"), 4, "0"), F.lit("F")).alias("deductee_pan"), F.col("actual").alias("tds_deducted"),
+        "amount", pan_of(F.col("deductee")).alias("deductee_pan"), F.col("actual").alias("tds_deducted"),
     )
 
 

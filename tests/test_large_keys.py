@@ -21,3 +21,7 @@ def held_to_sql(spark, sf_dir, folder, name, changes):
 def test_halves_of_balances_are_rounded_to_even(spark, sf_dir, tmp_path):
     halves = lambda k, c: f"REPLACE (({k} % 40 + 0.5)::DOUBLE AS {c})"
     held_to_sql(spark, sf_dir, tmp_path, "sales_tds_evidence", {"customer": halves("c_custkey", "c_acctbal"), "supplier": halves("s_suppkey", "s_acctbal")})
+
+
+def test_deductees_beyond_four_digits_are_kept_apart(spark, sf_dir, tmp_path):
+    held_to_sql(spark, sf_dir, tmp_path, "statutory_ledger", {"lineitem": "REPLACE (100000 + l_suppkey AS l_suppkey)"})
