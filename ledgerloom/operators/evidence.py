@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.amounts import MONEY, strict_sum, within_mutual_tolerance
 from ..functions.dates import financial_year, quarter
 from ..functions.text import NAME_STOPWORDS, blank_to_null, is_tan
+from . import classes
 
 # Words that are left out of acronyms, and of names that are aligned word by word.
 ACRONYM_WORDS = ("A", "AN", "AND", "OF", "THE", "PRIVATE", "LIMITED", "PVT", "LTD")
@@ -23,15 +24,20 @@ ALIGNED_WORDS = (*ACRONYM_WORDS, "UNIT")
 def tds_statement_evidence(ledger: DataFrame, statements: DataFrame) -> DataFrame:
     """(left_id, right_id, evidence) of ledger and statement rows (id, tan, core, compact): an equal TAN, an equal name
     (a conflict where both name a TAN and differ), an equal name without blanks."""
-    x = ledger.select(F.col("id").alias("left_id"), *(F.nullif(F.col(c), F.lit("")).alias(f"a_{c}") for c in ("tan", "core", "compact")))
-    y = statements.select(F.col("id").alias("right_id"), *(F.nullif(F.col(c), F.lit("")).alias(f"b_{c}") for c in ("tan", "core", "compact")))
-    pairs = reduce(DataFrame.unionByName, (x.join(y, F.col(f"a_{c}") == F.col(f"b_{c}")) for c in ("tan", "core", "compact"))).distinct()
+    names = ("tan", "core", "compact")
+    x, y = (df.select("id", F.struct(*(F.nullif(F.col(c), F.lit("")).alias(c) for c in names)).alias("class")).distinct() for df in (ledger, statements))
+    of = lambda df, side, p: df.select(F.col("class").alias(side)).distinct().select(side, *(F.col(f"{side}.{c}").alias(f"{p}_{c}") for c in names))
+    a, b = of(x, "left", "a"), of(y, "right", "b")
+    same = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in names]
+    # a pair comes from the first of the columns that are equal, so from one only
+    found = [a.join(b, reduce(lambda m, e: m & ~F.coalesce(e, F.lit(False)), same[:i], s)) for i, s in enumerate(same)]
+    pairs = reduce(DataFrame.unionByName, found)
     label = (
         F.when(F.col("a_tan") == F.col("b_tan"), "EXACT_TAN")
         .when(F.col("a_core") == F.col("b_core"), F.when(F.col("a_tan").isNotNull() & ~F.col("a_tan").eqNullSafe(F.col("b_tan")), "CONFLICTING_TAN").otherwise("EXACT_TDS_DEDUCTOR_NAME"))
         .otherwise("COMPACT_NORMALIZED_NAME")
     )
-    return pairs.select("left_id", "right_id", label.alias("evidence"))
+    return classes.spelt_out(pairs.select("left", "right", label.alias("evidence")), x, y)
 
 
 # The evidence between a sale and a statement row, strongest first, with the columns that must be equal.
