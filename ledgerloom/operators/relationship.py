@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.amounts import MONEY, within_mutual_tolerance
 from ..functions.text import compact_name, core_name, initialism
+from ..sources.shared import by_whole_keys
 
 
 def evidence(left: DataFrame, right: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -87,58 +90,132 @@ def pair_sums(statements: DataFrame, sales: DataFrame, days: int, keys: list[str
 
 
 ALLOCATED = "key long, statement_id long, sale_id long, kind string"
+#: Pairs of rows, or of pairs and a row, that a task weighs at once.
+AT_ONCE = 1 << 20
 
 
 def allocate(statements: DataFrame, sales: DataFrame, key: str, days: int = 7) -> DataFrame:
     """Consuming allocation for each key, each row in one allocation at most: one to one where unique, then one statement
-    row to two sales, then two statement rows to one sale, then by day only.  Rows without an amount are in none."""
-
-    def run(k: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = (x[x["day"].notna() & x["amount"].notna()].sort_values(["day", "id"]) for x in (left, right))
-        day_l, day_r = (pd.to_datetime(x["day"]).to_numpy().astype("datetime64[D]").astype("int64") for x in (left, right))
-        a_l, a_r = left["amount"].astype(float).to_numpy(), right["amount"].astype(float).to_numpy()
-        free_l, free_r = np.ones(len(left), bool), np.ones(len(right), bool)
-        out = []
-        fits = lambda x, y: np.abs(x - y) <= np.maximum(10.0, np.maximum(np.maximum(np.abs(x), np.abs(y)), 1) / 100)
-
-        def near(day: int, days_: np.ndarray, free: np.ndarray) -> np.ndarray:
-            lo, hi = np.searchsorted(days_, day - days), np.searchsorted(days_, day + days, "right")
-            return lo + np.flatnonzero(free[lo:hi])
-
-        def only_pair(target: float, pool: np.ndarray, amounts: np.ndarray) -> list[int]:
-            """The pair of the pool that adds up to the target, if there is just one."""
-            found: list[int] = []
-            for n, x in enumerate(pool[:-1]):
-                hits = pool[n + 1 :][fits(target, amounts[x] + amounts[pool[n + 1 :]])]
-                if len(hits) + len(found) // 2 > 1:
-                    return []
-                found += [p for y in hits for p in (x, y)]
-            return found
-
-        def take(i: list[int], j: list[int], kind: str) -> None:
-            free_l[i] = free_r[j] = False
-            out.extend((x, y, kind) for x in i for y in j)
-
-        for i in range(len(left)):
-            pool = near(day_l[i], day_r, free_r)
-            good = pool[fits(a_l[i], a_r[pool])]
-            if len(good) == 1:
-                take([i], [good[0]], "ONE_TO_ONE")
-        for i in np.flatnonzero(free_l):
-            if pair := only_pair(a_l[i], near(day_l[i], day_r, free_r), a_r):
-                take([i], pair, "ONE_TO_TWO")
-        for j in np.flatnonzero(free_r):
-            if pair := only_pair(a_r[j], near(day_r[j], day_l, free_l), a_l):
-                take(pair, [j], "TWO_TO_ONE")
-        for i in np.flatnonzero(free_l):
-            pool = near(day_l[i], day_r, free_r)
-            if len(pool) == 1:
-                take([i], [pool[0]], "DATE_ONLY")
-        ids, others = left["id"].to_numpy(), right["id"].to_numpy()
-        return pd.DataFrame([(k[0], ids[i], others[j], kind) for i, j, kind in out], columns=["key", "statement_id", "sale_id", "kind"])
-
-    cols = [F.col(key).alias("key"), "id", "day", "amount"]
-    return statements.select(*cols).groupBy("key").cogroup(sales.select(*cols).groupBy("key")).applyInPandas(run, ALLOCATED)
+    row to two sales, then two statement rows to one sale, then by day only.  Rows without an amount are in none.
+
+    A task weighs the windows of many keys at once; only rows that something fits are then looked at one after another.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in by_whole_keys(batches, ["key"]):
+            left, right, kind = _allocated(table, cuts, days)
+            at, other = pa.array(left, pa.int64()), pa.array(right, pa.int64())
+            columns = [pc.take(table.column(c), i).combine_chunks() for c, i in (("key", at), ("id", at), ("id", other))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kind, pa.string())], names=["key", "statement_id", "sale_id", "kind"])
+
+    def side(df: DataFrame, n: int) -> DataFrame:
+        day, amount = F.datediff("day", F.lit("1970-01-01").cast("date")), F.col("amount").cast("double")
+        rows = df.select(F.col(key).cast("long").alias("key"), F.lit(n).alias("side"), F.col("day").alias("at"), day.cast("long").alias("day"), F.col("id").cast("long").alias("id"), amount.alias("amount"))
+        return rows.filter("day is not null and amount is not null and not isnan(amount)")
+
+    rows = side(statements, 0).unionByName(side(sales, 1)).repartition("key").sortWithinPartitions("key", "side", "at", "id")
+    return rows.drop("at").mapInArrow(run, ALLOCATED)
+
+
+def _fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.abs(x - y) <= np.maximum(10.0, np.maximum(np.maximum(np.abs(x), np.abs(y)), 1) / 100)
+
+
+def _spread(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whose, place): the places lo to lo + n of each range, one after another."""
+    whose = np.repeat(np.arange(len(n)), n)
+    return whose, np.arange(len(whose)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+
+
+def _slices(weight: np.ndarray) -> Iterator[slice]:
+    """Slices of rows in order whose weights sum to AT_ONCE at most, or that hold one row."""
+    upto, lo = np.cumsum(weight), 0
+    while lo < len(weight):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + AT_ONCE, "right")))
+        yield slice(lo, hi)
+        lo = hi
+
+
+def _allocated(table: pa.Table, cuts: list[int], days: int) -> tuple[list[int], list[int], list[str]]:
+    """Places of the statement rows and of the sales that are allocated, and the kinds; rows in the order of key, side, day and id."""
+    side, day, amount = (table.column(c).to_numpy() for c in ("side", "day", "amount"))
+    own, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    # days of different keys lie further apart than any window is wide
+    group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    at = group * (int(day.max() - day.min()) + 2 * days + 2) + (day - day.min())
+    amounts, days_ = (amount[own], amount[other]), (at[own], at[other])
+    free = (np.ones(len(own), bool), np.ones(len(other), bool))
+    windows = [(np.searchsorted(days_[1 - k], days_[k] - days), np.searchsorted(days_[1 - k], days_[k] + days, "right")) for k in (0, 1)]
+    out: tuple[list[int], list[int], list[str]] = ([], [], [])
+
+    def take(i: list[int], j: list[int], kind: str) -> None:
+        free[0][i] = free[1][j] = False
+        for x in i:
+            for y in j:
+                out[0].append(int(own[x]))
+                out[1].append(int(other[y]))
+                out[2].append(kind)
+
+    def waiting(k: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(rows of side k that are free and have at least so many free rows in their window, how many, the window's ends)."""
+        upto = np.append(0, np.cumsum(free[1 - k]))
+        n = upto[windows[k][1]] - upto[windows[k][0]]
+        rows = np.flatnonzero(free[k] & (n >= least))
+        return rows, n[rows], windows[k][0][rows], windows[k][1][rows]
+
+    def only_pair(target: float, pool: np.ndarray, amounts: np.ndarray) -> list[int]:
+        """The pair of the pool that adds up to the target, if there is just one."""
+        found: list[int] = []
+        for n, x in enumerate(pool[:-1]):
+            hits = pool[n + 1 :][_fits(target, amounts[x] + amounts[pool[n + 1 :]])]
+            if len(hits) + len(found) // 2 > 1:
+                return []
+            found += [p for y in hits for p in (x, y)]
+        return found
+
+    def in_turn(whose: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """Each row and where its hits stand."""
+        starts = np.flatnonzero(np.append(True, whose[1:] != whose[:-1])) if len(whose) else np.zeros(0, int)
+        for lo, hi in zip(starts, np.append(starts[1:], len(whose))):
+            yield whose[lo], slice(lo, hi)
+
+    rows, _, lo, hi = waiting(0, 1)
+    for part in _slices(hi - lo):
+        mine, (whose, j) = rows[part], _spread(lo[part], (hi - lo)[part])
+        good = free[1][j] & _fits(amounts[0][mine[whose]], amounts[1][j])
+        whose, j = whose[good], j[good]
+        for w, hits in in_turn(whose):
+            left = j[hits][free[1][j[hits]]]
+            if len(left) == 1:
+                take([mine[w]], [left[0]], "ONE_TO_ONE")
+    for k, kind in ((0, "ONE_TO_TWO"), (1, "TWO_TO_ONE")):
+        rows, n, lo, hi = waiting(k, 2)
+        pool, worth = free[1 - k], amounts[1 - k]
+        put = lambda i, pair: take([i], pair, kind) if k == 0 else take(pair, [i], kind)  # noqa: B023, E731
+        for part in _slices(np.maximum(n * (n - 1) // 2, hi - lo)):
+            mine = rows[part]
+            if len(mine) == 1 and n[part][0] ** 2 > 2 * AT_ONCE:
+                near = lo[part][0] + np.flatnonzero(pool[lo[part][0] : hi[part][0]])
+                if pair := only_pair(amounts[k][mine[0]], near, worth):
+                    put(mine[0], pair)
+                continue
+            whose, j = _spread(lo[part], (hi - lo)[part])
+            whose, j = whose[pool[j]], j[pool[j]]
+            ends = np.searchsorted(whose, whose, "right")
+            first, second = _spread(np.arange(1, len(j) + 1), ends - np.arange(1, len(j) + 1))
+            good = _fits(amounts[k][mine[whose[first]]], worth[j[first]] + worth[j[second]])
+            first, second = first[good], second[good]
+            for w, hits in in_turn(whose[first]):
+                x, y = j[first[hits]], j[second[hits]]
+                still = np.flatnonzero(pool[x] & pool[y])
+                if len(still) == 1:
+                    put(mine[w], [x[still[0]], y[still[0]]])
+    rows, _, lo, hi = waiting(0, 1)
+    for i, a, b in zip(rows.tolist(), lo.tolist(), hi.tolist()):
+        near = np.flatnonzero(free[1][a:b]) if b - a > 8 else [x for x in range(b - a) if free[1][a + x]]
+        if len(near) == 1:
+            take([i], [a + int(near[0])], "DATE_ONLY")
+    return out
 
 
 def connected(edges: DataFrame) -> DataFrame:

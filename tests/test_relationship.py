@@ -4,6 +4,8 @@ import datetime
 import random
 from itertools import combinations
 
+import pyarrow as pa
+
 from ledgerloom import queries as engine
 from ledgerloom.operators import relationship
 from ledgerloom.plans.components import labelled
@@ -63,3 +65,33 @@ def test_allocation_consumes_in_four_tiers(spark):
     want = [(k, *x) for k in range(40) for x in plain_allocation([r[1:] for r in left if r[0] == k], [r[1:] for r in right if r[0] == k], 7)]
     assert sorted((r["key"], r["statement_id"], r["sale_id"], r["kind"]) for r in found) == sorted(want)
     assert {x[3] for x in want} == {"ONE_TO_ONE", "ONE_TO_TWO", "TWO_TO_ONE", "DATE_ONLY"}
+
+
+def test_allocation_takes_keys_of_any_size_without_a_call_for_each(spark):
+    rng = random.Random(4)
+    day = lambda: datetime.date(2024, 4, 1) + datetime.timedelta(rng.randrange(20))
+    sizes = [rng.randrange(6) for _ in range(60)] + [60]  # the last key's windows hold most of its rows
+    rows = lambda base: [(k, base + 100 * k + i, day(), float(rng.randrange(1, 400) * 25)) for k, n in enumerate(sizes) for i in range(n)]
+    left, right = rows(0), rows(100000)
+    name = lambda x: [(None if r[0] == 7 else r[0], *r[1:]) for r in x]  # noqa: E731  # null is a key
+    frame = lambda x: spark.createDataFrame(name(x), "key long, id long, day date, amount double")
+    want = [(k, *x) for k in range(61) for x in plain_allocation([r[1:] for r in left if r[0] == k], [r[1:] for r in right if r[0] == k], 7)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        found = relationship.allocate(frame(left), frame(right), "key")
+        assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted((7 if r["key"] is None else r["key"], r["statement_id"], r["sale_id"], r["kind"]) for r in found.collect()) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_allocation_in_small_and_large_slices_is_the_same(monkeypatch):
+    rng = random.Random(5)
+    rows = sorted((k, side, rng.randrange(20), 1000 * side + 100 * k + i, float(rng.randrange(1, 400) * 25)) for k in range(9) for side in (0, 1) for i in range(rng.randrange(1, 25)))
+    table = pa.table({c: [r[n] for r in rows] for n, c in enumerate(("key", "side", "day", "id", "amount"))})
+    cuts = [0, *(i for i in range(1, len(rows)) if rows[i][0] != rows[i - 1][0]), len(rows)]
+    found = []
+    for at_once in (1, 7, 100, 1 << 20):
+        monkeypatch.setattr(relationship, "AT_ONCE", at_once)
+        found.append(relationship._allocated(table, cuts, 3))
+    assert found[0][2] and all(f == found[0] for f in found[1:])
