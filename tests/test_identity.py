@@ -124,3 +124,24 @@ def test_who_a_deductor_is(spark):
             "T8": ("C4", "EXACT", "SAVED_ALIAS", "C4"), "TA": (None, "UNMAPPED", "NONE", None), "TB": ("C8", "HIGH_CONFIDENCE", "FUZZY", "C8"), "TC": (None, "REVIEW_REQUIRED", "FUZZY", "C4"),
             "TD": (None, "UNMAPPED", "NONE", None), "TE": (None, "UNMAPPED", "NONE", None), "TF": (None, "UNMAPPED", "NONE", None), "TG": (None, "UNMAPPED", "NONE", None),
         }
+
+
+def test_deductors_of_one_name_are_weighed_once(spark, monkeypatch):
+    """Copies of a table's names: no task gets pairs of rows, and the candidates are those of plain loops."""
+    monkeypatch.setattr(identity, "TILE", 5)
+    some = names(random.Random(6), 12)
+    both = [(100 * c + k, name) for c in range(5) for k, name in enumerate(some)]
+    frame = spark.createDataFrame(both, "id long, name string")
+    for limit in (None, 7, 30):
+        found = identity.fuzzy_candidates(frame, frame, limit=limit, itself=False)
+        assert given(found) == candidates(both, both, limit, 5, False)
+        assert "windowspecdefinition(left_id" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_two_customers_of_the_best_name_leave_no_gap(spark):
+    """Also where only the first candidate is asked for: the second decides its status."""
+    frame = lambda rows: spark.createDataFrame(rows, "id long, name string")
+    for right in ([(1, "omega transport lines"), (2, "omega transport lines")], [(1, "omega transport lines"), (2, "omega transport line")]):
+        for limit in (None, 250):
+            (first,) = identity.fuzzy_candidates(frame([(9, "omega transport lines")]), frame(right), limit=limit, keep=1).collect()
+            assert (first["right_id"], first["status"]) == (1, "REVIEW_REQUIRED")
