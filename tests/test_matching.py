@@ -6,10 +6,12 @@ import time
 from collections import Counter
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.matching import Terms, nearest
+from ledgerloom.operators.matching import Scope, Terms, match_few, nearest
+from ledgerloom.plans.frames import statements
 from ledgerloom.plans.greedy import match, step_of
 from ledgerloom.plans.reconcile import CLASSES, full_reconciliation, sequenced
 
@@ -273,3 +275,29 @@ def test_nearest_amounts_of_many_parts(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     want = {x["id"]: min(abs(x["amount"] - y["amount"]) for y in s if y["customer"] == x["customer"]) for x in b}
     assert got == want
+
+
+def test_scopes_of_few_rows_match_as_arrays_do(spark):
+    """The steps over lists are those over arrays, whatever the terms."""
+    rng, seen = random.Random(9), set()
+    for _ in range(300):
+        unit, low = rng.choice([1, 37, 500, 100000]), rng.choice([0, -20])
+        some = lambda n: ([rng.randrange(low, 40) * unit + rng.randrange(3) for _ in range(n)], [rng.randrange(5) for _ in range(n)], [rng.randrange(-1, 3) for _ in range(n)])  # noqa: B023, E731
+        b, s = some(rng.randrange(1, 14)), some(rng.randrange(1, 24))
+        terms = Terms(pool=rng.choice([14, 5, 9]), group=rng.choice([6, 3]), scope=rng.choice([500, 10]), absolute=rng.choice([10.0, 0.5]), percent=rng.choice([1.0, 0.7]))
+        whole = Scope(tuple(map(np.array, b)), tuple(map(np.array, s)), terms)
+        whole.all_steps()
+        assert match_few(b, s, terms) == [(m, i.tolist(), j.tolist()) for m, i, j in whole.found]
+        seen |= {m for m, _, _ in whole.found}
+    assert len(seen) == 5
+
+
+def test_order_lines_move_once(spark, sf_dir):
+    plan = statements(spark, sf_dir)._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("RepartitionByExpression [l_orderkey") == 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = statements(spark, sf_dir)
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # the lines' and the orders'
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
