@@ -48,14 +48,18 @@ def tiered_assignment(exact: DataFrame, review: DataFrame, left: str, right: str
     return first.unionByName(unique_assignment(rest, left, right).withColumn("tier", F.lit("REVIEW")))
 
 
-def date_window(statements: DataFrame, sales: DataFrame, days: int, keys: list[str]) -> DataFrame:
+def date_window(statements: DataFrame, sales: DataFrame, days: int, keys: list[str], spread: str = "sales") -> DataFrame:
     """Pairs of one key whose days are at most ``days`` apart, by buckets of days.
 
-    statements, sales: (id, day, amount, *keys); back come s_ columns for sales.
+    statements, sales: (id, day, amount, *keys); back come s_ columns for sales.  spread: the side whose rows are put into
+    every bucket that their window touches, two at most, better the smaller one; the other side's rows are in one each.
     """
-    cell = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / max(1, days))
-    near = sales.select(*(F.col(c).alias(f"s_{c}") for c in ["id", "day", "amount", *keys]), cell(F.col("day")).alias("_there"))
-    probe = statements.withColumn("_cell", F.explode(F.array(cell(F.col("day")) - 1, cell(F.col("day")), cell(F.col("day")) + 1)))
+    width = 4 * max(1, days)
+    cell = lambda c, shift=0: F.floor((F.datediff(c, F.lit("1970-01-01").cast("date")) + shift) / width)
+    every = lambda c: F.explode(F.array_distinct(F.array(cell(c, -days), cell(c, days))))
+    of = lambda c, side: (every if spread == side else cell)(F.col(c))
+    near = sales.select(*(F.col(c).alias(f"s_{c}") for c in ["id", "day", "amount", *keys]), of("day", "sales").alias("_there"))
+    probe = statements.withColumn("_cell", of("day", "statements"))
     cond = F.col("_cell") == F.col("_there")
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"s_{k}"))
@@ -81,7 +85,7 @@ def review_candidates(statements: DataFrame, sales: DataFrame, days: int, keys:
 
 def pair_sums(statements: DataFrame, sales: DataFrame, days: int, keys: list[str]) -> DataFrame:
     """(statement_id, first_sale, second_sale): the only pair of sales in the window that adds up to the statement row."""
-    near = date_window(statements, sales, days, keys).select("id", "amount", "s_id", "s_amount")
+    near = date_window(statements, sales, days, keys, "statements").select("id", "amount", "s_id", "s_amount")
     other = near.select(F.col("id").alias("_id"), F.col("s_id").alias("t_id"), F.col("s_amount").alias("t_amount"))
     pairs = near.join(other, (F.col("id") == F.col("_id")) & (F.col("s_id") < F.col("t_id")))
     fits = pairs.filter(within_mutual_tolerance(F.col("amount"), (F.col("s_amount") + F.col("t_amount")).cast(MONEY)))

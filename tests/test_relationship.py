@@ -95,3 +95,18 @@ def test_allocation_in_small_and_large_slices_is_the_same(monkeypatch):
         monkeypatch.setattr(relationship, "AT_ONCE", at_once)
         found.append(relationship._allocated(table, cuts, 3))
     assert found[0][2] and all(f == found[0] for f in found[1:])
+
+
+def test_window_puts_the_spread_side_into_two_buckets_at_most(spark):
+    """Every pair within the window once, either side spread, days before 1970 too."""
+    day = lambda n: datetime.date(1969, 12, 1) + datetime.timedelta(n)
+    rng = random.Random(8)
+    some = lambda base: [(base + i, day(rng.randrange(200)), 1.0, rng.randrange(2)) for i in range(80)]
+    left, right = some(0), some(1000)
+    frame = lambda rows: spark.createDataFrame(rows, "id long, day date, amount double, k long")
+    for days in (0, 1, 7, 60):
+        want = sorted((x[0], y[0]) for x in left for y in right if x[3] == y[3] and abs((x[1] - y[1]).days) <= days)
+        for spread in ("statements", "sales"):
+            found = relationship.date_window(frame(left), frame(right), days, ["k"], spread)
+            assert sorted((r["id"], r["s_id"]) for r in found.select("id", "s_id").collect()) == want
+            assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
