@@ -25,3 +25,22 @@ def test_halves_of_balances_are_rounded_to_even(spark, sf_dir, tmp_path):
 
 def test_deductees_beyond_four_digits_are_kept_apart(spark, sf_dir, tmp_path):
     held_to_sql(spark, sf_dir, tmp_path, "statutory_ledger", {"lineitem": "REPLACE (100000 + l_suppkey AS l_suppkey)"})
+
+
+def test_parts_of_a_shuffle_grow_with_the_tables(spark, sf_dir, monkeypatch):
+    from ledgerloom.plans import frames
+
+    engine.QUERIES["duplicate_review"](spark, sf_dir)
+    least = int(spark.conf.get(frames.PARTS))
+    assert least == int(spark.conf.get("spark.sql.shuffle.partitions")) and spark.conf.get(frames.ADVISED) == frames.TASK_BYTES
+    monkeypatch.setitem(frames._bytes, "large", 100 * frames.PART_BYTES + 1)
+    frames.dealt_by_size(spark, "large")
+    assert int(spark.conf.get(frames.PARTS)) == 101
+    frames.dealt_by_size(spark, sf_dir)
+    assert int(spark.conf.get(frames.PARTS)) == least
+    spark.conf.set(frames.PARTS, "77")  # the session's own number stays
+    try:
+        frames.dealt_by_size(spark, "large")
+        assert spark.conf.get(frames.PARTS) == "77"
+    finally:
+        spark.conf.unset(frames.PARTS)
