@@ -43,7 +43,7 @@ def compact_name(c: Column) -> Column:
 
 
 def normalize_code(c: Column) -> Column:
-    return F.upper(F.regexp_replace(c, r"\s+", ""))
+    return F.upper(F.translate(c, " \t\n\x0b\f\r", ""))
 
 
 def split_list(c: Column) -> Column:

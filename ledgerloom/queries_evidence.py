@@ -30,9 +30,11 @@ _RAW_BOOKS = f"""SELECT o_orderkey AS row_no, {_case('o_orderkey', ["' '", "'V'
   {_case('o_orderkey', ["'' || cast(o_totalprice AS DECIMAL(18,2))", "'0.00'", "NULL"], 7)} AS debit_amount, {_case('o_orderkey', ["'5.00'", "'(3.00)'", "''"], 5)} AS credit_amount, o_orderdate AS day FROM orders"""
 
 
-def _raw(spark, d: str, table: str, sql: str, *missing: str) -> DataFrame:
-    """The rows of the SQL over the table, with further columns that hold nothing."""
-    rows = spark.sql(sql.replace(f"FROM {table}", "FROM {t}"), t=load(spark, d, table))
+def _raw(spark, d: str, table: str, sql: str, *missing: str, dealt: str | None = None) -> DataFrame:
+    """The rows of the SQL over the table, with further columns that hold nothing; dealt by an expression, so that what
+    groups them by it moves the table's own short values and not the texts made of them."""
+    given = load(spark, d, table)
+    rows = spark.sql(sql.replace(f"FROM {table}", "FROM {t}"), t=given.repartition(F.expr(dealt)) if dealt else given)
     return rows.withColumns({c: F.lit(None).cast("string") for c in missing})
 
 
@@ -82,7 +84,7 @@ SELECT row_no, coalesce(statement_id, 'SYS-26AS-' || lpad(i::VARCHAR, greatest(4
   tax_deducted::DECIMAL(18,2) AS tax_deducted, try_cast(nullif(tds_deposited, '') AS DECIMAL(18,2)) AS tds_deposited, tds_deposited != '12.50' AS deposited_not_reported, coalesce(nullif(upper(trim(status)), '')[1], 'F') AS status, '194C' AS section,
   {fy_sql('day::DATE')} AS financial_year FROM n""", decimals="tax_deducted tds_deposited")
 def normalize_statement(spark, d):
-    raw = _raw(spark, d, "lineitem", _RAW_STATEMENT, "deductor_pan", "financial_year").withColumn("transaction_date", F.date_format("day", "yyyy/M/d"))
+    raw = _raw(spark, d, "lineitem", _RAW_STATEMENT, "deductor_pan", "financial_year", dealt="l_orderkey * 10 + l_linenumber").withColumn("transaction_date", F.date_format("day", "yyyy/M/d"))
     first = raw.groupBy("row_no").agg(F.min_by(F.struct(*(c for c in raw.columns if c != "row_no")), F.struct("amount_paid", "tax_deducted", "day", "tan")).alias("r")).select("row_no", "r.*")
     return normalise.statement(first).select("row_no", "statement_id", "tan", "deductor_name_norm", "tax_deducted", "tds_deposited", "deposited_not_reported", "status", "section", "financial_year")
 
