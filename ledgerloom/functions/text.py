@@ -22,7 +22,7 @@ def first_value(*columns: Column) -> Column:
 
 def header_key(c: Column) -> Column:
     """A header as a key: without byte-order mark, lower case, everything but letters and digits one underscore."""
-    plain = F.lower(F.regexp_replace(F.regexp_replace(c, "﻿", ""), r"[\x00-\x1f]", " "))
+    plain = F.lower(F.replace(c, F.lit("﻿"), F.lit("")))
     return F.btrim(F.regexp_replace(plain, "[^a-z0-9]+", "_"), F.lit("_"))
 
 

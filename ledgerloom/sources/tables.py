@@ -47,13 +47,15 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     bytes_ = F.col("value").cast("binary")
     latin = F.decode(bytes_, "ISO-8859-1")
     start = F.min_by(F.hex(F.substring(bytes_, 1, 64)), F.struct("file", "block", "at"))
-    r = raw.agg(start.alias("start"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(latin.rlike(CP1252_LACKS)).alias("lacks")).first()
+    r = raw.agg(start.alias("start"), F.bool_and(F.is_valid_utf8("value")).alias("utf8")).first()
     pairs = [(r["start"] or "")[k : k + 2] for k in range(0, len(r["start"] or ""), 2)]
     if pairs[:2] == ["FF", "FE"] or (len(pairs) > 3 and pairs[1::2].count("00") > len(pairs) // 3):
         return "UTF-16LE"
     if pairs[:2] == ["FE", "FF"] or (len(pairs) > 3 and pairs[::2].count("00") > len(pairs) // 3):
         return "UTF-16BE"
-    return "UTF-8" if r["utf8"] is not False else "ISO-8859-1" if r["lacks"] else "cp1252"
+    if r["utf8"] is not False:
+        return "UTF-8"
+    return "ISO-8859-1" if raw.agg(F.bool_or(latin.rlike(CP1252_LACKS))).first()[0] else "cp1252"
 
 
 def _decoded(value: Column, encoding: str) -> Column:
@@ -75,7 +77,7 @@ def lines(spark: SparkSession, path: str, encoding: str | None = None) -> DataFr
     blocks = text.groupBy("file", "block").agg(F.count("*").alias("_size"), F.min("at").alias("_first"))
     before = F.sum("_size").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     blocks = blocks.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
-    return text.join(blocks, ["file", "block"]).select("file", "block", (F.col("at") + F.col("_shift")).alias("row_no"), _decoded(F.col("value"), encoding).alias("value"))
+    return text.join(F.broadcast(blocks), ["file", "block"]).select("file", "block", (F.col("at") + F.col("_shift")).alias("row_no"), _decoded(F.col("value"), encoding).alias("value"))
 
 
 #: Lines that one record may have; more mean that a quote never ends.
@@ -92,13 +94,17 @@ def records(text: DataFrame, delimiter: str) -> DataFrame:
 
     Whether a line starts inside quotes depends on all lines before it.  A line maps the state before it to the one after
     it: it keeps it, turns it, or sets it.  So the state is that of the last line that sets it, turned as often as lines
-    since then turn it: sums over a split's lines, and the same once more over the splits.
+    since then turn it: sums over a split's lines, and the same once more over the splits.  The splits come first, from
+    numbers alone; then the lines at a split's start that go on with a record are dealt to the split where it begins, so
+    that every group of lines starts outside quotes and holds whole records, and texts move once.
     """
     d = "\\" + delimiter if delimiter == "|" else delimiter
     value, cells = F.col("value"), f"{_cell(d)}(?:{d}{_cell(d)})*+"
-    from_out = ~value.rlike(rf"(?s)\A{cells}\z")
-    from_in = ~value.rlike(rf'(?s)\A(?:[^"]++|"")*+"[^{d}]*+(?:{d}{cells})?\z')
-    rows = text.withColumns({"_set": F.when(from_out == from_in, from_out.cast("int")), "_turn": (from_out & ~from_in).cast("int")})
+    quoted = value.contains('"')  # a line without a quote keeps the state
+    from_out = quoted & ~value.rlike(rf"(?s)\A{cells}\z")
+    from_in = ~(quoted & value.rlike(rf'(?s)\A(?:[^"]++|"")*+"[^{d}]*+(?:{d}{cells})?\z'))
+    rows = text.select("file", "block", "row_no", "value", from_out.alias("_out"), from_in.alias("_into"))
+    rows = rows.withColumns({"_set": F.when(F.col("_out") == F.col("_into"), F.col("_out").cast("int")), "_turn": (F.col("_out") & ~F.col("_into")).cast("int")})
 
     def state(rows: DataFrame, by: list[str], order: str, start: Column) -> DataFrame:
         """Adds _in, the state before a row."""
@@ -109,28 +115,34 @@ def records(text: DataFrame, delimiter: str) -> DataFrame:
         known = (F.col("_last._set") + F.col("_so_far") - F.col("_last._turns")) % 2
         return turns.withColumn("_in", F.when(F.col("_last").isNotNull(), known).otherwise((start + F.col("_so_far")) % 2))
 
-    own = state(rows, ["file", "block"], "row_no", F.lit(0))
-    # a split sets the state if any of its lines does
+    own = state(rows.select("file", "block", "row_no", "_set", "_turn"), ["file", "block"], "row_no", F.lit(0))
+    # a split sets the state if any of its lines does; its lines outside quotes if it starts outside, and if inside
     last = F.max_by(F.struct("_set", "_turns"), F.when(F.col("_set").isNotNull(), F.col("row_no")))
-    splits = own.groupBy("file", "block").agg(last.alias("_l"), F.sum("_turn").alias("_all"))
-    splits = splits.select("file", "block", ((F.col("_l._set") + F.col("_all") - F.col("_l._turns")) % 2).alias("_set"), F.when(F.col("_l").isNull(), F.col("_all") % 2).otherwise(0).alias("_turn"))
-    splits = state(splits, ["file"], "block", F.lit(0)).select("file", "block", F.col("_in").alias("_start"))
-    known = own.join(splits, ["file", "block"]).withColumn("_in", F.when(F.col("_last").isNotNull(), F.col("_in")).otherwise((F.col("_in") + F.col("_start")) % 2))
-    known = known.withColumn("_after", F.when(F.col("_set").isNotNull(), F.col("_set")).otherwise((F.col("_in") + F.col("_turn")) % 2))
-    plain = known.filter("_in = 0 and _after = 0").select("file", "row_no", "value")
-    # the lines of longer records: a start is inside afterwards only, and every line belongs to the last start before it
-    parts = known.filter("_in = 1 or _after = 1").withColumn("_starts", F.when(F.col("_in") == 0, F.col("row_no")))
-    here = Window.partitionBy("file", "block").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    parts = parts.withColumn("_of", F.last("_starts", ignorenulls=True).over(here))
-    starts = parts.groupBy("file", "block").agg(F.max("_starts").alias("_s"))
-    starts = starts.select("file", "block", F.last("_s", ignorenulls=True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    parts = parts.join(starts, ["file", "block"]).withColumn("_of", F.coalesce("_of", "_before"))
-    ends = parts.groupBy("file", "_of").agg(F.count("*").alias("_n"), F.max_by("_after", "row_no").alias("_open"))
-    bad = F.raise_error(F.concat(F.lit("a quote in line "), F.col("_of").cast("string"), F.lit(" never ends")))
-    checked = ends.select("file", "_of", F.when((F.col("_n") > MOST_LINES) | (F.col("_open") == 1), bad).otherwise(F.lit(True)).alias("_ok"))
-    parts = parts.join(checked, ["file", "_of"]).filter("_ok")
-    whole = parts.groupBy("file", F.col("_of").alias("row_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "value"))), lambda x: x["value"]), "\n").alias("value"))
-    return plain.unionByName(whole.select("file", "row_no", "value"))
+    outside = {k: F.when(F.when(F.col("_last").isNotNull(), F.col("_in")).otherwise((F.col("_in") + k) % 2) == 0, F.col("row_no")) for k in (0, 1)}
+    ends = [f(outside[k]).alias(f"{name}{k}") for k in (0, 1) for name, f in (("_first", F.min), ("_final", F.max))]
+    splits = own.groupBy("file", "block").agg(last.alias("_l"), F.sum("_turn").alias("_all"), F.max("row_no").alias("_to"), *ends)
+    splits = splits.withColumns({"_set": (F.col("_l._set") + F.col("_all") - F.col("_l._turns")) % 2, "_turn": F.when(F.col("_l").isNull(), F.col("_all") % 2).otherwise(0)})
+    splits = state(splits, ["file"], "block", F.lit(0))
+    first, final = (F.when(F.col("_in") == 0, F.col(f"{c}0")).otherwise(F.col(f"{c}1")) for c in ("_first", "_final"))
+    splits = splits.select("file", "block", "_to", first.alias("_first"), final.alias("_final"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.col("_first").isNotNull()
+    splits = splits.select("file", "block", "_to", "_first", F.last(F.when(starts, F.col("block")), ignorenulls=True).over(before).alias("_home"), F.max("_final").over(before).alias("_of"))
+    bad = lambda of: F.raise_error(F.concat(F.lit("a quote in line "), of.cast("string"), F.lit(" never ends")))
+    too_long = F.coalesce(F.coalesce(F.col("_first") - 1, F.col("_to")) - F.col("_of") >= MOST_LINES, F.lit(False))
+    splits = splits.select("file", "block", "_first", F.when(too_long, bad(F.col("_of"))).otherwise(F.col("_home")).alias("_home"))
+    goes_on = F.col("_first").isNull() | (F.col("row_no") < F.col("_first"))
+    dealt = rows.join(F.broadcast(splits), ["file", "block"]).select("file", F.when(goes_on, F.col("_home")).otherwise(F.col("block")).alias("_home"), "row_no", "value", "_set", "_turn")
+    by = ["file", "_home"]
+    known = state(dealt, by, "row_no", F.lit(0)).withColumn("_after", F.when(F.col("_set").isNotNull(), F.col("_set")).otherwise((F.col("_in") + F.col("_turn")) % 2))
+    # the lines of a record follow the last one that starts outside
+    here = Window.partitionBy(*by).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    known = known.select(*by, "row_no", "value", "_after", F.last(F.when(F.col("_in") == 0, F.col("row_no")), ignorenulls=True).over(here).alias("_of"))
+    known = known.withColumn("_of", F.when(F.col("row_no") - F.col("_of") >= MOST_LINES, bad(F.col("_of"))).otherwise(F.col("_of")))
+    lines_ = F.array_sort(F.collect_list(F.struct("row_no", "value", "_after")))
+    whole = known.groupBy(*by, F.col("_of").alias("row_no")).agg(lines_.alias("_lines"))
+    joined = F.array_join(F.transform("_lines", lambda x: x["value"]), "\n")
+    return whole.select("file", "row_no", F.when(F.element_at("_lines", -1)["_after"] == 1, bad(F.col("row_no"))).otherwise(joined).alias("value"))
 
 
 def sniff_delimiter(head: list[str]) -> str:
@@ -193,7 +205,7 @@ def canonical(grid: DataFrame, kind: str, raw: bool = False) -> DataFrame:
     places = header_mapping(keys, kind)
     cell_keys = F.transform("cells", header_key)
     headers = grid.filter((F.col("row_no") <= PREVIEW) & (cell_keys == F.array(*map(F.lit, keys)))).groupBy("file").agg(F.min("row_no").alias("_head"))
-    rows = grid.join(headers, "file").filter(F.col("row_no") > F.col("_head")).filter(F.exists("cells", lambda c: c != ""))
+    rows = grid.join(F.broadcast(headers), "file").filter(F.col("row_no") > F.col("_head")).filter(F.exists("cells", lambda c: c != ""))
     first = F.get(F.filter(cell_keys, lambda k: k != ""), F.lit(0))
     rows = rows.filter(~F.coalesce(is_footer(first, cell_keys, F.array(*(F.lit(k) for k in keys if k))), F.lit(False)))
     cell = lambda c: F.get("cells", F.lit(places[c])) if c in places else F.lit(None).cast("string")

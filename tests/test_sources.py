@@ -69,6 +69,25 @@ def test_a_quote_that_never_ends_is_refused(spark, tmp_path):
         tables.read_delimited(spark, str(tmp_path / "b.csv"), "books").collect()
 
 
+@pytest.mark.parametrize("split", ["8b", "64b", "1m"])
+def test_records_move_their_lines_once_and_have_a_length_at_most(spark, tmp_path, monkeypatch, split):
+    monkeypatch.setattr(tables, "MOST_LINES", 6)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        (tmp_path / "b.csv").write_text('a,b\n1,"x\n\n""y\n\n\nz"\n2,v\n')
+        whole = tables.records(tables.lines(spark, str(tmp_path / "b.csv")), ",")
+        assert sorted((r["row_no"], r["value"]) for r in whole.collect()) == [(1, "a,b"), (2, '1,"x\n\n""y\n\n\nz"'), (8, "2,v")]
+        plan = whole._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert plan.count("FileScan text") + plan.count("Scan text") <= 8  # both ways of writing it, for lines and their counts, twice
+        (tmp_path / "b.csv").write_text('a,b\n1,"x\n\n\n\n\n\nz"\n2,v\n')
+        with pytest.raises(Exception, match="a quote in line 2 never ends"):
+            tables.records(tables.lines(spark, str(tmp_path / "b.csv")), ",").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_random_quotes_against_a_plain_reader(spark, tmp_path):
     rng = random.Random(3)
     cell = lambda: "".join(rng.choice(['"', ",", "\n", "a", "b ", '""', "é"]) for _ in range(rng.randrange(6)))
