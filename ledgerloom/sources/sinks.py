@@ -62,15 +62,17 @@ def append_version(rows: DataFrame, path: str, spark: SparkSession) -> int:
     return version
 
 
-def content_digest(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+def content_digest(rows: DataFrame, by: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """(by, digest, rows): a SHA-256 over all rows, whatever their order and layout; null, text and numbers are told apart.
 
     Rows' digests meet by their first letters, two fewer in each step, so no list is longer than what 256 hands on.
+    parts: of the shuffles of all rows, where adaptive execution, which would choose them, is off.
     """
     by = by or []
     columns = [c for c in sorted(rows.columns) if c not in by]
     row = F.sha2(F.to_json(F.struct(*(F.col(c).alias(c) for c in columns)), {"ignoreNullFields": "false"}), 256)
-    level = rows.groupBy(*by, row.alias("d")).agg(F.count("*").alias("n"))
+    level = rows.select(*by, row.alias("d"))
+    level = (level.repartition(parts, *by, "d") if parts else level).groupBy(*by, "d").agg(F.count("*").alias("n"))
     level = level.select(*by, F.sha2(F.concat_ws(":", "d", F.col("n").cast("string")), 256).alias("d"), "n")
     most = level.groupBy(*by).agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0
     letters = 0
@@ -78,7 +80,9 @@ def content_digest(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
         letters += 2
     while True:
         joined = F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ","), 256)
-        level = level.groupBy(*by, F.left("d", F.lit(letters)).alias("_at") if letters else F.lit("").alias("_at")).agg(joined.alias("d"), F.sum("n").alias("n"))
+        level = level.withColumn("_at", F.left("d", F.lit(letters)) if letters else F.lit(""))
+        level = level.repartition(parts, *by, "_at") if parts else level
+        level, parts = level.groupBy(*by, "_at").agg(joined.alias("d"), F.sum("n").alias("n")), None  # later levels are a part of this one
         level = level.select(*by, F.concat("_at", "d").alias("d"), "n")
         if not letters:
             return level.select(*by, F.col("d").alias("digest"), F.col("n").alias("rows"))

@@ -8,9 +8,13 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import AtomicType
 
 from ..sources import sinks
 
+#: Rows of a stream's batch that one task holds, about.
+TASK_ROWS = 200_000
+
 
 def event_stream(spark: SparkSession, folder: str, files_at_once: int = 100) -> DataFrame:
     schema = spark.read.parquet(folder).schema
@@ -54,8 +58,10 @@ class Register:
         job with other rows is refused, with all that came along.
         """
         known = self.entries()
+        # a batch of a stream runs without adaptive execution, so the number of a shuffle's parts must be given
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
         # a row for each job of one call
-        found = {r[job_col]: r["digest"] for r in sinks.content_digest(rows, [job_col]).collect()}
+        found = {r[job_col]: r["digest"] for r in sinks.content_digest(rows, [job_col], parts).collect()}
         changed = sorted(j for j, d in found.items() if known.get(j, d) != d)
         if changed:
             raise ValueError(f"taken before with other rows: {', '.join(changed)}")
@@ -66,7 +72,9 @@ class Register:
                 taken.add(digest)
         if new:
             digests = self.spark.createDataFrame(list(new.items()), "job string, source string")
-            brought = rows.join(digests, rows[job_col] == digests["job"]).drop("job", job_col)
+            brought = rows.join(F.broadcast(digests), rows[job_col] == digests["job"]).drop("job", job_col)
+            # a task sorts its rows by source: dealt by what they hold, so that no file makes a task large
+            brought = brought.repartition(parts, "source", *(f.name for f in brought.schema if isinstance(f.dataType, AtomicType)))
             brought.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(f"{self.path}/rows")
             for job, digest in new.items():
                 name = hashlib.sha256(job.encode()).hexdigest()
@@ -77,7 +85,7 @@ class Register:
     def rows(self) -> DataFrame:
         """What registered jobs brought, each row once."""
         digests = self.spark.createDataFrame([(d,) for d in sorted(set(self.entries().values()))], "source string")
-        return self.spark.read.option("basePath", f"{self.path}/rows").parquet(f"{self.path}/rows").join(digests, "source", "left_semi")
+        return self.spark.read.option("basePath", f"{self.path}/rows").parquet(f"{self.path}/rows").join(F.broadcast(digests), "source", "left_semi")  # a source's rows stay where they are
 
 
 def ingest_once(stream: DataFrame, register: Register, checkpoint: str) -> StreamingQuery:

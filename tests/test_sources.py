@@ -219,3 +219,15 @@ def test_a_stream_without_its_checkpoint_takes_nothing_twice(spark, tmp_path):
     # rows that were written but never registered are not seen
     spark.range(5).withColumn("source", F.lit("x")).write.mode("append").partitionBy("source").parquet(f"{register.path}/rows")
     assert register.rows().count() == 16
+
+
+def test_a_streams_tasks_do_not_grow_with_its_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "TASK_ROWS", 100)
+    folder, register = str(tmp_path / "in"), ingest.Register(spark, str(tmp_path / "out"))
+    spark.range(1000).withColumn("m", F.create_map(F.lit("a"), F.col("id"))).coalesce(1).write.parquet(folder)
+    for state in ("one", "two"):
+        ingest.ingest_once(ingest.event_stream(spark, folder), register, str(tmp_path / state)).awaitTermination(90)
+    assert sorted(r["id"] for r in register.rows().collect()) == list(range(1000)) and len(register.entries()) == 1
+    assert len(register.rows().inputFiles()) > 4  # one task for all rows of a file wrote one
+    plan = register.rows()._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
