@@ -15,12 +15,13 @@ def tiered_candidates(rows: DataFrame, ledger: DataFrame, tiers: list[tuple[str,
     Every tier (label, column of rows, column of ledger) is an equi-join.
     """
     parts = []
-    for i, (label, a, b) in enumerate(tiers):
+    for i, (_, a, b) in enumerate(tiers):
         x = rows.select(F.col("id").alias("row_id"), F.col(a).alias("_k")).filter("_k is not null")
-        parts.append(x.join(ledger.select(F.col("id").alias("ledger_id"), F.col(b).alias("_k")), "_k").select("row_id", "ledger_id", F.lit(i).alias("_t"), F.lit(label).alias("tier")))
-    union = reduce(DataFrame.unionByName, parts).distinct()
+        parts.append(x.join(ledger.select(F.col("id").alias("ledger_id"), F.col(b).alias("_k")), "_k").select("row_id", "ledger_id", F.lit(i).alias("_t")))
+    union = reduce(DataFrame.unionByName, parts).repartition("row_id").distinct()  # dealt once for both steps
     first = F.min("_t").over(Window.partitionBy("row_id"))
-    return union.withColumn("_first", first).filter("_t = _first").drop("_t", "_first")
+    tier = F.get(F.array(*(F.lit(label) for label, _, _ in tiers)), F.col("_t")).alias("tier")
+    return union.withColumn("_first", first).filter("_t = _first").select("row_id", "ledger_id", tier)
 
 
 def confirmed(candidates: DataFrame) -> DataFrame:

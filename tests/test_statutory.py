@@ -215,3 +215,13 @@ def test_names_of_sales_and_deductors_match_loops(spark):
     found = dict(map(tuple, t.select("id", evidence.sales_review(F.col("sales"), F.col("statement"))).collect()))
     want = {i: review(*p) for i, p in enumerate(pairs)}
     assert found == want and set(want.values()) == {"EMBEDDED_DEDUCTOR_NAME_VARIANT", "PARTIAL_NORMALIZED_SALES_NAME", None}
+
+
+def test_order_lines_are_moved_once_for_an_audit_of_returns(spark, sf_dir):
+    """The keys of both sides are made once; candidates are dealt once for their distinct rows and their tiers."""
+    from ledgerloom.queries import QUERIES
+
+    plan = QUERIES["missing_in_return"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "part.parquet" not in plan
+    tiers = QUERIES["tiered_candidates"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert tiers.count("Exchange hashpartitioning(row_id") == 1
