@@ -46,10 +46,10 @@ TOP, MOST_WEIGHTS, ROUNDS = 1 << 18, 1 << 24, 3
 STEP, SMOOTH = 0.7, 512.0
 #: Weights are kept within LIMIT, so that no exponential overflows.
 LIMIT = 20.0
-#: Bytes of text that are encoded at once, tokens that are scored at once, buckets that travel as one row.
-AT_ONCE, TOKENS, BLOCK = 1 << 20, 1 << 13, 64
-#: Rows for one place that are added by turns; what is left is summed in runs.
-TURNS = 6
+#: Bytes of text that are encoded at once, probabilities that are added and that are made at once, buckets that travel as one row.
+AT_ONCE, ADDED, MADE, BLOCK = 1 << 20, 1 << 20, 1 << 15, 64
+#: Rows for one place that are added by turns; more are summed in runs of so many.
+TURNS, RUN = 6, 32
 #: The end of a text, and what stands before its first token.
 END, START = np.uint64(0), np.uint64(1)
 _SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
@@ -134,7 +134,8 @@ class Model:
         cls = class_of(own, self.classes)
         if not len(self.keys):
             return np.zeros(len(own), bool), np.zeros(len(own), np.int64), cls, np.where(cls > 0, self.other, 0)
-        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        different, of = np.unique(own, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, different), len(self.keys) - 1)[of]
         known = self.keys[at] == own
         return known, np.where(known, self.counts[at], 0), cls, np.where(known, self.heads[at], np.where(cls > 0, self.other, 0))
 
@@ -150,31 +151,67 @@ class Model:
             inner = mix64(raw + cls.astype(np.uint64) * _SALTS[3])
         return [(x % np.uint64(self.buckets)).astype(np.int64) for x in (raw, inner)]
 
+    def exponentials(self, level: int, features: np.ndarray, cls: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """(which tokens, what their outcomes' probabilities are proportional to, the sums of that), some at a time, so that
+        a processor's cache holds their rows; a row is overwritten by the next ones."""
+        w, n = self.weights[level], max(16, MADE // self.classes)
+        x, more = np.empty((2, min(n, len(cls)), self.classes), np.float32)
+        ones = np.ones(self.classes, np.float32)
+        for at in range(0, len(cls), n):
+            part = slice(at, min(at + n, len(cls)))
+            own, other = x[: part.stop - at], more[: part.stop - at]
+            np.take(w, features[0][part], axis=0, out=own, mode="clip")  # no place is outside; the other modes copy twice
+            for f in features[1:]:
+                own += np.take(w, f[part], axis=0, out=other, mode="clip")
+            own += np.take(self.prior_head, cls[part], axis=0, out=other, mode="clip") if level else self.prior
+            np.exp(own, out=own)
+            yield part, own, own @ ones
+
     def probabilities(self, level: int, features: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """P(class | history) at level 0, P(head | class, history) at level 1, a row for each token."""
-        w = self.weights[level]
-        x = w[features[0]]
-        x += w[features[1]]
-        x += w[features[2]]
-        x += self.prior_head[cls] if level else self.prior
-        np.exp(x, out=x)
-        x /= x.sum(1, keepdims=True)
-        return x
+        out = np.empty((len(cls), self.classes), np.float32)
+        for part, x, total in self.exponentials(level, features, cls):
+            np.multiply(x, (1 / total)[:, None], out=out[part])
+        return out
+
+    def log_probability(self, level: int, features: np.ndarray, cls: np.ndarray, outcome: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each token's own outcome."""
+        out = np.empty(len(cls))
+        for part, x, total in self.exponentials(level, features, cls):
+            out[part] = np.log10(x[np.arange(len(x)), outcome[part]] / total)
+        return out
 
 
 def _add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """total[at] += rows, where places repeat: each place's first few rows by turns, what is left as sums of runs."""
+    """total[at] += rows, where places repeat: the rows of a place are added up first, few by turns, many as products of
+    short runs with the matrix that says which row is whose, whose results are rows for the same places."""
     by = np.argsort(at.astype(np.uint16) if len(total) <= 1 << 16 else at, kind="stable")  # short numbers sort in linear time
     place = at[by]
     start = np.flatnonzero(np.diff(place, prepend=-1))
-    turn = np.arange(len(place)) - np.repeat(start, np.diff(start, append=len(place)))
-    for k in range(TURNS):
-        own = np.flatnonzero(turn == k)
-        total[place[own]] += rows[by[own]]
-    own = np.flatnonzero(turn >= TURNS)
+    length = np.diff(start, append=len(place))
+    few = start[length <= TURNS]
+    if len(few):
+        sums, n = np.take(rows, by[few], axis=0, mode="clip"), length[length <= TURNS]
+        for k in range(1, n.max()):
+            own = np.flatnonzero(n > k)
+            sums[own] += np.take(rows, by[few[own] + k], axis=0, mode="clip")
+        sums += np.take(total, place[few], axis=0, mode="clip")
+        total[place[few]] = sums
+    own = np.flatnonzero(np.repeat(length > TURNS, length))
     if len(own):
-        start = np.flatnonzero(np.diff(place[own], prepend=-1))
-        total[place[own[start]]] += np.add.reduceat(rows[by[own]], start, axis=0)
+        runs = -(-len(own) // RUN)
+        held = np.zeros((runs * RUN, rows.shape[1]), rows.dtype)
+        np.take(rows, by[own], axis=0, out=held[: len(own)], mode="clip")
+        new = np.diff(place[own], prepend=-1) != 0
+        new[::RUN] = True
+        first = np.flatnonzero(new)
+        of = np.cumsum(new) - 1  # counts the pairs of a run and a place
+        rank = of - np.repeat(of[::RUN], RUN)[: len(of)]
+        whose = np.zeros((runs, rank.max() + 1, RUN), rows.dtype)
+        i = np.arange(len(own))
+        whose[i // RUN, rank, i % RUN] = 1
+        sums = whose @ held.reshape(runs, RUN, -1)
+        _add_rows(total, place[own[first]], sums[first // RUN, rank[first]])
 
 
 def _gradient(model):
@@ -187,8 +224,9 @@ def _gradient(model):
                 own, lengths = tokens(texts[i:j])
                 _, _, cls, head = m.find(own)
                 features = m.features(own, lengths, cls)
-                for at in range(0, len(own), TOKENS):
-                    part = slice(at, at + TOKENS)
+                step = max(16, ADDED // m.classes)
+                for at in range(0, len(own), step):
+                    part = slice(at, at + step)
                     for level, outcome in enumerate((cls, head)):
                         f = features[level][:, part]
                         p = m.probabilities(level, f, cls[part])
@@ -246,12 +284,7 @@ def _scorer(model):
                 own, lengths = tokens(texts[i:j])
                 known, count, cls, head = m.find(own)
                 features = m.features(own, lengths, cls)
-                logs = np.empty(len(own))
-                for at in range(0, len(own), TOKENS):
-                    part = slice(at, at + TOKENS)
-                    every = np.arange(len(cls[part]))
-                    p = m.probabilities(0, features[0][:, part], cls[part])[every, cls[part]]
-                    logs[part] = np.log10(p) + np.log10(m.probabilities(1, features[1][:, part], cls[part])[every, head[part]])
+                logs = m.log_probability(0, features[0], cls, cls) + m.log_probability(1, features[1], cls, head)
                 frequency = np.where(known, np.log10(count + 0.5), 0)  # of others it is added when their counts are known
                 logs += np.where((head == m.other) & (cls > 0), frequency - m.among[cls], 0)
                 seen = known | (cls == 0)

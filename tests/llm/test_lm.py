@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -140,3 +141,28 @@ def test_only_the_base_counts_of_words_that_do_not_travel(docs, odd):
     for table in (docs, odd):
         rows = [{repr(r["doc_id"]): (r["n_known"], round(r["base_score"], 4)) for r in lm.score(table, top=n).collect()} for n in (50, 10**6)]
         assert rows[0].keys() == rows[1].keys() and all(rows[0][k][0] == v[0] and abs(rows[0][k][1] - v[1]) < 2e-3 for k, v in rows[1].items())
+
+
+def test_probabilities_are_made_few_at_once():
+    rng = np.random.default_rng(1)
+    classes, buckets, n = 64, 128, 3 * lm.MADE // 64 + 5
+    model = lm.Model(pd.DataFrame({"h": rng.integers(2, 1 << 62, 500), "n": 3, "head": -1}), pd.DataFrame({"cls": [1], "n": [9], "v": [3]}), classes, buckets)
+    model.weights = [rng.normal(size=w.shape).astype(np.float32) for w in model.weights]
+    features, cls, outcome = rng.integers(0, buckets, (3, n)), rng.integers(1, classes, n), rng.integers(0, classes, n)
+    sizes = [x.size for _, x, _ in model.exponentials(0, features, cls)]
+    assert sum(sizes) == n * classes and max(sizes) <= lm.MADE
+    w = model.weights[0].astype(np.float64)
+    want = np.exp(w[features].sum(0) + model.prior)
+    want /= want.sum(1, keepdims=True)
+    assert np.allclose(model.probabilities(0, features, cls), want, atol=1e-6)
+    assert np.allclose(model.log_probability(0, features, cls, outcome), np.log10(want[np.arange(n), outcome]), atol=1e-4)
+
+
+def test_rows_of_frequent_places_add_up():
+    rng = np.random.default_rng(2)
+    for places, n in ((1, 5000), (7, 1), (300, 5000), (1 << 17, 5000), (40, 0)):
+        at, rows = np.minimum(rng.zipf(1.2, n), places) - 1, rng.random((n, 16)).astype(np.float32)
+        want, got = np.ones((places, 16)), np.ones((places, 16), np.float32)
+        np.add.at(want, at, rows)
+        lm._add_rows(got, at, rows)
+        assert np.allclose(got, want, rtol=1e-5)
