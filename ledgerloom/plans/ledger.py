@@ -41,6 +41,8 @@ RULE_OPTIONAL = {
     "historical_section": "string", "priority": "int", "rate": MONEY, "no_pan_rate": MONEY, "per_transaction": MONEY, "aggregate": MONEY, "threshold": MONEY, "threshold_type": "string", "excess_only": "boolean",
     "basis": "string", "base_field": "string", "rounding_precision": "int", "rounding_method": "string",
 }
+#: What the threshold and the rounding read of a rule.
+TERMS = ("per_transaction", "aggregate", "threshold", "threshold_type", "excess_only", "rounding_method", "rounding_precision")
 #: Columns that say something of a contractor's control.
 CONTROL = tuple(c for c in OPTIONAL if c.startswith(("residency_s", "residency_r", "payer_s", "payer_r", "exception_", "personal_", "carriage_", "material_")))
 
@@ -67,12 +69,12 @@ def ruled(payments: DataFrame, rules: DataFrame, last_day_of_old: str) -> DataFr
         "act": F.when(law != "LAW_NOT_DETERMINABLE", law), "event_date": F.least("credit_date", "payment_date"), "nature": statutory.payment_nature(F.col("payment_nature")),
         "residency": statutory.residency(F.col("residency_given"), F.col("residency_status")), "pan": F.col("deductee_pan"),
     })
-    t = kept(statutory.select_statutory(t, rules))  # many conditions read the rule: it is chosen once
+    t = statutory.select_statutory(t, rules)
     row = {c: F.col(c) for c in t.columns}
     rate, source = statutory.determined_rate(F.col("rule"), row, F.col("event_date"))
     fits, why = statutory.contractor_applicability(row)
     supplied = _either(blank_to_null(F.col("control_contract")).isNotNull(), *(F.col(c).isNotNull() for c in CONTROL))
-    return kept(t.withColumns({"_rate": rate, "_rate_source": source, "_fits": fits, "_why": why, "_supplied": supplied}))
+    return t.withColumns({"_rate": rate, "_rate_source": source, "_fits": fits, "_why": why, "_supplied": supplied})
 
 
 def _threshold(rule: Column, current: Column, prior: Column) -> tuple[Column, Column]:
@@ -93,21 +95,26 @@ def _threshold(rule: Column, current: Column, prior: Column) -> tuple[Column, Co
     return subject.cast(MONEY), status
 
 
-def calculate(payments: DataFrame, rules: DataFrame, last_day_of_old: str = "2026-03-31") -> DataFrame:
-    """(transaction_id, assignment_id, act, nature, rule_id, prior, cumulative, subject, threshold_status, rate, rate_source,
-    expected, actual, difference, calculation_status, deduction_status, compliance_status, reason_code)."""
-    t = ruled(payments, rules, last_day_of_old)
-    rule = F.col("rule")
-    fits, why, supplied = F.col("_fits"), F.col("_why"), F.col("_supplied")
-    contract = F.coalesce(F.col("control_contract") == CONTRACT, F.lit(False))
+def _base(t: DataFrame, amount: Column, taxable: Column) -> Column:
+    """What the rule taxes of such a payment."""
+    rule, given = F.col("rule"), {"amount": amount, "taxable_amount": taxable}
     basis = F.lower(F.coalesce(blank_to_null(rule["basis"]), F.lit("full_amount")))
     numbers = [f.name for f in t.schema.fields if f.dataType.simpleString().startswith("decimal")]
-    fields = F.create_map(*(x for c in numbers for x in (F.lit(c), F.col(c).cast("decimal(38,2)"))))
-    base = F.when(basis == "taxable_amount", F.col("taxable_amount")).when(basis == "full_amount", F.col("amount")).when(basis == "rule_defined_base", F.try_element_at(fields, rule["base_field"])).cast(MONEY)
-    state = F.col("rule_state")
+    fields = F.create_map(*(x for c in numbers for x in (F.lit(c), given.get(c, F.col(c)).cast("decimal(38,2)"))))
+    return F.when(basis == "taxable_amount", taxable).when(basis == "full_amount", amount).when(basis == "rule_defined_base", F.try_element_at(fields, rule["base_field"])).cast(MONEY)
+
+
+def _pick(ladder: list[tuple], k: int) -> Column:
+    return F.coalesce(*(F.when(c[0], c[k] if isinstance(c[k], Column) else F.lit(c[k])) for c in ladder))
+
+
+def _first() -> list[tuple]:
+    """(condition, reason, calculation, compliance), in this order; those of base are the last."""
+    rule, state, base = F.col("rule"), F.col("rule_state"), F.col("base")
+    fits, why, supplied = F.col("_fits"), F.col("_why"), F.col("_supplied")
+    contract = F.coalesce(F.col("control_contract") == CONTRACT, F.lit(False))
     review_states = ("SECTION_CONFLICT", "RECIPIENT_RESIDENCY_REQUIRED", "CLASSIFICATION_FACT_REQUIRED")
-    # (condition, reason, calculation, compliance), in this order
-    first = [
+    return [
         (F.col("act").isNull(), F.lit("LAW_NOT_DETERMINABLE"), "LAW_NOT_DETERMINABLE", "LAW_EXCEPTION"),
         (F.col("nature").isNull(), F.lit("PAYMENT_NATURE_NOT_DETERMINABLE"), *REVIEW),
         (F.coalesce(F.col("duplicate_status") == "DUPLICATE_REVIEW", F.lit(False)), F.lit("DUPLICATE_REVIEW"), *REVIEW),
@@ -117,30 +124,25 @@ def calculate(payments: DataFrame, rules: DataFrame, last_day_of_old: str = "202
         (supplied & (fits == "NOT_APPLICABLE"), why, "NOT_APPLICABLE", "RULE_EXCEPTION"),
         (supplied & (fits != "APPLICABLE"), why, *REVIEW),
         ((F.col("act") == "INCOME_TAX_ACT_2025") & ~F.coalesce(rule["section"].startswith("393"), F.lit(False)), F.lit("NEW_ACT_REFERENCE_REQUIRED"), *REVIEW),
-        (F.col("base").isNull(), F.lit("AMOUNT_UNAVAILABLE"), "INSUFFICIENT_DATA", "DATA_EXCEPTION"),
-        (F.col("base") < 0, F.lit("NEGATIVE_AMOUNT_REVIEW"), *REVIEW),
+        (base.isNull(), F.lit("AMOUNT_UNAVAILABLE"), "INSUFFICIENT_DATA", "DATA_EXCEPTION"),
+        (base < 0, F.lit("NEGATIVE_AMOUNT_REVIEW"), *REVIEW),
     ]
-    pick = lambda ladder, k: F.coalesce(*(F.when(c[0], c[k] if isinstance(c[k], Column) else F.lit(c[k])) for c in ladder))
-    t = t.withColumn("base", base)
-    t = t.withColumns({"_reason": pick(first, 1), "_calculation": pick(first, 2), "_compliance": pick(first, 3)})
-    deductee = F.coalesce(*(blank_to_null(F.col(c)) for c in ("deductee_pan", "vendor_code", "deductee_name")))
-    t = kept(t)
-    t = t.withColumns({"_counts": F.when(F.col("_reason").isNull(), F.col("base")), "_deductee": deductee, "_rule": rule["rule_id"], "_day": F.coalesce("credit_date", "payment_date", F.lit("9999-12-31").cast("date"))})
-    reached = greedy.running_total(t.filter("_reason is null"), ["assignment_id", "financial_year", "_deductee", "_rule", "nature"], [F.col("_day").asc(), F.coalesce("row_no", F.lit(0)).asc()], "_counts", "_prior")
-    t = reached.unionByName(t.filter("_reason is not null").withColumn("_prior", F.lit(None).cast("decimal(38,2)")), allowMissingColumns=True)
-    t = kept(t.withColumn("prior", F.col("_prior").cast(MONEY)))
+
+
+def _settled(t: DataFrame) -> DataFrame:
+    """Rows with base, prior, _terms and what the first conditions made of them: up the rest of the ladder."""
+    rule = F.col("_terms")
     subject, status = _threshold(rule, F.col("base"), F.col("prior"))
     t = t.withColumn("_through", F.col("_reason").isNull())
     through = F.col("_through")
     t = t.withColumns({"subject": F.when(through, subject), "threshold_status": F.when(through, status), "cumulative": F.when(through, F.col("prior") + F.col("base")).cast(MONEY)})
-    t = kept(t)
     method, precision = F.upper(F.coalesce(blank_to_null(rule["rounding_method"]), F.lit("HALF_UP"))), F.coalesce(rule["rounding_precision"], F.lit(2))
     second = [
         (F.col("subject").isNull(), F.lit("THRESHOLD_NOT_DETERMINABLE"), *REVIEW),
         (F.col("_rate").isNull(), F.col("_rate_source"), *REVIEW),
         ((method != "HALF_UP") | ~precision.isin(*PRECISIONS), F.lit("ROUNDING_METHOD_UNSUPPORTED"), *REVIEW),
     ]
-    t = t.withColumns({"_reason": F.coalesce("_reason", pick(second, 1)), "_calculation": F.coalesce("_calculation", pick(second, 2)), "_compliance": F.coalesce("_compliance", pick(second, 3))})
+    t = t.withColumns({"_reason": F.coalesce("_reason", _pick(second, 1)), "_calculation": F.coalesce("_calculation", _pick(second, 2)), "_compliance": F.coalesce("_compliance", _pick(second, 3))})
     exact = (F.col("subject") * F.col("_rate") * F.lit("0.01").cast("decimal(3,2)")).cast(WIDE)
     rounded = F.coalesce(*(F.when(precision == p, F.round(exact, p)) for p in PRECISIONS)).cast("decimal(22,4)")
     done = F.col("_reason").isNull()
@@ -149,19 +151,38 @@ def calculate(payments: DataFrame, rules: DataFrame, last_day_of_old: str = "202
     deduction = F.when(done, compliance.deduction_status(actual, F.col("expected"))).when(F.col("_calculation") == "NOT_APPLICABLE", "NOT_APPLICABLE").otherwise("NOT_DETERMINABLE")
     t = t.withColumn("deduction_status", deduction)
     found = F.when(done, F.when(F.col("deduction_status") == "ACTUAL_TDS_NOT_PROVIDED", "NOT_DETERMINABLE").otherwise(F.col("deduction_status"))).otherwise(F.col("_compliance"))
-    return t.select(
-        "transaction_id", "assignment_id", "act", "nature", F.col("_rule").alias("rule_id"), F.when(through, F.col("prior")).alias("prior"), "cumulative", "subject", "threshold_status",
-        F.when(through, F.col("_rate")).alias("rate"), F.when(through, F.col("_rate_source")).alias("rate_source"), "expected", F.col("tds_deducted").alias("actual"),
-        F.when(done, actual - F.col("expected")).alias("difference"), F.coalesce("_calculation", F.lit("CALCULATED")).alias("calculation_status"), "deduction_status", found.alias("compliance_status"), F.col("_reason").alias("reason_code"),
+    return t.withColumns({
+        "prior": F.when(through, F.col("prior")), "rate": F.when(through, F.col("_rate")), "rate_source": F.when(through, F.col("_rate_source")), "difference": F.when(done, actual - F.col("expected")),
+        "calculation_status": F.coalesce("_calculation", F.lit("CALCULATED")), "compliance_status": found,
+    })
+
+
+def calculate(payments: DataFrame, rules: DataFrame, last_day_of_old: str = "2026-03-31") -> DataFrame:
+    """(transaction_id, assignment_id, act, nature, rule_id, prior, cumulative, subject, threshold_status, rate, rate_source,
+    expected, actual, difference, calculation_status, deduction_status, compliance_status, reason_code)."""
+    t = ruled(payments, rules, last_day_of_old)
+    t = t.withColumn("base", _base(t, F.col("amount"), F.col("taxable_amount")))
+    deductee = F.coalesce(*(blank_to_null(F.col(c)) for c in ("deductee_pan", "vendor_code", "deductee_name")))
+    # the rest of the ladder reads no more than this
+    t = kept(t.select(
+        "transaction_id", "assignment_id", "row_no", "financial_year", "act", "nature", "tds_deducted", "base", "_rate", "_rate_source", F.col("rule")["rule_id"].alias("_rule"), F.struct(*(F.col("rule")[c].alias(c) for c in TERMS)).alias("_terms"),
+        *(_pick(_first(), k).alias(c) for k, c in ((1, "_reason"), (2, "_calculation"), (3, "_compliance"))), deductee.alias("_deductee"), F.coalesce("credit_date", "payment_date", F.lit("9999-12-31").cast("date")).alias("_day"),
+    ))
+    reached = greedy.running_total(t.filter("_reason is null"), ["assignment_id", "financial_year", "_deductee", "_rule", "nature"], [F.col("_day").asc(), F.coalesce("row_no", F.lit(0)).asc()], "base", "_prior")
+    t = reached.unionByName(t.filter("_reason is not null").withColumn("_prior", F.lit(None).cast("decimal(38,2)")), allowMissingColumns=True)
+    return _settled(t.withColumn("prior", F.col("_prior").cast(MONEY))).select(
+        "transaction_id", "assignment_id", "act", "nature", F.col("_rule").alias("rule_id"), "prior", "cumulative", "subject", "threshold_status", "rate", "rate_source", "expected", F.col("tds_deducted").alias("actual"),
+        "difference", "calculation_status", "deduction_status", "compliance_status", F.col("_reason").alias("reason_code"),
     )
 
 
 def calculator(requests: DataFrame, rules: DataFrame, last_day_of_old: str = "2026-03-31") -> DataFrame:
     """Single payments through the same ladder: calculate's columns, and payment_mode, gross, net and status.
 
-    requests: payments with payment_mode (GROSS or NET_OF_TDS) and previous_aggregate, what was paid before.  That goes
-    through the ladder as a row of its own, before the request's, so it counts only where such a payment would.  A net
-    amount is grossed up by the rule's rate, if the rule has no threshold mode.  Each request is a ledger of its own.
+    requests: payments with payment_mode (GROSS or NET_OF_TDS) and previous_aggregate, what was paid before.  That counts
+    only where such a payment would: as one of the request's own rule and ledger it passes the conditions that the request
+    passes, but for those of its base.  A net amount is grossed up by the rule's rate, if the rule has no threshold mode.
+    Each request is a ledger of its own, so its row is all that it takes: nothing is sorted, joined or stored.
     """
     t = _with(requests, {"payment_mode": "string", "previous_aggregate": MONEY})
     mode = F.upper(F.coalesce(blank_to_null(F.col("payment_mode")), F.lit("GROSS")))
@@ -173,21 +194,19 @@ def calculator(requests: DataFrame, rules: DataFrame, last_day_of_old: str = "20
         .when(net & rule.isNull(), F.col("rule_state")).when(net & rate.isNull(), F.col("_rate_source"))
         .when(net & (F.upper(F.coalesce(blank_to_null(rule["threshold_type"]), F.lit("NO_THRESHOLD"))) != "NO_THRESHOLD"), "NET_MODE_THRESHOLD_REVIEW").when(net & (rate >= 100), "NET_MODE_RATE_INVALID")
     )
-    status = F.when(reason == "AMOUNT_UNAVAILABLE", "MISSING_REQUIRED_INPUT").when(net & rule.isNull() & (reason == F.col("rule_state")), "RULE_NOT_FOUND").otherwise("REVIEW_REQUIRED")
+    refused = F.col("_refused")
+    status = F.when(refused == "AMOUNT_UNAVAILABLE", "MISSING_REQUIRED_INPUT").when(net & rule.isNull() & (refused == F.col("rule_state")), "RULE_NOT_FOUND").otherwise("REVIEW_REQUIRED")
     share = (F.lit(1).cast(WIDE) - rate.cast(WIDE) * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(12,6)")
     gross = F.round(F.when(net, F.col("amount").cast("decimal(24,8)") / share).otherwise(F.col("amount")), 2).cast(MONEY)
-    kept_columns = [*requests.columns, *(c for c in ("assignment_id", "previous_aggregate", "payment_mode") if c not in requests.columns)]
-    t = t.withColumns({"_why": reason, "_state": F.when(reason.isNotNull(), status), "_gross": F.when(reason.isNull(), gross)})
-    asked = t.filter("_why is null").select(*kept_columns, "_gross").withColumn("amount", F.col("_gross")).drop("_gross")
-    own = asked.withColumns({"_seed": F.lit(0), "row_no": F.lit(1)})
-    seeds = asked.filter("previous_aggregate > 0").withColumns({"_seed": F.lit(1), "row_no": F.lit(0), "amount": F.col("previous_aggregate")})
-    seeds = seeds.withColumn("taxable_amount", F.lit(None).cast(MONEY)) if "taxable_amount" in asked.columns else seeds
-    marked = own.unionByName(seeds).withColumn("transaction_id", F.struct("transaction_id", "_seed"))
-    found = calculate(marked.drop("_seed"), rules, last_day_of_old).filter("transaction_id._seed = 0").withColumn("transaction_id", F.col("transaction_id.transaction_id"))
-    told = t.select("transaction_id", "payment_mode", F.col("amount").alias("entered"), "_why", "_state", F.col("_gross").alias("gross"))
-    out = told.join(found.drop("assignment_id"), "transaction_id", "left")
+    own, before = _base(t, F.col("_gross"), F.col("taxable_amount")), _base(t, F.col("previous_aggregate"), F.lit(None).cast(MONEY))
+    t = t.withColumn("_refused", reason)
+    t = t.withColumns({"_state": F.when(refused.isNotNull(), status), "_gross": F.when(refused.isNull(), gross)})
+    t = t.withColumns({"base": own, "prior": F.coalesce(F.when((F.col("previous_aggregate") > 0) & (before >= 0), before), F.lit(0)).cast(MONEY), "_terms": F.when(rule.isNotNull(), F.struct(*(rule[c].alias(c) for c in TERMS)))})
+    t = t.withColumns({"_reason": F.coalesce("_refused", _pick(_first(), 1)), "_calculation": F.coalesce("_state", _pick(_first(), 2)), "_compliance": _pick(_first(), 3)})
+    asked = lambda c: F.when(refused.isNull(), c)
     done = F.col("calculation_status") == "CALCULATED"
-    return out.select(
-        "transaction_id", "payment_mode", "entered", F.when(done, F.col("gross")).alias("gross"), F.when(done, F.col("gross") - F.col("expected")).alias("net"), "rule_id", F.col("prior").alias("threshold_consumed"), "subject",
-        "threshold_status", "rate", "expected", "actual", "difference", "deduction_status", F.coalesce("_state", "calculation_status").alias("status"), F.coalesce("_why", "reason_code").alias("reason_code"),
+    return _settled(t).select(
+        "transaction_id", "payment_mode", F.col("amount").alias("entered"), F.when(done, F.col("_gross")).alias("gross"), F.when(done, F.col("_gross") - F.col("expected")).alias("net"), asked(rule["rule_id"]).alias("rule_id"),
+        F.col("prior").alias("threshold_consumed"), "subject", "threshold_status", "rate", "expected", asked(F.col("tds_deducted")).alias("actual"), "difference", asked(F.col("deduction_status")).alias("deduction_status"),
+        F.col("calculation_status").alias("status"), F.col("_reason").alias("reason_code"),
     )

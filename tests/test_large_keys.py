@@ -44,3 +44,7 @@ def test_parts_of_a_shuffle_grow_with_the_tables(spark, sf_dir, monkeypatch):
         assert spark.conf.get(frames.PARTS) == "77"
     finally:
         spark.conf.unset(frames.PARTS)
+
+
+def test_requests_of_one_id_are_ledgers_of_their_own(spark, sf_dir, tmp_path):
+    held_to_sql(spark, sf_dir, tmp_path, "seeded_calculator", {"lineitem": "REPLACE ((10 * l_linenumber)::INTEGER AS l_linenumber)"})

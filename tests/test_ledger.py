@@ -183,3 +183,13 @@ def test_net_amounts_are_grossed_up(spark, rules):
     plain = rules.withColumn("threshold_type", F.when(F.col("rule_id") == 4, F.lit(None)).otherwise(F.col("threshold_type"))).withColumn("threshold", F.lit(None).cast("decimal(18,2)"))
     r = ledger.calculator(one(spark, payment_nature="royalty", payment_mode="NET_OF_TDS", amount=Decimal("900.01")), plain).first()
     assert (r["status"], r["entered"], r["gross"], r["expected"], r["net"]) == ("CALCULATED", Decimal("900.01"), Decimal("1000.01"), Decimal("100.001"), Decimal("900.009"))
+
+
+def test_the_calculator_needs_nothing_but_a_request_s_row(spark, rules, monkeypatch):
+    stored = []
+    monkeypatch.setattr(ledger, "kept", lambda df: stored.append(df) or df)
+    twice = several(spark, [CASES[2][0], CASES[0][0]]).withColumn("transaction_id", F.lit("same"))
+    out = ledger.calculator(twice, rules)
+    assert sorted((r["expected"], r["threshold_consumed"]) for r in out.collect()) == [(0, 49000), (400, 49000)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("Subquery")[0]
+    assert not stored and "Join" not in plan and "Sort" not in plan and "Window" not in plan and "RepartitionBy" not in plan
