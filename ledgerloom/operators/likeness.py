@@ -87,6 +87,30 @@ def most_alike(a: Names, b: Names, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return 1 - apart / np.maximum(a.length[i] + b.length[j], 1)
 
 
+def bounds(a: Names, b: Names, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """What the likeness of each of the names i of a with each of the names j of b does not exceed: the bound from the letters,
+    or what the common words alone give, which takes no look at a pair."""
+    one, two = a.length[i].astype(np.float32), b.length[j].astype(np.float32)
+    apart = sum(np.bitwise_count(a.bags[i, k][:, None] ^ b.bags[j, k][None, :]) for k in (0, 1))
+    out = 1 - apart / np.maximum(one[:, None] + two[None, :], 1)
+    both = np.full(out.shape, -1, np.float32)  # characters of the common words and the gaps between them
+    (wa, ra), (wb, rb) = (_by_word(n, k) for n, k in ((a, i), (b, j)))
+    for w in np.intersect1d(wa, wb):
+        (x0, x1), (y0, y1) = (np.searchsorted(v, (w, w + 1)) for v in (wa, wb))
+        at = ra[x0]
+        both[np.ix_(ra[x0:x1], rb[y0:y1])] += 1 + a.size[i[at], np.flatnonzero(a.ids[i[at]] == w)[0]]
+    both[:, two == 0] = both[one == 0] = -1
+    return np.maximum(out, np.where(both > 0, 2 * both / np.maximum(np.minimum(one[:, None], two[None, :]) + both, 1), 0))
+
+
+def _by_word(names: Names, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words in order, which of the rows has it)."""
+    ids = names.ids[rows]
+    at = np.nonzero(ids >= 0)
+    order = np.argsort(ids[at], kind="stable")
+    return ids[at][order], at[0][order]
+
+
 def of_pairs(a: Names, b: Names, i: np.ndarray, j: np.ndarray, least: float = 0.0) -> np.ndarray:
     """The likeness of names i of a and j of b; what is sure to lie below ``least`` may come back as 0."""
     out = np.zeros(len(i))

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from ledgerloom import queries as engine
 from ledgerloom.operators import identity, likeness
 
 
@@ -145,3 +146,33 @@ def test_two_customers_of_the_best_name_leave_no_gap(spark):
         for limit in (None, 250):
             (first,) = identity.fuzzy_candidates(frame([(9, "omega transport lines")]), frame(right), limit=limit, keep=1).collect()
             assert (first["right_id"], first["status"]) == (1, "REVIEW_REQUIRED")
+
+
+@pytest.mark.parametrize("few", [0, 1 << 14])
+def test_no_candidate_is_lost_by_default(spark, monkeypatch, few):
+    """The best of all that share a word, whatever their scores: in tiles of many pairs, and in tiles put together."""
+    monkeypatch.setattr(identity, "TILE", 30)
+    monkeypatch.setattr(identity, "FEW", few)
+    rng = random.Random(7)
+    left, right = list(enumerate(names(rng, 80))), list(enumerate(names(rng, 300)))
+    frame = lambda rows: spark.createDataFrame(rows, "id long, name string")
+    assert given(identity.fuzzy_candidates(frame(left), frame(right), least=0.0)) == candidates(left, right, 10**6, 5, True)
+    assert given(identity.fuzzy_candidates(frame(left), frame(right))) == candidates(left, right, None, 5, True)
+
+
+def test_bounds_hold_and_are_of_use():
+    rng = random.Random(8)
+    x, y = names(rng, 60), names(rng, 70)
+    numbers, alphabet = {}, {}
+    a, b = likeness.Names(x, numbers, alphabet), likeness.Names(y, numbers, alphabet)
+    got = likeness.bounds(a, b, np.arange(len(x)), np.arange(len(y)))
+    want = np.array([[brute(p, q) for q in y] for p in x])
+    assert (got >= want - 1e-6).all() and (got < 0.7).mean() > 0.3
+
+
+def test_parts_find_the_most_alike_of_all_parts(spark, tmp_path):
+    """The part of the other's name has the last key of 400 that share a word."""
+    rows = [(0, "red bolts gear")] + [(k, f"gear {k}x{k}") for k in range(1, 400)] + [(400, "red bolt gear")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    found = engine.QUERIES["fuzzy_topk"](spark, str(tmp_path)).filter("left_id = 0").orderBy("rank").collect()
+    assert len(found) == 5 and found[0]["right_id"] == 400 and found[0]["status"] == "HIGH_CONFIDENCE"
