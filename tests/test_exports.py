@@ -57,3 +57,18 @@ def test_a_confirmed_mapping_lets_rows_match(spark, files):
     mappings = spark.createDataFrame([("T4", "C3")], "tan string, code string")
     rows = {r["result"]: r for r in reconcile_exports(*files, mappings=mappings).collect()}
     assert "IDENTITY_UNMAPPED" not in rows and rows["MISSING_IN_BOOKS"]["customer"] == "C3"
+
+
+def test_a_customer_is_found_behind_many_others(spark, tmp_path):
+    """The deductor's customer is the last of 400 that share a word with it."""
+    names = [f"Firm {chr(65 + k % 26)}{k}" for k in range(400)]
+    texts = {
+        "b.csv": "Voucher No,Party Name,Party Code,Voucher Date,TDS Receivable,Section\nV1,Firm J399,C999,05-04-2024,100.00,194C\n",
+        "s.csv": "TAN,Name of Deductor,Transaction Date,Tax Deducted,TDS Deposited,Status of Booking,Section\nT1,Firm J399 Branch,05-04-2024,100,100,F,194C\n",
+        "m.csv": "Customer Code,Customer Name,TAN\n" + "".join(f"C{600 + k},{n},\n" for k, n in enumerate(names)),
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    read = lambda name, kind: tables.read_delimited(spark, str(tmp_path / name), kind, raw=True)
+    (row,) = reconcile_exports(read("b.csv", "books"), read("s.csv", "form26as"), read("m.csv", "customer_master")).collect()
+    assert (row["result"], row["customer"], row["book_id"]) == ("MATCHED_CLAIMABLE", "C999", "V1")
