@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,22 +41,28 @@ CP1252_BYTES = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93
 CP1252_LACKS = "[\x81\x8d\x8f\x90\x9d]"
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
+def _survey(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each split, of one reading: how many lines, the first one's number, and whether all are UTF-8."""
+    return kept(_raw(spark, path).groupBy("file", "block").agg(F.count("*").alias("_size"), F.min("at").alias("_first"), F.bool_and(F.is_valid_utf8("value")).alias("utf8")))
+
+
+def detect_encoding(spark: SparkSession, path: str, survey: DataFrame | None = None) -> str:
     """UTF-16LE or UTF-16BE by the mark at the start or by the zero bytes of the first line, else UTF-8 if all lines are,
     else cp1252 if no byte is undefined there, else ISO-8859-1."""
-    raw = _raw(spark, path)
-    bytes_ = F.col("value").cast("binary")
-    latin = F.decode(bytes_, "ISO-8859-1")
-    start = F.min_by(F.hex(F.substring(bytes_, 1, 64)), F.struct("file", "block", "at"))
-    r = raw.agg(start.alias("start"), F.bool_and(F.is_valid_utf8("value")).alias("utf8")).first()
-    pairs = [(r["start"] or "")[k : k + 2] for k in range(0, len(r["start"] or ""), 2)]
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    r = (survey or _survey(spark, path)).agg(F.min(F.struct("file", "block")).alias("at"), F.bool_and("utf8").alias("utf8")).first()
+    start = ""
+    if r["at"]:  # the first line of the first split
+        where = (F.col("_metadata.file_path") == r["at"]["file"]) & (F.col("_metadata.file_block_start") == r["at"]["block"])
+        start = spark.read.text(path).filter(where).select(F.hex(F.substring(F.col("value").cast("binary"), 1, 64))).first()[0]
+    pairs = [start[k : k + 2] for k in range(0, len(start), 2)]
     if pairs[:2] == ["FF", "FE"] or (len(pairs) > 3 and pairs[1::2].count("00") > len(pairs) // 3):
         return "UTF-16LE"
     if pairs[:2] == ["FE", "FF"] or (len(pairs) > 3 and pairs[::2].count("00") > len(pairs) // 3):
         return "UTF-16BE"
     if r["utf8"] is not False:
         return "UTF-8"
-    return "ISO-8859-1" if raw.agg(F.bool_or(latin.rlike(CP1252_LACKS))).first()[0] else "cp1252"
+    return "ISO-8859-1" if _raw(spark, path).agg(F.bool_or(latin.rlike(CP1252_LACKS))).first()[0] else "cp1252"
 
 
 def _decoded(value: Column, encoding: str) -> Column:
@@ -70,18 +77,24 @@ def _decoded(value: Column, encoding: str) -> Column:
 
 
 def lines(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """(file, row_no from 1 in its file, value) of text files, whatever the number of splits; the encoding is looked for unless given."""
-    encoding = encoding or detect_encoding(spark, path)
+    """(file, block, row_no from 1 in its file, value) of text files, whatever the number of splits, which block numbers; the
+    encoding is looked for unless given."""
+    blocks = _survey(spark, path)
+    encoding = encoding or detect_encoding(spark, path, blocks)
     text = _raw(spark, path, encoding if encoding.startswith("UTF-16") else None)
+    if encoding.startswith("UTF-16"):
+        blocks = kept(text.groupBy("file", "block").agg(F.count("*").alias("_size"), F.min("at").alias("_first")))
     # a row for each split
-    blocks = text.groupBy("file", "block").agg(F.count("*").alias("_size"), F.min("at").alias("_first"))
     before = F.sum("_size").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = blocks.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
-    return text.join(F.broadcast(blocks), ["file", "block"]).select("file", "block", (F.col("at") + F.col("_shift")).alias("row_no"), _decoded(F.col("value"), encoding).alias("value"))
+    number = F.row_number().over(Window.orderBy("file", "block"))
+    blocks = blocks.select("file", "block", number.alias("_no"), (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return text.join(F.broadcast(blocks), ["file", "block"]).select("file", F.col("_no").alias("block"), (F.col("at") + F.col("_shift")).alias("row_no"), _decoded(F.col("value"), encoding).alias("value"))
 
 
 #: Lines that one record may have; more mean that a quote never ends.
 MOST_LINES = 1000
+#: Lines that are sorted together, and groups of them for each task.
+GROUP_LINES, GROUPS = 1 << 16, 4
 
 
 def _cell(d: str) -> str:
@@ -92,18 +105,27 @@ def _cell(d: str) -> str:
 def records(text: DataFrame, delimiter: str) -> DataFrame:
     """(file, row_no, value): lines put together where a quoted cell holds line breaks; row_no is that of the first line.
 
-    Whether a line starts inside quotes depends on all lines before it.  A line maps the state before it to the one after
-    it: it keeps it, turns it, or sets it.  So the state is that of the last line that sets it, turned as often as lines
-    since then turn it: sums over a split's lines, and the same once more over the splits.  The splits come first, from
-    numbers alone; then the lines at a split's start that go on with a record are dealt to the split where it begins, so
-    that every group of lines starts outside quotes and holds whole records, and texts move once.
+    Where no line ends inside a quote that begins in it, each line is a record, and none is moved.  Else, whether a line
+    starts inside quotes depends on all lines before it.  A line maps the state before it to the one after it: it keeps it,
+    turns it, or sets it.  So the state is that of the last line that sets it, turned as often as lines since then turn it:
+    sums over a group of at most GROUP_LINES lines of a split, and the same once more over the groups.  The groups come
+    first, from numbers alone; then the lines at a group's start that go on with a record are dealt to the group where it
+    begins, so that every group of lines starts outside quotes and holds whole records, and texts move once.
     """
     d = "\\" + delimiter if delimiter == "|" else delimiter
     value, cells = F.col("value"), f"{_cell(d)}(?:{d}{_cell(d)})*+"
     quoted = value.contains('"')  # a line without a quote keeps the state
     from_out = quoted & ~value.rlike(rf"(?s)\A{cells}\z")
     from_in = ~(quoted & value.rlike(rf'(?s)\A(?:[^"]++|"")*+"[^{d}]*+(?:{d}{cells})?\z'))
-    rows = text.select("file", "block", "row_no", "value", from_out.alias("_out"), from_in.alias("_into"))
+    ends_inside = lambda some: some.agg(F.bool_or(from_out)).first()[0]
+    if not ends_inside(text.limit(1000)) and not ends_inside(text):
+        return text.select("file", "row_no", "value")
+    names = kept(text.groupBy("block").agg(F.first("file").alias("file"), F.count("*").alias("n")))  # a row for each split
+    parts = max(int(text.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(names.agg(F.sum("n")).first()[0] or 0) // (GROUPS * GROUP_LINES)))
+    names = F.broadcast(names.select("block", "file"))
+    # groups are numbered in the order of their lines
+    group = (F.col("block").cast("long") * (1 << 32) + F.floor(F.col("row_no") / GROUP_LINES)).alias("_group")
+    rows = text.select(group, "row_no", "value", from_out.alias("_out"), from_in.alias("_into"))
     rows = rows.withColumns({"_set": F.when(F.col("_out") == F.col("_into"), F.col("_out").cast("int")), "_turn": (F.col("_out") & ~F.col("_into")).cast("int")})
 
     def state(rows: DataFrame, by: list[str], order: str, start: Column) -> DataFrame:
@@ -115,34 +137,35 @@ def records(text: DataFrame, delimiter: str) -> DataFrame:
         known = (F.col("_last._set") + F.col("_so_far") - F.col("_last._turns")) % 2
         return turns.withColumn("_in", F.when(F.col("_last").isNotNull(), known).otherwise((start + F.col("_so_far")) % 2))
 
-    own = state(rows.select("file", "block", "row_no", "_set", "_turn"), ["file", "block"], "row_no", F.lit(0))
-    # a split sets the state if any of its lines does; its lines outside quotes if it starts outside, and if inside
+    own = state(rows.select("_group", "row_no", "_set", "_turn").repartition(parts, "_group"), ["_group"], "row_no", F.lit(0))
+    # a group sets the state if any of its lines does; its lines outside quotes if it starts outside, and if inside
     last = F.max_by(F.struct("_set", "_turns"), F.when(F.col("_set").isNotNull(), F.col("row_no")))
     outside = {k: F.when(F.when(F.col("_last").isNotNull(), F.col("_in")).otherwise((F.col("_in") + k) % 2) == 0, F.col("row_no")) for k in (0, 1)}
     ends = [f(outside[k]).alias(f"{name}{k}") for k in (0, 1) for name, f in (("_first", F.min), ("_final", F.max))]
-    splits = own.groupBy("file", "block").agg(last.alias("_l"), F.sum("_turn").alias("_all"), F.max("row_no").alias("_to"), *ends)
-    splits = splits.withColumns({"_set": (F.col("_l._set") + F.col("_all") - F.col("_l._turns")) % 2, "_turn": F.when(F.col("_l").isNull(), F.col("_all") % 2).otherwise(0)})
-    splits = state(splits, ["file"], "block", F.lit(0))
+    groups = own.groupBy("_group").agg(last.alias("_l"), F.sum("_turn").alias("_all"), F.max("row_no").alias("_to"), *ends)
+    groups = groups.withColumns({"_set": (F.col("_l._set") + F.col("_all") - F.col("_l._turns")) % 2, "_turn": F.when(F.col("_l").isNull(), F.col("_all") % 2).otherwise(0)})
+    of = lambda c: F.shiftright(c, 32).cast("int").alias("block")
+    groups = state(groups.select("*", of("_group")).join(names, "block"), ["file"], "_group", F.lit(0))  # a row for each group
     first, final = (F.when(F.col("_in") == 0, F.col(f"{c}0")).otherwise(F.col(f"{c}1")) for c in ("_first", "_final"))
-    splits = splits.select("file", "block", "_to", first.alias("_first"), final.alias("_final"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("file", "_group", "_to", first.alias("_first"), final.alias("_final"))
+    before = Window.partitionBy("file").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     starts = F.col("_first").isNotNull()
-    splits = splits.select("file", "block", "_to", "_first", F.last(F.when(starts, F.col("block")), ignorenulls=True).over(before).alias("_home"), F.max("_final").over(before).alias("_of"))
+    groups = groups.select("_group", "_to", "_first", F.last(F.when(starts, F.col("_group")), ignorenulls=True).over(before).alias("_home"), F.max("_final").over(before).alias("_of"))
     bad = lambda of: F.raise_error(F.concat(F.lit("a quote in line "), of.cast("string"), F.lit(" never ends")))
     too_long = F.coalesce(F.coalesce(F.col("_first") - 1, F.col("_to")) - F.col("_of") >= MOST_LINES, F.lit(False))
-    splits = splits.select("file", "block", "_first", F.when(too_long, bad(F.col("_of"))).otherwise(F.col("_home")).alias("_home"))
+    groups = kept(groups.select("_group", "_first", F.when(too_long, bad(F.col("_of"))).otherwise(F.col("_home")).alias("_home")))
     goes_on = F.col("_first").isNull() | (F.col("row_no") < F.col("_first"))
-    dealt = rows.join(F.broadcast(splits), ["file", "block"]).select("file", F.when(goes_on, F.col("_home")).otherwise(F.col("block")).alias("_home"), "row_no", "value", "_set", "_turn")
-    by = ["file", "_home"]
-    known = state(dealt, by, "row_no", F.lit(0)).withColumn("_after", F.when(F.col("_set").isNotNull(), F.col("_set")).otherwise((F.col("_in") + F.col("_turn")) % 2))
+    dealt = rows.join(F.broadcast(groups), "_group").select(F.when(goes_on, F.col("_home")).otherwise(F.col("_group")).alias("_home"), "row_no", "value", "_set", "_turn")
+    known = state(dealt.repartition(parts, "_home"), ["_home"], "row_no", F.lit(0)).withColumn("_after", F.when(F.col("_set").isNotNull(), F.col("_set")).otherwise((F.col("_in") + F.col("_turn")) % 2))
     # the lines of a record follow the last one that starts outside
-    here = Window.partitionBy(*by).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    known = known.select(*by, "row_no", "value", "_after", F.last(F.when(F.col("_in") == 0, F.col("row_no")), ignorenulls=True).over(here).alias("_of"))
+    here = Window.partitionBy("_home").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    known = known.select("_home", "row_no", "value", "_after", F.last(F.when(F.col("_in") == 0, F.col("row_no")), ignorenulls=True).over(here).alias("_of"))
     known = known.withColumn("_of", F.when(F.col("row_no") - F.col("_of") >= MOST_LINES, bad(F.col("_of"))).otherwise(F.col("_of")))
-    lines_ = F.array_sort(F.collect_list(F.struct("row_no", "value", "_after")))
-    whole = known.groupBy(*by, F.col("_of").alias("row_no")).agg(lines_.alias("_lines"))
+    lines_ = F.sort_array(F.collect_list(F.struct("row_no", "value", "_after")))
+    whole = known.groupBy("_home", F.col("_of").alias("row_no")).agg(lines_.alias("_lines"))
     joined = F.array_join(F.transform("_lines", lambda x: x["value"]), "\n")
-    return whole.select("file", "row_no", F.when(F.element_at("_lines", -1)["_after"] == 1, bad(F.col("row_no"))).otherwise(joined).alias("value"))
+    whole = whole.select(of("_home"), "row_no", F.when(F.element_at("_lines", -1)["_after"] == 1, bad(F.col("row_no"))).otherwise(joined).alias("value"))
+    return whole.join(names, "block").select("file", "row_no", "value")
 
 
 def sniff_delimiter(head: list[str]) -> str:
@@ -165,7 +188,10 @@ def split_cells(value: Column, delimiter: str) -> Column:
     cells = F.regexp_extract_all(F.concat(value, F.lit(delimiter)), F.lit(rf'(?s)("(?:[^"]++|"")*+"[^{d}]*+|[^{d}]*+){d}'), F.lit(1))
     quoted = lambda c: F.replace(F.regexp_replace(c, r'(?s)\A"((?:[^"]++|"")*+)"', "$1"), F.lit('""'), F.lit('"'))
     bare = lambda c: F.when(c.startswith('"'), quoted(c)).otherwise(c)
-    return F.transform(cells, lambda c: F.regexp_replace(F.regexp_replace(bare(c), r"[\x00-\x08\x0b-\x1f\x7f]+", " "), r"\A\s+|\s+\z", ""))
+    # most records have nothing to take away, which one look at the whole tells
+    tidy = lambda c: F.regexp_replace(F.regexp_replace(bare(c), r"[\x00-\x08\x0b-\x1f\x7f]+", " "), r"\A\s+|\s+\z", "")
+    untidy = value.rlike(rf'[\x00-\x08\x0b-\x1f\x7f]|\s(?:[{d}"]|\z)|(?:[{d}"]|\A)\s')
+    return F.when(untidy, F.transform(cells, tidy)).otherwise(F.transform(cells, bare))
 
 
 def find_header(grid: DataFrame, kind: str) -> tuple[int, list[str]] | None:
@@ -192,6 +218,13 @@ def typed(cell: Column, kind: str) -> Column:
     return {"string": given, "date": parse_date(given), "money": parse_amount(given), "list": split_list(given)}[kind]
 
 
+def _may_be_footer(cells: Column, keys: list[str]) -> Column:
+    """Whether a row's text has what a total or a repeated header needs, so that few rows' cells are turned into keys."""
+    text = F.lower(F.replace(F.array_join(cells, " "), F.lit("\ufeff"), F.lit("")))
+    known = [F.coalesce(text.contains(max(k.split("_"), key=len)).cast("int"), F.lit(0)) for k in sorted(set(keys)) if k]
+    return reduce(lambda x, y: x | y, (text.contains(w) for w in ("total", "balance"))) | (reduce(lambda x, y: x + y, known, F.lit(0)) >= 3)
+
+
 def canonical(grid: DataFrame, kind: str, raw: bool = False) -> DataFrame:
     """The rows below the header with the kind's columns; totals, repeated headers and empty rows are left out.
 
@@ -205,9 +238,10 @@ def canonical(grid: DataFrame, kind: str, raw: bool = False) -> DataFrame:
     places = header_mapping(keys, kind)
     cell_keys = F.transform("cells", header_key)
     headers = grid.filter((F.col("row_no") <= PREVIEW) & (cell_keys == F.array(*map(F.lit, keys)))).groupBy("file").agg(F.min("row_no").alias("_head"))
-    rows = grid.join(F.broadcast(headers), "file").filter(F.col("row_no") > F.col("_head")).filter(F.exists("cells", lambda c: c != ""))
+    rows = grid.join(F.broadcast(headers), "file").filter((F.col("row_no") > F.col("_head")) & (F.array_join("cells", "") != ""))
     first = F.get(F.filter(cell_keys, lambda k: k != ""), F.lit(0))
-    rows = rows.filter(~F.coalesce(is_footer(first, cell_keys, F.array(*(F.lit(k) for k in keys if k))), F.lit(False)))
+    footer = F.coalesce(is_footer(first, cell_keys, F.array(*(F.lit(k) for k in keys if k))), F.lit(False))
+    rows = rows.filter(~F.when(_may_be_footer(F.col("cells"), keys), footer).otherwise(False))
     cell = lambda c: F.get("cells", F.lit(places[c])) if c in places else F.lit(None).cast("string")
     as_kind = lambda c, t: cell(c) if raw else typed(cell(c), t).cast(schema.TYPES[t])
     return rows.select("row_no", "file", *(as_kind(c, t).alias(c) for c, _, t, _ in schema.KINDS[kind]))

@@ -231,3 +231,55 @@ def test_a_streams_tasks_do_not_grow_with_its_files(spark, tmp_path, monkeypatch
     assert len(register.rows().inputFiles()) > 4  # one task for all rows of a file wrote one
     plan = register.rows()._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1 << 16])
+def test_no_task_sorts_the_lines_of_a_whole_split(spark, tmp_path, monkeypatch, size):
+    """Records over any number of groups of lines, in several files; a split is sorted in groups, in more tasks the more lines."""
+    monkeypatch.setattr(tables, "GROUP_LINES", size)
+    rng = random.Random(5)
+    want = []
+    for k in range(3):
+        cell = lambda: "".join(rng.choice(['"', ",", "\n", "a", "b", "\n\n"]) for _ in range(rng.randrange(5)))
+        rows = [[f"{k}-{n}", cell(), "z"] for n in range(60)]
+        with open(tmp_path / f"f{k}.csv", "w", newline="") as f:
+            csv.writer(f, lineterminator="\n").writerows(rows)
+        want += [",".join('"' + c.replace('"', '""') + '"' if set(c) & set('",\n') else c for c in r) for r in rows]
+    whole = tables.records(tables.lines(spark, str(tmp_path)), ",")
+    assert sorted(r["value"] for r in whole.collect()) == sorted(want)
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    lines = sum(v.count("\n") + 1 for v in want)
+    assert f"RepartitionByExpression [_home#" in plan and plan.rstrip() and (f", {max(4, -(-lines // (4 * size)))}" in plan)
+
+
+def test_lines_that_are_records_are_not_moved(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,"x, ""y"""\n2,v"w\n')
+    whole = tables.records(tables.lines(spark, str(tmp_path / "a.csv")), ",")
+    assert sorted((r["row_no"], r["value"]) for r in whole.collect()) == [(1, "a,b"), (2, '1,"x, ""y"""'), (3, '2,v"w')]
+    assert "hashpartitioning" not in whole._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+
+
+def test_cells_and_footers_are_those_of_the_slow_way(spark):
+    """What one look at a whole record rules out is never there: cells are those of each cell taken by itself."""
+    from pyspark.sql import functions as F
+
+    from ledgerloom.functions.text import header_key
+
+    rng = random.Random(9)
+    part = lambda: "".join(rng.choice(['"', '""', " ", "\t", "\x01", "a", "B c", " ", "\n"]) for _ in range(rng.randrange(5)))
+    raw = [",".join(part() for _ in range(4)) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in raw], "value string")
+    for delimiter in (",", "\t", "|"):
+        d = "\\|" if delimiter == "|" else delimiter
+        cells = F.regexp_extract_all(F.concat("value", F.lit(delimiter)), F.lit(rf'(?s)("(?:[^"]++|"")*+"[^{d}]*+|[^{d}]*+){d}'), F.lit(1))
+        plain = lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, r'(?s)\A"((?:[^"]++|"")*+)"', "$1"), F.lit('""'), F.lit('"'))).otherwise(c)
+        want = F.transform(cells, lambda c: F.regexp_replace(F.regexp_replace(plain(c), r"[\x00-\x08\x0b-\x1f\x7f]+", " "), r"\A\s+|\s+\z", ""))
+        assert df.filter(want != tables.split_cells(F.col("value"), delimiter)).count() == 0
+    keys = ["voucher_no", "party_name", "date", "tds_receivable"]
+    words = ["Voucher No", "VOUCHER-no", "Party Name", "party", "Date", "﻿Da﻿te", "Grand Total", "sub", "Closing﻿ BALANCE", "Tds  Receivable", "1,00", ""]
+    grid = spark.createDataFrame([([rng.choice(words) for _ in range(4)],) for _ in range(2000)], "cells array<string>")
+    known = F.transform("cells", header_key)
+    footer = tables.is_footer(F.get(F.filter(known, lambda k: k != ""), F.lit(0)), known, F.array(*map(F.lit, keys)))
+    found = grid.filter(footer)
+    assert found.count() > 100 and found.filter(~tables._may_be_footer(F.col("cells"), keys)).count() == 0
+    assert grid.filter(tables._may_be_footer(F.col("cells"), keys)).count() < 2000
