@@ -25,10 +25,17 @@ LEDGER_AMOUNTS = ("amount", "tds_deducted")
 STRIDE = 1 << 16
 
 
-def positions(rows: DataFrame, row_no: str = "row_no", out: str = "position") -> DataFrame:
+def positions(rows: DataFrame, row_no: str = "row_no", out: str = "position", wanted: Column | None = None) -> DataFrame:
     """rows with their place from 1 in the order of ``row_no``, counted by ranges of row numbers, so no task orders all;
-    rows without a number come last."""
-    part = F.coalesce(F.floor(F.col(row_no) / STRIDE), F.lit(1 << 62))
+    rows without a number come last.  Of several files' rows, which share numbers, a range holds no more.
+
+    wanted: which rows' places are asked for; where no row's is, none is counted.
+    """
+    seen = rows.agg(F.count("*").alias("n"), F.max(row_no).alias("top"), F.bool_or(F.lit(True) if wanted is None else wanted).alias("wanted")).first()
+    if not seen["wanted"]:
+        return rows.withColumn(out, F.lit(None).cast("long"))
+    stride = max(1, min(STRIDE, STRIDE * (int(seen["top"] or 0) + 1) // seen["n"]))
+    part = F.coalesce(F.floor(F.col(row_no) / stride), F.lit(1 << 62))
     counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
     starts = counts.select("_part", before.alias("_before"))
@@ -57,8 +64,9 @@ def _code(name: str) -> Column:
 
 
 def books(raw: DataFrame) -> DataFrame:
-    rows = positions(raw).withColumn("_day", parse_date(F.col("document_date")))
-    reference, source = provenance(first_value(F.col("transaction_id"), F.col("document_number")), "BOOK", F.col("position"), 4)
+    given = first_value(F.col("transaction_id"), F.col("document_number"))
+    rows = positions(raw, wanted=given.isNull()).withColumn("_day", parse_date(F.col("document_date")))
+    reference, source = provenance(given, "BOOK", F.col("position"), 4)
     return rows.select(
         "row_no", reference.alias("transaction_id"), source.alias("transaction_id_source"), "customer_name", core_name(F.col("customer_name")).alias("customer_name_norm"),
         *(_code(c).alias(c) for c in ("customer_code", "party_pan", "party_gstin", "section")), "document_number", F.col("_day").alias("document_date"),
@@ -95,7 +103,7 @@ def semantics_summary(rows: DataFrame) -> DataFrame:
 
 def statement(raw: DataFrame) -> DataFrame:
     """A missing deposit stays missing and is flagged; a missing status counts as F."""
-    rows = positions(raw).withColumn("_day", parse_date(F.col("transaction_date")))
+    rows = positions(raw, wanted=blank_to_null(F.col("statement_id")).isNull()).withColumn("_day", parse_date(F.col("transaction_date")))
     reference, source = provenance(F.col("statement_id"), "26AS", F.col("position"), 4)
     deposited = parse_amount(F.col("tds_deposited"))
     return rows.select(

@@ -283,3 +283,23 @@ def test_cells_and_footers_are_those_of_the_slow_way(spark):
     found = grid.filter(footer)
     assert found.count() > 100 and found.filter(~tables._may_be_footer(F.col("cells"), keys)).count() == 0
     assert grid.filter(tables._may_be_footer(F.col("cells"), keys)).count() < 2000
+
+
+def test_places_of_rows_of_many_files(spark):
+    """Ranges of row numbers hold no more rows the more files there are; where no place is asked for, none is counted."""
+    from pyspark.sql import functions as F
+
+    from ledgerloom.operators import normalise
+
+    rows = spark.createDataFrame([(k % 400, "x" if k % 7 else None) for k in range(4000)] + [(None, "y")], "row_no long, given string")
+    normalise.STRIDE, before = 100, normalise.STRIDE
+    try:
+        got = normalise.positions(rows, wanted=F.col("given").isNull())
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "/ 9.0" in plan or "/ 10.0" in plan  # 100 rows of ten files
+    finally:
+        normalise.STRIDE = before
+    found = [r["position"] for r in got.orderBy("position").collect()]
+    assert found == list(range(1, 4002)) and got.filter("row_no is null").first()["position"] == 4001
+    assert [r["position"] for r in normalise.positions(rows.filter("given is not null"), wanted=F.col("given").isNull()).distinct().limit(1).collect()] != [1]
+    assert normalise.positions(rows, wanted=F.col("row_no") < 0).filter("position is not null").count() == 0
